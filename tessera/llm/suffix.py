@@ -107,15 +107,23 @@ def suffix_sort(prefix: Prefix, data: np.ndarray, start: np.ndarray, size: np.nd
     """Order of the strings data[start : start + size] (a prefix goes before what it begins); mergesort, all merges of a level at once."""
     n = len(start)
     order = np.arange(n)
+    head = np.zeros(n, np.uint64)  # the first eight bytes as a number: only suffixes that agree on them need more
+    for i in range(8):
+        head = head << np.uint64(8) | np.where(i < size, data[np.minimum(start + i, len(data) - 1)], 0).astype(np.uint64)
 
     def less(a: np.ndarray, b: np.ndarray, or_equal: bool) -> np.ndarray:
-        sa, sb, za, zb = start[a], start[b], size[a], size[b]
-        both = np.minimum(za, zb)
-        same = lce(prefix, sa, sb, both)
-        over = same >= both
-        at = np.where(over, 0, same)
-        ca, cb = data[sa + at], data[sb + at]
-        return np.where(over, (za <= zb) if or_equal else (za < zb), ca < cb)
+        ha, hb = head[a], head[b]
+        out = ha < hb
+        i = np.flatnonzero(ha == hb)
+        if len(i):
+            a, b = a[i], b[i]
+            sa, sb, za, zb = start[a], start[b], size[a], size[b]
+            both = np.minimum(za, zb)
+            same = lce(prefix, sa, sb, both)
+            over = same >= both
+            at = np.where(over, 0, same)
+            out[i] = np.where(over, (za <= zb) if or_equal else (za < zb), data[sa + at] < data[sb + at])
+        return out
 
     width = 1
     while width < n:
@@ -129,7 +137,8 @@ def suffix_sort(prefix: Prefix, data: np.ndarray, start: np.ndarray, size: np.nd
         while (open_ := low < high).any():  # how many of the other run go before: strictly less for the left run, less or equal for the right
             i = np.flatnonzero(open_)
             middle = (low[i] + high[i]) // 2
-            before = np.where(left[i], less(own[middle], own[i], False), less(own[middle], own[i], True))
+            before, l = np.empty(len(i), bool), left[i]
+            before[l], before[~l] = less(own[middle[l]], own[i[l]], False), less(own[middle[~l]], own[i[~l]], True)
             low[i] = np.where(before, middle + 1, low[i])
             high[i] = np.where(before, high[i], middle)
         base = run // 2 * 2 * width
