@@ -74,7 +74,7 @@ class Spans:
         self.first = start[new]
         self.last = start[np.append(np.flatnonzero(new)[1:] - 1, len(start) - 1)]
         self.anchor = at[new]
-        self.keys = grams[self.anchor]
+        self.keys = mix(~grams[self.anchor])  # hashed anew: the lowest hashes would all go to the first buckets
 
     def classes(self, which: np.ndarray) -> np.ndarray:
         """One span of each class of equal spans among those given, and how often: by suffix sort."""
