@@ -24,6 +24,7 @@ _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)  # odd, so that powers have in
 MESSAGE = "bucket int, chunk long, keys binary, twice binary, asked binary"
 ANSWER = "chunk long, keys binary"
 _EMPTY = np.zeros(0, np.uint64)
+_LONG = np.dtype([("k", "<u8"), ("m", "<u4")])
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -85,13 +86,14 @@ def bucket_bits(keys: int) -> int:
 
 
 def messages(chunk: int, bits: int, keys: np.ndarray, more: np.ndarray | None = None, asked: np.ndarray | None = None) -> pa.Table:
-    """Messages of a chunk. Keys have 128 bits with ``more``; without, a bucket compares 48 of 64 bits besides its own.
+    """Messages of a chunk. Keys have 96 bits with ``more``; without, a bucket compares 48 of 64 bits besides its own.
     ``asked``: for which keys an answer is wanted (all, if None)."""
     if not len(keys):
         return pa.table([pa.array([], t) for t in (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())], ["bucket", "chunk", "keys", "twice", "asked"])
     if more is None:
         order = np.argsort(keys, kind="stable")
     else:
+        more = narrow(more)
         order = np.lexsort((more, keys))
         more = more[order]
     keys = keys[order]
@@ -109,7 +111,7 @@ def messages(chunk: int, bits: int, keys: np.ndarray, more: np.ndarray | None =
     if more is None:
         packed = short_key(keys, bits).view(np.uint8).reshape(-1, 8)[:, :6]
     else:
-        packed = np.stack([keys, more[at]], 1).view(np.uint8).reshape(-1, 16)
+        packed = np.rec.fromarrays([keys, more[at]], dtype=_LONG).view(np.uint8).reshape(-1, 12)
     rows = [(packed[s:e].tobytes(), np.packbits(twice[s:e]).tobytes(), np.packbits(wanted[s:e]).tobytes()) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
     return pa.table(
         [pa.array(bucket[starts], pa.int32()), pa.array(np.full(len(starts), chunk), pa.int64()), *[pa.array([r[i] for r in rows], pa.binary()) for i in range(3)]],
@@ -135,8 +137,8 @@ def answer(table: pa.Table, width: int) -> pa.Table:
         keys, more = wide.view(np.uint64).ravel(), None
         order = np.argsort(keys, kind="stable")
     else:
-        both = np.ascontiguousarray(data).view(np.uint64).reshape(-1, 2)
-        keys, more = both[:, 0], both[:, 1]
+        both = np.ascontiguousarray(data).reshape(-1).view(_LONG)
+        keys, more = np.ascontiguousarray(both["k"]), np.ascontiguousarray(both["m"])
         order = np.lexsort((more, keys))
     k = keys[order]
     new = np.ones(len(k), bool)
@@ -154,16 +156,32 @@ def answer(table: pa.Table, width: int) -> pa.Table:
     return pa.table([pa.array([c for c, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], ["chunk", "keys"])
 
 
-def answered(table: pa.Table, kind: int, layout: str = "<u8") -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys of the answers of one kind to a chunk: (48-bit keys, none) for kind 0, else (keys, more)."""
+def narrow(more: np.ndarray) -> np.ndarray:
+    """The 32 bits of a second hash that messages hold besides the 64 of the first."""
+    return more & np.uint64(0xFFFFFFFF)
+
+
+def answered(table: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of the answers of one kind to a chunk: (48-bit keys, none) for kind 0, else (keys, second hashes as by narrow())."""
     got = b"".join(x.as_py() for x, k in zip(table["keys"], table["kind"], strict=True) if k.as_py() == kind)
     if kind == 0:
         wide = np.zeros((len(got) // 6, 8), np.uint8)
         wide[:, :6] = np.frombuffer(got, np.uint8).reshape(-1, 6)
         return np.sort(wide.view(np.uint64).ravel()), _EMPTY
-    data = np.frombuffer(got, layout).astype(np.uint64).reshape(-1, 2)
-    order = np.lexsort((data[:, 1], data[:, 0]))
-    return data[order, 0], data[order, 1]
+    data = np.frombuffer(got, _LONG)
+    return _sorted(data["k"].astype(np.uint64), data["m"].astype(np.uint64))
+
+
+def answered_pairs(table: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of two longs each, as Spark's unhex(hex()) writes them."""
+    got = b"".join(x.as_py() for x, k in zip(table["keys"], table["kind"], strict=True) if k.as_py() == kind)
+    data = np.frombuffer(got, ">u8").astype(np.uint64).reshape(-1, 2)
+    return _sorted(data[:, 0], data[:, 1])
+
+
+def _sorted(keys: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((more, keys))
+    return keys[order], more[order]
 
 
 def short_key(keys: np.ndarray, bits: int) -> np.ndarray:

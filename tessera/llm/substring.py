@@ -5,7 +5,7 @@ window (rounded up) are cut at fixed places from each document's start, so that
 
 1. Index and probe. Each document's blocks are the index; every rolling stretch of block length, of all documents, is a probe.
    A block is an anchor if its words are probed twice or more (once by itself). Probes are counted by the exchange of repeats.py.
-2. Extend. All windows around an anchor are compared (by 128-bit hashes) with all others of their kind; runs of repeated windows make
+2. Extend. All windows around an anchor are compared (by 96-bit hashes) with all others of their kind; runs of repeated windows make
    the maximal exact repeats on either side of the anchor. Both copies of a repeated window hold an anchor: each holds a block of its
    own document, whose words the other copy holds too.
 3. Remove. Words under repeated windows go.
@@ -29,7 +29,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from ..session import ship
 from .common import Scratch
-from .repeats import MESSAGE, Prefix, answered, bucket_bits, chunk_of, chunked, exchange, member, messages, mix, short_key, with_answers
+from .repeats import MESSAGE, Prefix, answered, bucket_bits, chunk_of, chunked, exchange, member, messages, mix, narrow, short_key, with_answers
 
 WINDOW = 35
 _SPACE = np.zeros(256, bool)
@@ -105,7 +105,7 @@ def repeats(docs: DataFrame, scratch: Scratch, window: int = WINDOW) -> tuple[Da
         _, a, b = _near_anchor(Words(_texts(table)), known, window, block, bits)
         return messages(table["chunk"][0].as_py(), bits, a, b)
 
-    windows = exchange(with_answers(rows, [anchors], extend, MESSAGE), 16, scratch, "windows")
+    windows = exchange(with_answers(rows, [anchors], extend, MESSAGE), 12, scratch, "windows")
     return rows, [anchors, windows], bits, chunks
 
 
@@ -116,7 +116,8 @@ def kept_words(texts: list[bytes], answers: pa.Table, window: int, bits: int) ->
     known, _ = answered(answers, 0)
     if len(known):
         at, a, b = _near_anchor(words, known, window, block, bits)
-        at = at[member(a, *(lambda k, m: (k, b, m))(*answered(answers, 1)))]
+        k, m = answered(answers, 1)
+        at = at[member(a, k, narrow(b), m)]
         cover[at] += 1
         cover[at + window] -= 1
     return words, np.cumsum(cover[:-1]) == 0

@@ -9,7 +9,7 @@ leftmost, if several) is an anchor. Equal strings have their anchors at equal pl
    a mergesort whose comparisons find the common extension of two suffixes by binary search over prefix polynomial hashes, so each takes a logarithm of the span.
    Neighbours with equal spans are one class; that is verified byte by byte, so that hashes cannot merge different spans in a chunk.
    Spans that occur twice or more in all (128-bit hashes, counted by key) are repeats throughout.
-3. In the other found spans, at the borders of repeats, each string is compared with all others of its kind by the exchange (128-bit hashes). A
+3. In the other found spans, at the borders of repeats, each string is compared with all others of its kind by the exchange (96-bit hashes). A
    repeated span whose anchor such a span shares takes part too, once in all.
 4. Bytes under repeated strings go.
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from .common import Scratch
-from .repeats import MESSAGE, Prefix, answered, bucket_bits, chunked, exchange, member, messages, mix, short_key, with_answers
+from .repeats import MESSAGE, Prefix, answered, answered_pairs, bucket_bits, chunked, exchange, member, messages, mix, narrow, short_key, with_answers
 
 LENGTH, GRAM = 200, 32
 _PLACE_BITS = 28  # a chunk has at most 2**28 bytes; longer single texts are refused
@@ -211,7 +211,7 @@ def digest(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame
     def border(spans: Spans, answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         which = _found(spans, answers, bits)
         a, b = _span_keys(spans, which)
-        k, m = answered(answers, 1, ">u8")
+        k, m = answered_pairs(answers, 1)
         return which, member(a, k, b, m), a, b
 
     def parts(table: pa.Table, answers: pa.Table) -> pa.Table:
@@ -219,7 +219,7 @@ def digest(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame
             return messages(0, bits, np.zeros(0, np.uint64))
         spans = Spans(_texts(table), length, gram)
         which, full, a, b = border(spans, answers)
-        k, m = answered(answers, 2, ">u8")
+        k, m = answered_pairs(answers, 2)
         _, once = np.unique(np.stack([a, b]), axis=1, return_index=True)
         lent = np.zeros(len(which), bool)  # repeated spans whose strings others may hold: one of each class in all chunks
         lent[once] = member(a[once], k, b[once], m)
@@ -228,7 +228,7 @@ def digest(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame
         asked = np.repeat(~full[~full | lent], spans.last[send] - spans.first[send] + 1)
         return messages(table["chunk"][0].as_py(), bits, a, b, asked)
 
-    strings = exchange(with_answers(rows, [found, repeated, owners], parts, MESSAGE), 16, scratch, "strings")
+    strings = exchange(with_answers(rows, [found, repeated, owners], parts, MESSAGE), 12, scratch, "strings")
 
     def judge(table: pa.Table, answers: pa.Table) -> pa.Table:
         texts = _texts(table)
@@ -244,7 +244,7 @@ def digest(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame
             if (~full).any():
                 at, a, b = _string_keys(spans, which[~full])
                 k, m = answered(answers, 2)
-                at = at[member(a, k, b, m)]
+                at = at[member(a, k, narrow(b), m)]
                 np.add.at(cover, at, 1)
                 np.add.at(cover, at + length, -1)
             gone = np.cumsum(cover[:-1]) > 0
