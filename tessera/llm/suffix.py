@@ -20,6 +20,7 @@ an empty table gives an empty result; other columns are ignored. A kept text may
 from __future__ import annotations
 
 import hashlib
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -76,6 +77,10 @@ class Spans:
         self.anchor = at[new]
         self.keys = mix(~grams[self.anchor])  # hashed anew: the lowest hashes would all go to the first buckets
 
+    @cached_property
+    def second(self) -> Prefix:
+        return Prefix(self.data.astype(np.uint64) + np.uint64(1), 1)
+
     def classes(self, which: np.ndarray) -> np.ndarray:
         """One span of each class of equal spans among those given, and how often: by suffix sort."""
         start, size = self.first[which], self.last[which] + self.length - self.first[which]
@@ -162,16 +167,14 @@ def _found(spans: Spans, answers: pa.Table, bits: int) -> np.ndarray:
 def _span_keys(spans: Spans, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     start, end = spans.first[which], spans.last[which] + spans.length
     size = (end - start).astype(np.uint64)
-    second = Prefix(spans.data.astype(np.uint64) + np.uint64(1), 1)
-    return mix(spans.prefix.stretch(start, end) + size), mix(second.stretch(start, end) ^ size)
+    return mix(spans.prefix.stretch(start, end) + size), mix(spans.second.stretch(start, end) ^ size)
 
 
 def _string_keys(spans: Spans, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and hashes of all strings of the given spans."""
     first, n = spans.first[which], spans.last[which] - spans.first[which] + 1
     at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    second = Prefix(spans.data.astype(np.uint64) + np.uint64(1), 1)
-    return at, mix(spans.prefix.stretch(at, at + spans.length)), mix(second.stretch(at, at + spans.length))
+    return at, mix(spans.prefix.stretch(at, at + spans.length)), mix(spans.second.stretch(at, at + spans.length))
 
 
 def digest(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -239,14 +242,14 @@ def digest(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame
             which, full, _, _ = border(spans, answers)
             cover = np.zeros(len(spans.data) + 1, np.int64)
             if full.any():
-                np.add.at(cover, spans.first[which[full]], 1)
-                np.add.at(cover, spans.last[which[full]] + length, -1)
+                cover[spans.first[which[full]]] += 1  # no two spans begin or end at one place, nor do two strings
+                cover[spans.last[which[full]] + length] -= 1
             if (~full).any():
                 at, a, b = _string_keys(spans, which[~full])
                 k, m = answered(answers, 2)
                 at = at[member(a, k, narrow(b), m)]
-                np.add.at(cover, at, 1)
-                np.add.at(cover, at + length, -1)
+                cover[at] += 1
+                cover[at + length] -= 1
             gone = np.cumsum(cover[:-1]) > 0
         at = 0
         for i, text in enumerate(texts):
