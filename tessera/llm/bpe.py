@@ -19,12 +19,14 @@ import hashlib
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
+from .common import worker_state
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 _SPAN = 256  # ranks under one bit of the upper level
@@ -133,19 +135,17 @@ class BytePairEncoder:
         return b"".join(map(self.vocabulary.__getitem__, memoryview(ids).cast("I").tolist()))
 
 
-_encoders: dict[tuple, BytePairEncoder] = {}
-
-
 def encoder(path: str | None = None, pattern: str | None = None) -> BytePairEncoder:
     """The encoder of a rank file, read once in each worker; by default the installed multilingual one."""
     import public_tokenizers
 
-    key = (path or public_tokenizers.path(VOCABULARY), pattern or public_tokenizers.PATTERN)
-    if key not in _encoders:
-        with open(key[0], "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        _encoders[key] = BytePairEncoder(ranks, key[1])
-    return _encoders[key]
+    path, pattern = path or public_tokenizers.path(VOCABULARY), pattern or public_tokenizers.PATTERN
+
+    def read() -> BytePairEncoder:
+        with open(path, "rb") as lines:
+            return BytePairEncoder({base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}, pattern)
+
+    return worker_state(("bpe", path, pattern), read)
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | None = None, with_ids: bool = True) -> DataFrame:
@@ -163,11 +163,12 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
                 sha.append(hashlib.sha256(ids).hexdigest())
                 back.append(hashlib.sha256(codec.decode(ids)).hexdigest())
                 if with_ids:
-                    all_ids.append(memoryview(ids).cast("I").tolist())
+                    all_ids.append(ids)
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
-                columns.append(pa.array(all_ids, pa.list_(pa.int32())))
+                offsets = pa.array(np.concatenate(([0], np.cumsum(n))), pa.int32())
+                columns.append(pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(all_ids), np.int32))))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,6 +42,18 @@ def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(_CLEANUP, before)
 
 
+_state: dict[object, object] = {}
+
+
+def worker_state(key: object, make: Callable[[], object]) -> object:
+    """What an operator keeps in a Python worker between tasks. Only the latest operator's is held, so that the stages of a pipeline do
+    not add up in workers that Spark uses again."""
+    if key not in _state:
+        _state.clear()
+        _state[key] = make()
+    return _state[key]
+
+
 class Scratch:
     """Tables in the shared folder. table() writes a frame and reads it back, so that nothing later
     recomputes it or depends on an executor; drop() deletes one that no plan needs any longer."""

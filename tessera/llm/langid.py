@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
+from .common import worker_state
 
 _LETTERS = regex.compile(r"\p{L}+")
 _MARK, _FIELD, _KEEP = " ", 40, 400_000
@@ -129,7 +130,8 @@ def learn(docs: DataFrame, docs_per_language: int = 300, chars_per_document: int
     return {k: (_MARK + _MARK.join(v))[:chars_per_language] + _MARK for k, v in samples.items()}
 
 
-_models: dict[int, LanguageModel] = {}
+def model_of(samples: dict[str, str]) -> LanguageModel:
+    return worker_state(("langid", tuple(sorted(samples.items()))), lambda: LanguageModel(samples))
 
 
 def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
@@ -138,12 +140,7 @@ def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(samples)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        learned = shared.value
-        key = hash(tuple(sorted(learned.items())))
-        if key not in _models:
-            _models.clear()
-            _models[key] = LanguageModel(learned)
-        model = _models[key]
+        model = model_of(shared.value)
         for batch in batches:
             found = [model.predict(text.as_py()) for text in batch.column(2)]
             yield pa.RecordBatch.from_arrays(
@@ -162,12 +159,7 @@ def keep_identified(docs: DataFrame, samples: dict[str, str], languages: list[st
     allowed = set(languages) if languages is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        learned = shared.value
-        key = hash(tuple(sorted(learned.items())))
-        if key not in _models:
-            _models.clear()
-            _models[key] = LanguageModel(learned)
-        model = _models[key]
+        model = model_of(shared.value)
         for batch in batches:
             at = batch.schema.get_field_index("text")
             names = [model.predict(text.as_py())[0] for text in batch.column(at)]
