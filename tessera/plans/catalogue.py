@@ -1,10 +1,592 @@
-"""Registered queries and their SQL for DuckDB."""
+"""Registered queries and their SQL for DuckDB.
+
+Tick view: events (event_id -> pos, ts -> t in microseconds, event_type -> symbol, value * 100 -> price), in blocks of 512 rows.
+Book view: lineitem (l_orderkey -> event, l_returnflag -> side, prices times 100).
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import exact
+from ..operators import columns as c
+from ..operators import evidence, timing
+from ..sources import book, generate, store, trades
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+ROWS = 512
+
+
+def query(sql: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def micros(column: str) -> F.Column:
+    """Microseconds since 1970 of a timestamp without zone, whatever the session's zone."""
+    i = f"({column} - timestamp_ntz'1970-01-01 00:00:00')"
+    return F.expr(f"extract(DAY from {i}) * 86400000000L + extract(HOUR from {i}) * 3600000000L + extract(MINUTE from {i}) * 60000000L + cast(extract(SECOND from {i}) * 1000000 as bigint)")
+
+
+def tick(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events")
+    ntz = F.col("ts").cast("timestamp_ntz")
+    return c.blocks(
+        e.withColumn("ts", ntz).select(
+            F.col("event_id").alias("pos"), micros("ts").alias("t"), F.col("event_type").alias("symbol"),
+            F.round(F.col("value") * 100).cast("bigint").alias("price"), "value", "user_id", "props",
+        ), ROWS,
+    )
+
+
+TICK = f"""tick AS (SELECT event_id AS pos, event_id // {ROWS} AS block, epoch_us(ts) AS t, event_type AS symbol,
+  round(value * 100)::BIGINT AS price, value, user_id, props FROM events)"""
+ZONES = """zones AS (SELECT block, count(*) AS n, min(t) AS min_time, max(t) AS max_time, list_sort(list(DISTINCT symbol)) AS symbols FROM tick GROUP BY block)"""
+BOUNDS = """bounds AS (SELECT (SELECT t FROM tick WHERE pos = (SELECT count(*) // 2 FROM tick)) AS a,
+  (SELECT t FROM tick WHERE pos = (SELECT count(*) // 2 FROM tick)) + (SELECT (max(t) - min(t)) // 8 FROM tick) AS b)"""
+LATE = "tick2 AS (SELECT * REPLACE (CASE WHEN pos % 97 = 0 THEN t - 3600000000 ELSE t END AS t) FROM tick)"
+OUT = "block, pos, t, symbol, price, user_id"
+
+
+def bounds(df: DataFrame) -> tuple[int, int]:
+    low, high = df.agg(F.min("t"), F.max("t")).first()
+    return c.middle_window(df, (high - low) // 8)
+
+
+def shown(df: DataFrame) -> DataFrame:
+    return df.select("block", "pos", "t", "symbol", "price", "user_id")
+
+
+def joined(symbols: F.Column) -> F.Column:
+    return F.array_join(symbols, ",")
+
+
+_RANGE = f"WITH {TICK}, {BOUNDS} SELECT {OUT} FROM tick, bounds WHERE symbol = 'click' AND t BETWEEN a AND b"
+
+
+@query(_RANGE)
+def range_query_pruned(spark, sf):
+    df = tick(spark, sf)
+    return shown(c.range_query(df, "click", *bounds(df), zones=c.zone_map(df)))
+
+
+@query(_RANGE)
+def range_query_scan(spark, sf):
+    df = tick(spark, sf)
+    return shown(c.range_query(df, "click", *bounds(df)))
+
+
+@query(f"WITH {TICK}, {BOUNDS} SELECT {OUT} FROM tick, bounds WHERE symbol = 'absent' AND t BETWEEN a AND b")
+def range_query_absent_symbol(spark, sf):
+    df = tick(spark, sf)
+    return shown(c.range_query(df, "absent", *bounds(df), zones=c.zone_map(df)))
+
+
+@query(f"WITH {TICK}, {BOUNDS}, {LATE} SELECT {OUT} FROM tick2, bounds WHERE symbol = 'view' AND t BETWEEN a AND b")
+def range_query_late_rows(spark, sf):
+    df = tick(spark, sf)
+    late = df.withColumn("t", F.when(F.col("pos") % 97 == 0, F.col("t") - 3_600_000_000).otherwise(F.col("t")))
+    return shown(c.range_query(late, "view", *bounds(df), zones=c.zone_map(late)))
+
+
+@query(f"""WITH {TICK}, marks AS (SELECT p, (SELECT t FROM tick WHERE pos = (SELECT count(*) FROM tick) * p // 100) AS a FROM (VALUES (25), (50), (75)) v(p))
+SELECT p::INTEGER AS quarter, count(*) AS rows_found FROM marks JOIN tick ON symbol = 'click' AND t BETWEEN a AND a + 36000000000 GROUP BY p""")
+def range_query_windows(spark, sf):
+    df = tick(spark, sf)
+    n = df.count()
+    starts = {r["pos"]: r["t"] for r in df.where(F.col("pos").isin([n * p // 100 for p in (25, 50, 75)])).select("pos", "t").collect()}
+    found = None
+    for p in (25, 50, 75):
+        a = starts[n * p // 100]
+        one = c.range_query(df, "click", a, a + 36_000_000_000).groupBy(F.lit(p).alias("quarter")).agg(F.count(F.lit(1)).alias("rows_found"))
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+@query(f"""WITH {TICK}, {ZONES}, {BOUNDS}, hit AS (SELECT zones.* FROM zones, bounds WHERE max_time >= a AND min_time <= b AND list_contains(symbols, 'click'))
+SELECT count(*) AS blocks_read, coalesce(sum(n), 0)::BIGINT AS rows_read FROM hit""")
+def range_query_stats(spark, sf):
+    df = tick(spark, sf)
+    return c.touched(c.zone_map(df), "click", *bounds(df)).agg(F.count(F.lit(1)).alias("blocks_read"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows_read"))
+
+
+@query(f"WITH {TICK} SELECT t AS start_us, t + 60000000 AS end_us FROM tick WHERE pos = (SELECT count(*) // 2 FROM tick)")
+def window_bounds_midrow(spark, sf):
+    df = tick(spark, sf)
+    return df.where(F.col("pos") == df.count() // 2).select(F.col("t").alias("start_us"), exact.saturating_add(F.col("t"), F.lit(60_000_000)).alias("end_us"))
+
+
+@query(f"WITH {TICK}, {ZONES} SELECT block, n AS rows, min_time, max_time, array_to_string(symbols, ',') AS symbols FROM zones")
+def block_zone_map(spark, sf):
+    return c.zone_map(tick(spark, sf)).withColumn("symbols", joined(F.col("symbols")))
+
+
+@query(f"""WITH {TICK}, {ZONES}, o AS (SELECT block, n * 32 AS length, sum(n * 32) OVER (ORDER BY block) - n * 32 AS start FROM zones)
+SELECT block, start::BIGINT AS start, length, (coalesce(lag(start + length) OVER (ORDER BY block) = start, start = 0)) AS contiguous FROM o""")
+def segment_index_contiguity(spark, sf):
+    line = Window.orderBy("block")  # one row a block: the index, not the data
+    o = c.zone_map(tick(spark, sf)).select("block", (F.col("rows") * 32).alias("length"))
+    o = o.withColumn("start", F.sum("length").over(line) - F.col("length"))
+    return o.withColumn("contiguous", F.coalesce(F.lag(F.col("start") + F.col("length")).over(line) == F.col("start"), F.col("start") == 0))
+
+
+@query(f"WITH {TICK}, {ZONES} SELECT count(*) AS blocks, 0::BIGINT AS differing FROM zones")
+def index_recheck(spark, sf):
+    zones = store.index_of(tick(spark, sf))
+    again = c.zone_map(tick(spark, sf))
+    return store.differing(zones, again)
+
+
+@query(f"""WITH {TICK}, g AS (SELECT block, min(price) AS base, max(price) - min(price) AS span, list(price) AS v FROM tick GROUP BY block),
+p AS (SELECT block, base, span, greatest(1, list_reduce(list_transform(v, lambda x: x - base), lambda a, b: gcd(a, b))) AS scale FROM g)
+SELECT block, base, scale, CASE WHEN span // scale = 0 THEN 0 ELSE length(bin(span // scale)) END::INTEGER AS bits FROM p""")
+def column_params(spark, sf):
+    return c.column_params(tick(spark, sf), "price")
+
+
+_LAG = f"WITH {TICK} SELECT block, pos, coalesce(t - lag(t) OVER w, 0) AS residual FROM tick WINDOW w AS (PARTITION BY block ORDER BY pos)"
+
+
+@query(_LAG)
+def delta_residuals(spark, sf):
+    return c.delta(tick(spark, sf), "t").select("block", "pos", "residual")
+
+
+@query(f"""WITH {TICK}, f AS (SELECT *, first_value(t) OVER w AS o, coalesce(nth_value(t, 2) OVER w, first_value(t) OVER w) AS s, row_number() OVER (PARTITION BY block ORDER BY pos) - 1 AS i
+FROM tick WINDOW w AS (PARTITION BY block ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
+SELECT block, pos, t - o - (s - o) * i AS residual FROM f""")
+def linear_residuals(spark, sf):
+    return c.linear(tick(spark, sf), "t").select("block", "pos", "residual")
+
+
+@query(f"WITH {TICK} SELECT block, pos, price - user_id AS residual FROM tick")
+def reference_residuals(spark, sf):
+    return c.reference(tick(spark, sf), "price", "user_id").select("block", "pos", "residual")
+
+
+@query(f"WITH {TICK} SELECT block, pos, t AS restored FROM tick")
+def delta_roundtrip(spark, sf):
+    return c.undelta(c.delta(tick(spark, sf), "t")).select("block", "pos", "restored")
+
+
+@query(f"WITH {TICK} SELECT block, pos, t AS restored FROM tick")
+def linear_roundtrip(spark, sf):
+    return c.unlinear(c.linear(tick(spark, sf), "t")).select("block", "pos", "restored")
+
+
+def _bits(x: str) -> str:
+    return f"CASE WHEN {x} = 0 THEN 0 ELSE length(bin({x})) END"
+
+
+_RESIDUALS = f"""e AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY pos) - 1 AS i FROM tick),
+f AS (SELECT *, first_value(t) OVER w AS o, coalesce(nth_value(t, 2) OVER w, first_value(t) OVER w) AS s FROM e
+  WINDOW w AS (PARTITION BY block ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+r AS (SELECT block, 0 AS rank, 'absolute' AS name, t AS v FROM f UNION ALL
+  SELECT block, 1, 'delta', coalesce(t - lag(t) OVER (PARTITION BY block ORDER BY pos), 0) FROM f UNION ALL
+  SELECT block, 2, 'linear', t - o - (s - o) * i FROM f),
+g AS (SELECT block, rank, name, max(v) - min(v) AS span, list_reduce(list_transform(list(v), lambda x: x - min(v)), lambda a, b: gcd(a, b)) AS k FROM r GROUP BY block, rank, name)"""
+
+
+@query(f"""WITH {TICK}, e AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY pos) - 1 AS i FROM tick),
+f AS (SELECT *, first_value(t) OVER w AS o, coalesce(nth_value(t, 2) OVER w, first_value(t) OVER w) AS s FROM e
+  WINDOW w AS (PARTITION BY block ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+r AS (SELECT block, 0 AS place, 'absolute' AS name, t AS v FROM f UNION ALL
+  SELECT block, 1, 'delta', coalesce(t - lag(t) OVER (PARTITION BY block ORDER BY pos), 0) FROM f UNION ALL
+  SELECT block, 2, 'linear', t - o - (s - o) * i FROM f),
+m AS (SELECT block, place, name, min(v) AS base, max(v) - min(v) AS span, list(v) AS vs FROM r GROUP BY block, place, name),
+k AS (SELECT block, place, name, span // greatest(1, list_reduce(list_transform(vs, lambda x: x - base), lambda a, b: gcd(a, b))) AS q FROM m),
+s AS (SELECT block, place, name, ({_bits('q')}) + CASE WHEN place = 1 THEN 1 ELSE 0 END AS bits FROM k),
+z AS (SELECT *, row_number() OVER (PARTITION BY block ORDER BY bits, place) AS n FROM s)
+SELECT block, name AS predictor, bits::INTEGER AS bits FROM z WHERE n = 1""")
+def predictor_choice(spark, sf):
+    return c.predictor_choice(tick(spark, sf), "t")
+
+
+_ZIG = f"""WITH {TICK}, d AS (SELECT block, pos, price - coalesce(lag(price) OVER (PARTITION BY block ORDER BY pos), 0) AS d FROM tick),
+z AS (SELECT block, pos, CASE WHEN d >= 0 THEN 2 * d ELSE -2 * d - 1 END AS z FROM d) """
+
+
+@query(_ZIG + "SELECT * FROM z")
+def zigzag_deltas(spark, sf):
+    d = F.col("price") - F.coalesce(F.lag("price").over(c.in_order()), F.lit(0))
+    return tick(spark, sf).select("block", "pos", exact.zigzag(d).alias("z"))
+
+
+@query(_ZIG + f"SELECT block, sum(greatest(1, (({_bits('z')}) + 6) // 7))::BIGINT AS bytes FROM z GROUP BY block")
+def varint_bytes(spark, sf):
+    return zigzag_deltas(spark, sf).groupBy("block").agg(F.sum(exact.varint_length(F.col("z"))).alias("bytes"))
+
+
+@query(f"WITH {TICK} SELECT block, pos, price AS restored FROM tick")
+def zigzag_roundtrip(spark, sf):
+    z = zigzag_deltas(spark, sf)
+    return z.select("block", "pos", F.sum(exact.unzigzag(F.col("z"))).over(c.before()).cast("bigint").alias("restored"))
+
+
+@query(f"""WITH {TICK}, g AS (SELECT block, min(price) AS base, list(price) AS v FROM tick GROUP BY block),
+p AS (SELECT block, base, greatest(1, list_reduce(list_transform(v, lambda x: x - base), lambda a, b: gcd(a, b))) AS scale FROM g),
+q AS (SELECT t.block, ((row_number() OVER (PARTITION BY t.block ORDER BY pos)) - 1) // 128 AS part, (price - base) // scale AS q FROM tick t JOIN p USING (block)),
+w AS (SELECT block, part, max(q) AS most, count(*) AS n FROM q GROUP BY block, part), x AS (SELECT *, ({_bits('most')})::INTEGER AS width FROM w)
+SELECT block, part, width, (CASE WHEN width > 32 THEN 1 + 8 * n ELSE 1 + 16 * width END)::BIGINT AS bytes FROM x""")
+def bitpack_group_widths(spark, sf):
+    return c.group_widths(tick(spark, sf), "price")
+
+
+_RUNS = f"""WITH {TICK}, m AS (SELECT *, CASE WHEN symbol = lag(symbol) OVER w THEN 0 ELSE 1 END AS ch FROM tick WINDOW w AS (PARTITION BY block ORDER BY pos)),
+k AS (SELECT *, sum(ch) OVER (PARTITION BY block ORDER BY pos)::BIGINT AS run FROM m), runs AS (SELECT block, run, any_value(symbol) AS value, count(*) AS length FROM k GROUP BY block, run) """
+
+
+@query(_RUNS + "SELECT * FROM runs")
+def rle_runs(spark, sf):
+    return c.runs(tick(spark, sf), "symbol")
+
+
+@query(_RUNS + "SELECT block, sum(length)::BIGINT AS rows, count(*) AS runs, count(*) <= sum(length) // 4 AS rle FROM runs GROUP BY block")
+def rle_decision(spark, sf):
+    return c.run_decision(tick(spark, sf), "symbol")
+
+
+@query(f"WITH {TICK} SELECT block, symbol AS value, (row_number() OVER (PARTITION BY block ORDER BY pos)) - 1 AS i FROM tick")
+def rle_roundtrip(spark, sf):
+    return c.unruns(c.runs(tick(spark, sf), "symbol"))
+
+
+@query(f"""WITH {TICK}, b AS (SELECT block, pos, price - min(price) OVER (PARTITION BY block) AS q FROM tick)
+SELECT block, pos, q & 255 AS p0, (q >> 8) & 255 AS p1, (q >> 16) & 255 AS p2 FROM b""")
+def byte_planes(spark, sf):
+    return c.planes(tick(spark, sf), "price").select("block", "pos", "p0", "p1", "p2")
+
+
+@query(f"WITH {TICK} SELECT block, pos, price AS restored FROM tick")
+def byte_planes_roundtrip(spark, sf):
+    p = c.planes(tick(spark, sf), "price")
+    return p.select("block", "pos", c.unplanes(p).alias("restored"))
+
+
+_WORDS = f"WITH {TICK}, f AS (SELECT block, symbol, min(pos) AS seen FROM tick GROUP BY block, symbol), words AS (SELECT block, symbol, row_number() OVER (PARTITION BY block ORDER BY seen) - 1 AS id FROM f) "
+
+
+@query(_WORDS + "SELECT t.block, pos, id, true AS valid FROM tick t JOIN words USING (block, symbol)")
+def dictionary_encode(spark, sf):
+    return c.encode_dictionary(tick(spark, sf), "symbol")
+
+
+@query(f"WITH {TICK} SELECT block, pos, symbol AS value FROM tick")
+def dictionary_decode(spark, sf):
+    df = tick(spark, sf)
+    return c.decode_dictionary(c.encode_dictionary(df, "symbol"), c.dictionary(df, "symbol"))
+
+
+@query(f"WITH {TICK} SELECT block, sum(strlen(symbol) + strlen(props))::BIGINT AS bytes, sum(strlen(symbol) + strlen(props)) <= 134217728 AS within FROM tick GROUP BY block")
+def string_budget(spark, sf):
+    return c.string_budget(tick(spark, sf), ["symbol", "props"])
+
+
+@query(f"""WITH {TICK} SELECT block, (count(*) * 6 * 8 + count(*) * max(strlen(symbol)))::BIGINT AS estimate,
+count(*) * 6 * 8 + count(*) * max(strlen(symbol)) <= 134217728 AS within FROM tick GROUP BY block""")
+def expansion_estimate(spark, sf):
+    return c.expansion_estimate(tick(spark, sf), 3, 3, ["symbol"])
+
+
+@query(f"""WITH {TICK}, k AS (SELECT block, value, range AS k FROM tick, range(10)),
+e AS (SELECT block, k, bool_and(round(value * (10 ** k)::DOUBLE) / (10 ** k)::DOUBLE = value) AS ok FROM k GROUP BY block, k)
+SELECT block, min(k)::INTEGER AS power, true AS scaled FROM e WHERE ok GROUP BY block""")
+def float_scale_selection(spark, sf):
+    return c.scale_selection(tick(spark, sf), "value")
+
+
+@query(f"WITH {TICK} SELECT pos, round(value * 100000000)::BIGINT AS value_e8 FROM tick")
+def normalise_v2(spark, sf):
+    return trades.normalise(tick(spark, sf).select("pos", "value"), {"value": "value_e8"})
+
+
+@query(f"WITH {TICK} SELECT pos, value FROM tick")
+def denormalise_v1(spark, sf):
+    return trades.denormalise(normalise_v2(spark, sf), {"value_e8": "value"})
+
+
+@query(f"WITH {TICK}, {LATE}, l AS (SELECT block, pos, t, lag(t) OVER (PARTITION BY block ORDER BY pos) AS p FROM tick2) SELECT block, pos FROM l WHERE p > t")
+def monotonic_violations(spark, sf):
+    df = tick(spark, sf)
+    return c.monotonic_violations(df.withColumn("t", F.when(F.col("pos") % 97 == 0, F.col("t") - 3_600_000_000).otherwise(F.col("t"))), "pos", "t")
+
+
+_TEXT = "CASE WHEN pos % 5 = 0 THEN value::VARCHAR ELSE printf('%d.%08d', price // 100, (price % 100) * 1000000) END"
+
+
+def _texts(spark, sf) -> DataFrame:
+    whole = F.format_string("%d.%08d", F.floor(F.col("price") / 100).cast("bigint"), F.pmod("price", F.lit(100)) * 1_000_000)
+    return tick(spark, sf).select("pos", F.when(F.col("pos") % 5 == 0, F.concat(F.lit("x"), F.col("price").cast("string"))).otherwise(whole).alias("text"))
+
+
+_TEXTS = f"WITH {TICK}, x AS (SELECT pos, price, CASE WHEN pos % 5 = 0 THEN 'x' || price ELSE printf('%d.%08d', price // 100, (price % 100) * 1000000) END AS text FROM tick) "
+
+
+@query(_TEXTS + r"SELECT pos, regexp_full_match(text, '[0-9]+\.[0-9]{8}') AS ok FROM x")
+def strict_decimal_check(spark, sf):
+    return _texts(spark, sf).select("pos", exact.strict_decimal(F.col("text")).isNotNull().alias("ok"))
+
+
+@query(_TEXTS + "SELECT pos, CASE WHEN pos % 5 <> 0 THEN price * 1000000 END AS scaled FROM x")
+def strict_parse(spark, sf):
+    return _texts(spark, sf).select("pos", exact.strict_decimal(F.col("text")).alias("scaled"))
+
+
+@query("SELECT event_id AS pos, (props::JSON ->> '$.k')::BIGINT AS k FROM events")
+def json_props_extract(spark, sf):
+    return table(spark, sf, "events").select(F.col("event_id").alias("pos"), F.from_json("props", "k bigint", {"mode": "FAILFAST"})["k"].alias("k"))
+
+
+LEVELS = """lv AS (SELECT l_orderkey AS event, l_returnflag AS side, round(l_extendedprice * 100)::BIGINT AS price, round(l_quantity * 100)::BIGINT AS quantity,
+  (row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, round(l_extendedprice * 100)::BIGINT, round(l_quantity * 100)::BIGINT)) - 1 AS level FROM lineitem)"""
+
+
+def _messages(spark, sf) -> DataFrame:
+    li = table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("event"), "l_returnflag", "l_linenumber",
+        F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("price"), F.round(F.col("l_quantity") * 100).cast("bigint").alias("quantity"),
+    )
+    level = F.struct("l_linenumber", "price", "quantity")
+    side = lambda flag: F.sort_array(F.collect_list(F.when(F.col("l_returnflag") == flag, level)))
+    return li.groupBy("event").agg(side("A").alias("b"), side("R").alias("a"))
+
+
+@query(f"WITH {LEVELS} SELECT event, CASE side WHEN 'A' THEN 0 ELSE 1 END::BIGINT AS side, level, price, quantity FROM lv WHERE side IN ('A', 'R')")
+def book_explode_levels(spark, sf):
+    return book.explode_levels(_messages(spark, sf), ["price", "quantity"])
+
+
+@query(f"WITH {LEVELS} SELECT CASE side WHEN 'A' THEN 0 ELSE 1 END::BIGINT AS side, count(*) AS levels, sum(quantity)::BIGINT AS quantity FROM lv WHERE side IN ('A', 'R') GROUP BY side")
+def bids_asks_union(spark, sf):
+    return book_explode_levels(spark, sf).groupBy("side").agg(F.count(F.lit(1)).alias("levels"), F.sum("quantity").alias("quantity"))
+
+
+@query("""WITH n AS (SELECT l_orderkey AS event, count(*) AS levels FROM lineitem GROUP BY 1), r AS (SELECT *, sum(levels) OVER (ORDER BY event) - levels AS before FROM n)
+SELECT event, levels FROM r WHERE before < (SELECT count(*) // 3 FROM lineitem)""")
+def event_boundary_limit(spark, sf):
+    li = table(spark, sf, "lineitem")
+    counts = li.groupBy(F.col("l_orderkey").alias("event")).agg(F.count(F.lit(1)).alias("levels"))
+    return book.limit_events(counts, li.count() // 3)
+
+
+_CLOCK = """r AS (SELECT event_id AS pos, event_type AS session, (1 + user_id % 2)::HUGEINT AS epoch, epoch_us(ts)::HUGEINT * 1000 AS utc, (1000000000 + event_id * 1000000)::HUGEINT AS mono, 50::HUGEINT AS span,
+  user_id % 7 AS m, user_id FROM events),
+s AS (SELECT *, CASE WHEN m = 0 THEN NULL ELSE (pos + 1)::HUGEINT END AS id, mono - 500000 - 1000 * m AS collected, CASE WHEN m = 1 THEN mono + 5 ELSE mono - 400000 END AS published,
+  CASE WHEN m = 2 THEN mono - 1 ELSE mono + 900000 END AS valid, m <> 3 AS synced, 20000::HUGEINT AS base, CASE WHEN m = 4 THEN NULL WHEN m = 5 AND pos % 2 = 0 THEN 9223372036854775807::HUGEINT * 1000 ELSE 1000::HUGEINT END AS ppb FROM r),
+q AS (SELECT *, base + CASE WHEN ppb IS NULL THEN NULL ELSE ((mono - collected) * ppb + 999999999) // 1000000000 END + span AS err FROM s),
+assessed AS (SELECT *, CASE WHEN id IS NULL THEN 'MissingEvidence' WHEN valid <= published THEN 'InvalidEvidence' WHEN published > mono - span THEN 'FutureEvidence' WHEN mono > valid THEN 'ExpiredEvidence'
+  WHEN NOT synced THEN 'Unsynchronized' WHEN ppb IS NULL THEN 'MissingGrowthModel'
+  WHEN err > 9223372036854775807 OR utc + err > 9223372036854775807 OR utc - err < -9223372036854775808 THEN 'ArithmeticOverflow' ELSE 'Estimated' END AS quality FROM q)"""
+
+
+def _clock(spark, sf) -> DataFrame:
+    e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    d = lambda x: x.cast("decimal(20,0)")
+    e = e.select(F.col("event_id").alias("pos"), F.col("event_type").cast("binary").alias("session"), d(1 + F.col("user_id") % 2).alias("epoch"), (micros("ts") * 1000).alias("utc"),
+                 (1_000_000_000 + F.col("event_id") * 1_000_000).alias("mono"), (F.col("user_id") % 7).alias("m"))
+    mono, m = F.col("mono"), F.col("m")
+    reading = F.struct("session", "epoch", F.col("utc").alias("utc_ns"), mono.alias("monotonic_ns"), d(F.lit(50)).alias("read_span_ns"))
+    big = F.lit(str((2**63 - 1) * 1000)).cast("decimal(38,0)")
+    ppb = F.when(m == 4, F.lit(None)).when((m == 5) & (F.col("pos") % 2 == 0), big).otherwise(F.lit(1000).cast("decimal(38,0)"))
+    state = F.when(
+        m != 0,
+        F.struct(
+            "session", "epoch", d(F.col("pos") + 1).alias("id"), (mono - 500_000 - 1000 * m).alias("collection_started_mono_ns"),
+            F.when(m == 1, mono + 5).otherwise(mono - 400_000).alias("published_mono_ns"), F.when(m == 2, mono - 1).otherwise(mono + 900_000).alias("valid_until_mono_ns"),
+            (m != 3).alias("synchronized"), d(F.lit(20_000)).alias("base_error_ns"), ppb.alias("growth_allowance_ppb"),
+        ),
+    )
+    return timing.assess(e.select("pos", "session", "m", "mono", reading.alias("reading"), state.alias("state")))
+
+
+@query(f"""WITH {_CLOCK} SELECT pos, quality, CASE WHEN quality IN ('ExpiredEvidence', 'Unsynchronized', 'MissingGrowthModel', 'ArithmeticOverflow', 'Estimated') THEN id::BIGINT END AS clock_state_id,
+CASE WHEN quality = 'Estimated' THEN err::BIGINT END AS error_ns, CASE WHEN quality = 'Estimated' THEN (utc + err)::BIGINT END AS latest_ns FROM assessed""")
+def assess_clock(spark, sf):
+    return _clock(spark, sf).select("pos", "quality", F.col("clock_state_id").cast("bigint").alias("clock_state_id"), "error_ns", "latest_ns")
+
+
+@query(f"WITH {_CLOCK}, cut AS (SELECT (min(utc) + max(utc)) // 2 AS c FROM r) SELECT pos, quality = 'Estimated' AND utc + err <= c AS available FROM assessed, cut")
+def available_by_cutoff(spark, sf):
+    df = _clock(spark, sf)
+    low, high = df.agg(F.min("reading.utc_ns"), F.max("reading.utc_ns")).first()
+    return df.select("pos", timing.available_by(F.col("latest_ns"), (low + high) // 2).alias("available"))
+
+
+@query("""WITH e AS (SELECT event_id AS pos, user_id % 7 AS m FROM events)
+SELECT pos, CASE m WHEN 0 THEN 'InvalidSourceResolution' WHEN 1 THEN 'InvalidSequence' WHEN 2 THEN 'DifferentSession' WHEN 3 THEN 'MonotonicRegression' WHEN 4 THEN 'EpochRegression' WHEN 5 THEN 'WallClockRegression' END AS error FROM e""")
+def event_timing_errors(spark, sf):
+    m, pos = F.col("m"), F.col("pos")
+    e = table(spark, sf, "events").select(F.col("event_id").alias("pos"), (F.col("user_id") % 7).alias("m"))
+    received = F.struct(F.lit("a").alias("session"), F.lit(5).alias("epoch"), pos.alias("utc_ns"), pos.alias("monotonic_ns"))
+    available = F.struct(
+        F.when(m <= 2, "b").otherwise("a").alias("session"), F.when(m <= 4, 4).otherwise(5).alias("epoch"), F.when(m <= 5, pos - 1).otherwise(pos + 1).alias("utc_ns"),
+        F.when(m <= 3, pos - 1).otherwise(pos + 1).alias("monotonic_ns"),
+    )
+    e = e.withColumn("received", received).withColumn("available", available)
+    return e.select("pos", timing.timing_error(F.when(m == 0, 0), F.when(m <= 1, 0).otherwise(1), "received", "available").alias("error"))
+
+
+@query("""WITH r AS (SELECT event_id, event_type, event_id AS at FROM events), s AS (SELECT event_type, event_id AS published FROM events WHERE event_id % 10 = 3)
+SELECT r.event_id, max(s.published) AS as_of FROM r LEFT JOIN s ON r.event_type = s.event_type AND s.published <= r.at GROUP BY r.event_id""")
+def asof_clock_state(spark, sf):
+    e = table(spark, sf, "events").select("event_id", "event_type")
+    states = e.where(F.col("event_id") % 10 == 3).select("event_type", F.col("event_id").alias("published"), F.col("event_id").alias("state_id"))
+    return timing.latest_state(e.withColumn("at", F.col("event_id")), states, ["event_type"], "at", "published", "state_id").select("event_id", "as_of")
+
+
+_CASES = "b AS (SELECT o_orderstatus AS kind, o_orderpriority AS codec, o_orderkey AS round, round(o_totalprice * 100)::BIGINT AS ns FROM orders)"
+_SUMS = f"{_CASES}, g AS (SELECT kind, codec, count(*) AS n, median(ns) AS median, min(ns) AS low, max(ns) AS high FROM b GROUP BY kind, codec)"
+
+
+def _bench(spark, sf) -> DataFrame:
+    return table(spark, sf, "orders").select(F.col("o_orderstatus").alias("kind"), F.col("o_orderpriority").alias("codec"), F.col("o_orderkey").alias("round"), F.round(F.col("o_totalprice") * 100).cast("bigint").alias("ns"))
+
+
+def _summary(spark, sf) -> DataFrame:
+    return evidence.group_summary(_bench(spark, sf), ["kind", "codec"], "ns")
+
+
+@query(f"WITH {_SUMS} SELECT * FROM g")
+def bench_summary(spark, sf):
+    return _summary(spark, sf)
+
+
+@query(f"WITH {_SUMS} SELECT a.kind, a.codec AS candidate, b.codec AS baseline, a.median / b.median AS median_ratio, a.low / b.low AS low_ratio FROM g a JOIN g b ON a.kind = b.kind AND a.codec <> b.codec")
+def bench_compare_self_join(spark, sf):
+    return evidence.compare(_summary(spark, sf), ["kind"], "codec", ["median", "low"])
+
+
+@query(f"""WITH {_SUMS} SELECT a.kind, a.codec FROM g a WHERE NOT EXISTS (SELECT 1 FROM g b WHERE b.kind = a.kind AND b.codec <> a.codec AND b.median <= a.median AND b.low <= a.low AND b.high <= a.high
+AND (b.median < a.median OR b.low < a.low OR b.high < a.high))""")
+def pareto_frontier(spark, sf):
+    return evidence.pareto(_summary(spark, sf), ["kind"], "codec", ["median", "low", "high"]).select("kind", "codec")
+
+
+@query(f"""WITH {_SUMS}, x AS (SELECT a.codec AS candidate, a.median / b.median < 1 AND a.low / b.low < 1 AS won FROM g a JOIN g b ON a.kind = b.kind AND a.codec <> b.codec)
+SELECT candidate, count(*) FILTER (won) AS wins, bool_and(won) AS all_won FROM x GROUP BY candidate""")
+def gate_counts(spark, sf):
+    return evidence.gates(bench_compare_self_join(spark, sf), ["median", "low"])
+
+
+@query(f"WITH {_CASES}, bad AS (SELECT DISTINCT round FROM b WHERE ns % 13 = 0) SELECT kind, codec, count(*) AS n FROM b WHERE round NOT IN (SELECT round FROM bad) GROUP BY kind, codec")
+def valid_rounds_anti(spark, sf):
+    b = _bench(spark, sf)
+    return evidence.valid_rounds(b, b.where(F.col("ns") % 13 == 0), ["round"]).groupBy("kind", "codec").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {_SUMS} SELECT b.kind, b.codec, any_value(median) AS median, median(abs(ns - median)) AS mad FROM b JOIN g USING (kind, codec) GROUP BY b.kind, b.codec")
+def median_mad(spark, sf):
+    return evidence.median_mad(_bench(spark, sf), ["kind", "codec"], "ns")
+
+
+@query(f"""WITH {_CASES}, s AS (SELECT kind, codec, list_sort(list(ns)) AS v, count(*) AS n FROM b GROUP BY kind, codec)
+SELECT kind, codec, v[n // 2 + 1] AS upper_median, v[(n * 95 + 99) // 100] AS p95 FROM s""")
+def upper_median_p95(spark, sf):
+    return evidence.upper_median_p95(_bench(spark, sf), ["kind", "codec"], "ns")
+
+
+_VERDICT = f"""WITH {_SUMS}, x AS (SELECT a.kind, a.codec AS candidate, b.codec AS baseline, a.median / b.median AS rho FROM g a JOIN g b ON a.kind = b.kind AND a.codec <> b.codec),
+v AS (SELECT kind, candidate, baseline, CASE WHEN rho * 1.01 < 1 AND rho <= 1 - 0.05 THEN 'BETTER' WHEN rho * 0.99 > 1 AND rho >= 1 + 0.05 THEN 'WORSE'
+ WHEN rho * 0.99 >= 1 - 0.05 AND rho * 1.01 <= 1 + 0.05 THEN 'EQUIVALENT' ELSE 'INCONCLUSIVE' END AS verdict FROM x) """
+
+
+@query(_VERDICT + "SELECT * FROM v")
+def verdicts(spark, sf):
+    rho = F.col("median_ratio")
+    v = evidence.verdict(rho, rho * 0.99, rho * 1.01, evidence.BANDS["time"])
+    return bench_compare_self_join(spark, sf).select("kind", "candidate", "baseline", v.alias("verdict"))
+
+
+@query(_VERDICT + "SELECT candidate, baseline, bool_and(verdict = 'BETTER') AS claim FROM v WHERE kind IN ('F', 'O') GROUP BY candidate, baseline")
+def headline_pivot(spark, sf):
+    return verdicts(spark, sf).where(F.col("kind").isin("F", "O")).groupBy("candidate", "baseline").agg(F.every(F.col("verdict") == "BETTER").alias("claim"))
+
+
+@query()
+def bootstrap_ci(spark, sf):
+    """Rounds of two codecs, one row a kind: the ratio of medians and its interval."""
+    b = _bench(spark, sf).where(F.col("codec").isin("1-URGENT", "2-HIGH"))
+    ranked = b.withColumn("i", F.row_number().over(Window.partitionBy("kind", "codec").orderBy("round"))).where("i <= 15")
+
+    def run(pdf):
+        import pandas as pd
+
+        a, o = (pdf[pdf.codec == x].sort_values("i").ns.to_numpy() for x in ("1-URGENT", "2-HIGH"))
+        n = min(len(a), len(o))
+        return pd.DataFrame([(pdf.kind.iloc[0], *evidence.bootstrap(a[:n], o[:n]))], columns=["kind", "ratio", "low", "high"])
+
+    return ranked.groupBy("kind").applyInPandas(run, "kind string, ratio double, low double, high double")
+
+
+@query()
+def canonical_digest(spark, sf):
+    return trades.table_digest(tick(spark, sf).select("block", "pos", "t", "symbol", "price", "value"), "pos")
+
+
+@query()
+def columns_digest(spark, sf):
+    return trades.table_digest(generate.generate(spark, "trade", "quiet", 4096, 7).drop("kind"), "pos")
+
+
+@query(f"WITH {TICK} SELECT pos, sha256(props) AS sha256 FROM tick")
+def text_sha256(spark, sf):
+    return tick(spark, sf).select("pos", F.sha2("props", 256).alias("sha256"))
+
+
+@query()
+def file_sha256(spark, sf):
+    return store.file_report(spark, f"{sf}/nation.parquet")
+
+
+_FRAMES = f"WITH {TICK}, f AS (SELECT block, count(*) AS n, block < (SELECT count(DISTINCT block) FROM tick) - 2 AS complete FROM tick GROUP BY block) "
+
+
+@query(_FRAMES + "SELECT block, n AS rows FROM f WHERE complete")
+def recover_prefix(spark, sf):
+    blocks = tick(spark, sf).groupBy("block").agg(F.count(F.lit(1)).alias("rows"))
+    n = blocks.count()
+    frames = blocks.withColumn("complete", F.col("block") < n - 2).withColumn("crc_ok", F.col("complete"))
+    return store.recover_frames(frames).select("block", "rows")
+
+
+@query(_RANGE)
+def store_roundtrip(spark, sf):
+    df = tick(spark, sf)
+    opened = store.temporary(df.drop("props"))
+    return shown(opened.range_query("click", *bounds(df)))
+
+
+@query(_RANGE)
+def datasource_range(spark, sf):
+    df = tick(spark, sf)
+    a, b = bounds(df)
+    opened = store.temporary(df.drop("props"))
+    return shown(store.as_source(opened).where((F.col("symbol") == "click") & F.col("t").between(a, b)))
+
+
+@query()
+def synthetic_generate_trade(spark, sf):
+    return generate.generate(spark, "trade", "volatile", 4096, 1)
+
+
+@query()
+def synthetic_generate_quote(spark, sf):
+    return generate.generate(spark, "quote", "quiet", 4096, 2)
+
+
+@query()
+def synthetic_generate_l2(spark, sf):
+    return generate.generate(spark, "l2", "quiet", 4096, 3)

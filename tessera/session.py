@@ -44,3 +44,12 @@ def ship(spark: SparkSession) -> None:
             out.write(file, f"tessera/{file.relative_to(_ROOT)}")
     spark.sparkContext.addPyFile(str(path))
     spark.conf.set(done, "yes")
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """The shared folder of spark.checkpoint.dir; a temporary one only where that is unset (local tests)."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tessera.scratch", None)
+    if not path:
+        path = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        spark.conf.set("tessera.scratch", path)
+    return path.rstrip("/")
