@@ -76,7 +76,7 @@ def exact_scaled(v: Column, power: int) -> Column:
     s = F.lit(float(10**power))
     n = F.round(v * s)
     fits = (F.abs(n) < F.lit(9.2233720368547748e18)) & ~F.isnan(v) & (F.abs(v) < float("inf"))
-    negative_zero = (v == 0) & (F.atan2(v, F.lit(-1.0)) < 0)
+    negative_zero = v.cast("string") == "-0.0"
     return F.when(fits & (n / s == v) & ~negative_zero, n.cast("bigint"))
 
 

@@ -39,7 +39,7 @@ def zone_map(df: DataFrame, time: str = "t", symbol: str = "symbol") -> DataFram
 
 
 def column_params(df: DataFrame, column: str) -> DataFrame:
-    """block, base (min), scale (gcd of offsets, 1 at least), bits of the largest quotient. Offsets wrap to unsigned 64 bits."""
+    """block, base (min), scale (gcd of offsets, 1 at least), bits of the largest quotient. Offsets wrap to unsigned 64 bits; a scale above a long is its bit pattern."""
     ship(df.sparkSession)
 
     def run(table: pa.Table) -> pa.Table:
@@ -47,7 +47,7 @@ def column_params(df: DataFrame, column: str) -> DataFrame:
         base = v.min()
         offsets = v.view(np.uint64) - np.int64(base).view(np.uint64)
         scale = max(1, int(np.gcd.reduce(np.unique(offsets))))
-        return pa.table({"block": [table["block"][0].as_py()], "base": [int(base)], "scale": pa.array([scale], pa.int64()), "bits": pa.array([(int(offsets.max()) // scale).bit_length()], pa.int32())})
+        return pa.table({"block": [table["block"][0].as_py()], "base": [int(base)], "scale": pa.array(np.array([scale], np.uint64).view(np.int64)), "bits": pa.array([(int(offsets.max()) // scale).bit_length()], pa.int32())})
 
     return df.select("block", column).groupBy("block").applyInArrow(run, "block long, base long, scale long, bits int")
 
