@@ -13,7 +13,7 @@ The work grows with queries times vectors: exact search in many dimensions prune
 
 Defined cases: vectors that are null, or hold a null or non-finite component, take no part, nor do rows without id; only vectors of a query's own length are its
 candidates; rows with the query's id are its own row and no candidates of it; identical repeated rows count once;
-fewer than k candidates give all; an empty table gives an empty result; scores beyond 64 bits are cut to the limits of a long.
+fewer than k candidates give all; an empty table gives an empty result; scores beyond 64 bits are cut to the limits of a long, and are ties there.
 """
 
 from __future__ import annotations
@@ -75,6 +75,8 @@ class KdTree:
                 continue
             start, end = self.span[node]
             scores = self.points[start:end] @ query
+            if scores.dtype == object:
+                scores = np.array([max(-(2**63), min(2**63 - 1, s)) for s in scores], object)
             for i in np.flatnonzero(scores >= threshold).tolist():
                 if (vec := int(self.ids[start + i])) == own:
                     continue
@@ -110,7 +112,7 @@ def _search(queries: pa.Table, vectors: pa.Table, k: int) -> pa.Table:
             kths = np.array([float("-inf") if x is None else x for x in queries["kth"].to_pylist()], object)[qdim == dim]
             for x, own, least in zip(q, queries["query_id"].to_numpy()[qdim == dim].tolist(), kths, strict=True):
                 hits = tree.search(x, own, k, least) if tree else [(0, i) for i in sorted(ids.tolist()) if i != own][:k]
-                out += [(own, vec, max(-(2**63), min(2**63 - 1, int(s)))) for s, vec in hits]
+                out += [(own, vec, int(s)) for s, vec in hits]
     return pa.table([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], ["query_id", "vec_id", "score"])
 
 
