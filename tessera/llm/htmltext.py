@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
+from .common import spread
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -212,4 +213,4 @@ def extract_pages(pages: DataFrame, training=TRAINING) -> DataFrame:
             )
 
     plain = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string"))
-    return plain.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return spread(plain).mapInArrow(run, "page_id long, url string, text string, n_chars long")

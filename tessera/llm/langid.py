@@ -25,10 +25,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import worker_state
+from .common import spread, worker_state
 
 _LETTERS = regex.compile(r"\p{L}+")
-_MARK, _FIELD, _KEEP = " ", 40, 400_000
+_MARK, _FIELD, _KEEP = " ", 40, 200_000
 
 
 class SuffixAutomaton:
@@ -115,7 +115,7 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def learn(docs: DataFrame, docs_per_language: int = 300, chars_per_document: int = 4000, chars_per_language: int = 120_000) -> dict[str, str]:
+def learn(docs: DataFrame, docs_per_language: int = 300, chars_per_document: int = 4000, chars_per_language: int = 80_000) -> dict[str, str]:
     """Normalised text of each language from documents that are not held out: words in lower case with marks between."""
     taught = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     shares = {r["lang"]: min(1.0, docs_per_language / r["n"]) for r in taught.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -149,7 +149,7 @@ def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
             )
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return plain.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return spread(plain).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, samples: dict[str, str], languages: list[str] | None = None) -> DataFrame:
@@ -165,4 +165,4 @@ def keep_identified(docs: DataFrame, samples: dict[str, str], languages: list[st
             names = [model.predict(text.as_py())[0] for text in batch.column(at)]
             yield batch.filter(pa.array([x != "und" and (allowed is None or x in allowed) for x in names], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return spread(docs).mapInArrow(run, docs.schema)

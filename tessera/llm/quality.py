@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
+from .common import spread
 
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
 _SPACES = str.maketrans("", "", "\x20\x09\x0a\x0b\x0c\x0d")
@@ -207,4 +208,4 @@ def judge(docs: DataFrame, model: BoostedTrees | None, threshold: float = 0.5) -
             )
 
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in _BASE) + ", base_failed boolean, score double, kept boolean"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return spread(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(run, schema)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import Scratch
+from .common import Scratch, spread, worker_state
 
 SEED = 42
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # offset and width in bits
@@ -61,11 +61,12 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_state("simhash", golay)
         for batch in batches:
             found = np.array([fingerprint(text.as_py(), shingle) for text in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return spread(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(run, "doc_id long, fp long")
 
 
 class Golay:
