@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import spread, worker_state
+from .common import spread, trim, worker_state
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 _SPAN = 256  # ranks under one bit of the upper level
@@ -171,6 +171,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, pattern: str | No
                 columns.append(pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(all_ids), np.int32))))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
+        trim()
 
     return spread(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(run, schema)
 

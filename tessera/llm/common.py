@@ -3,11 +3,13 @@ executor can reach, tables written there to cut lineage, and small helpers."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +56,21 @@ def worker_state(key: object, make: Callable[[], object]) -> object:
     return _state[key]
 
 
+_calls = [0]
+
+
+def trim(every: int = 1) -> None:
+    """Gives memory that a Python worker has freed back to the system, at each ``every``-th call: idle workers of earlier stages
+    share an executor's memory with the JVM."""
+    _calls[0] += 1
+    if _calls[0] % every == 0:
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+
 class Scratch:
     """Tables in the shared folder. table() writes a frame and reads it back, so that nothing later
     recomputes it or depends on an executor; drop() deletes one that no plan needs any longer."""

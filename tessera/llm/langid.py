@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import spread, worker_state
+from .common import spread, trim, worker_state
 
 _LETTERS = regex.compile(r"\p{L}+")
 _MARK, _FIELD, _KEEP = " ", 40, 200_000
@@ -147,6 +147,7 @@ def identify(docs: DataFrame, samples: dict[str, str]) -> DataFrame:
                 [batch.column(0), batch.column(1), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())],
                 ["doc_id", "held_out", "lang_pred", "score"],
             )
+        trim()
 
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
     return spread(plain).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
@@ -164,5 +165,6 @@ def keep_identified(docs: DataFrame, samples: dict[str, str], languages: list[st
             at = batch.schema.get_field_index("text")
             names = [model.predict(text.as_py())[0] for text in batch.column(at)]
             yield batch.filter(pa.array([x != "und" and (allowed is None or x in allowed) for x in names], pa.bool_()))
+        trim()
 
     return spread(docs).mapInArrow(run, docs.schema)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import spread
+from .common import spread, trim
 
 _SYMBOLS = re.compile(r"[#*$%&|<>]")
 _SPACES = str.maketrans("", "", "\x20\x09\x0a\x0b\x0c\x0d")
@@ -181,6 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = 12_000) -> Boost
         for batch in batches:
             _, features = _rows(batch)
             yield pa.RecordBatch.from_arrays([batch.column(2), *[pa.array(c) for c in features.T]], ["quality", *FEATURES])
+        trim()
 
     schema = "quality double, " + ", ".join(f"{f} double" for f in FEATURES)
     plain = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
@@ -206,6 +207,7 @@ def judge(docs: DataFrame, model: BoostedTrees | None, threshold: float = 0.5) -
                 [batch.column(0), *[pa.array(c) for c in base.T], pa.array(failed), pa.array(score), pa.array(~failed & (score >= threshold))],
                 ["doc_id", *_BASE, "base_failed", "score", "kept"],
             )
+        trim()
 
     schema = "doc_id long, " + ", ".join(f"{c} long" for c in _BASE) + ", base_failed boolean, score double, kept boolean"
     return spread(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(run, schema)

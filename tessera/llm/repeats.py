@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import Scratch
+from .common import Scratch, trim, worker_state
 
 CHUNK_BYTES, BUCKET_KEYS, LEAST_BUCKET_BITS = 512_000, 1_000_000, 8
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)  # odd, so that powers have inverses modulo 2**64
@@ -204,9 +204,27 @@ def member(keys: np.ndarray, of: np.ndarray, more: np.ndarray | None = None, of_
     return hit
 
 
+def frugal(run: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
+    """run for one group, without what other operators keep in the worker, giving freed memory back now and then."""
+
+    def one(left: pa.Table) -> pa.Table:
+        worker_state("repeats", dict)
+        out = run(left)
+        trim(4)
+        return out
+
+    def two(left: pa.Table, right: pa.Table) -> pa.Table:
+        worker_state("repeats", dict)
+        out = run(left, right)
+        trim(4)
+        return out
+
+    return two if run.__code__.co_argcount == 2 else one
+
+
 def exchange(sent: DataFrame, width: int, scratch: Scratch, name: str) -> DataFrame:
     """Answers to messages, as a table."""
-    return scratch.table(sent.groupBy("bucket").applyInArrow(lambda t: answer(t, width), ANSWER), name)
+    return scratch.table(sent.groupBy("bucket").applyInArrow(frugal(lambda t: answer(t, width)), ANSWER), name)
 
 
 def with_answers(docs: DataFrame, answers: list[DataFrame], run: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
@@ -216,4 +234,4 @@ def with_answers(docs: DataFrame, answers: list[DataFrame], run: Callable[[pa.Ta
     for kind, a in enumerate(answers):
         a = a.withColumn("kind", F.lit(kind))
         every = a if every is None else every.unionByName(a)
-    return docs.groupBy("chunk").cogroup(every.groupBy("chunk")).applyInArrow(run, schema)
+    return docs.groupBy("chunk").cogroup(every.groupBy("chunk")).applyInArrow(frugal(run), schema)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import Scratch, spread, worker_state
+from .common import Scratch, spread, trim, worker_state
 
 SEED = 42
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # offset and width in bits
@@ -65,6 +65,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
         for batch in batches:
             found = np.array([fingerprint(text.as_py(), shingle) for text in batch.column(1)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
+        trim()
 
     return spread(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(run, "doc_id long, fp long")
 
@@ -153,6 +154,7 @@ def links(distinct: DataFrame, bits: int, partitions: int) -> DataFrame:
                 part = np.ascontiguousarray(fps[at : at + 2048])
                 keys, owners = fuzzy_keys(part)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(part[owners])], ["key", "fp"])
+        trim()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by key; the last key of a batch waits for the next batch."""

@@ -29,7 +29,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from ..session import ship
 from .common import Scratch
-from .repeats import MESSAGE, Prefix, answered, bucket_bits, chunk_of, chunked, exchange, member, messages, mix, narrow, short_key, with_answers
+from .repeats import MESSAGE, Prefix, answered, bucket_bits, chunk_of, chunked, exchange, frugal, member, messages, mix, narrow, short_key, with_answers
 
 WINDOW = 35
 _SPACE = np.zeros(256, bool)
@@ -94,7 +94,7 @@ def repeats(docs: DataFrame, scratch: Scratch, window: int = WINDOW) -> tuple[Da
         own = words.place[: len(whole)][whole] % block == 0
         return messages(table["chunk"][0].as_py(), bits, keys, asked=own)
 
-    anchors = exchange(rows.groupBy("chunk").applyInArrow(probe, MESSAGE), 6, scratch, "anchors")
+    anchors = exchange(rows.groupBy("chunk").applyInArrow(frugal(probe), MESSAGE), 6, scratch, "anchors")
 
     def extend(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:

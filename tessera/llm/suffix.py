@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from .common import Scratch
-from .repeats import MESSAGE, Prefix, answered, answered_pairs, bucket_bits, chunked, exchange, member, messages, mix, narrow, short_key, with_answers
+from .repeats import MESSAGE, Prefix, answered, answered_pairs, bucket_bits, chunked, exchange, frugal, member, messages, mix, narrow, short_key, with_answers
 
 LENGTH, GRAM = 200, 32
 _PLACE_BITS = 28  # a chunk has at most 2**28 bytes; longer single texts are refused
@@ -189,7 +189,7 @@ def digest(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame
     def anchors(table: pa.Table) -> pa.Table:
         return messages(table["chunk"][0].as_py(), bits, Spans(_texts(table), length, gram).keys)
 
-    found = exchange(rows.groupBy("chunk").applyInArrow(anchors, MESSAGE), 6, scratch, "anchors")
+    found = exchange(rows.groupBy("chunk").applyInArrow(frugal(anchors), MESSAGE), 6, scratch, "anchors")
 
     def whole(table: pa.Table, answers: pa.Table) -> pa.Table:
         names = ["gram", "u", "v", "chunk", "n"]
