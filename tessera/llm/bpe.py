@@ -30,7 +30,7 @@ from .common import spread, trim, worker_state
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 _SPAN = 256  # ranks under one bit of the upper level
-_KEEP_BYTES, _LONGEST_KEPT, _KEEP_PAIRS = 48_000_000, 256, 1_000_000
+_KEEP_BYTES, _LONGEST_KEPT, _KEEP_PAIRS = 32_000_000, 256, 500_000
 
 
 class RankQueue:
