@@ -210,13 +210,13 @@ def frugal(run: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
     def one(left: pa.Table) -> pa.Table:
         worker_state("repeats", dict)
         out = run(left)
-        trim(4)
+        trim(32)
         return out
 
     def two(left: pa.Table, right: pa.Table) -> pa.Table:
         worker_state("repeats", dict)
         out = run(left, right)
-        trim(4)
+        trim(32)
         return out
 
     return two if run.__code__.co_argcount == 2 else one
