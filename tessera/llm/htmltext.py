@@ -9,7 +9,8 @@ words, less those of boilerplate elements inside it, are cut into blocks at bloc
 References are decoded, white space inside a block becomes one space, blocks are joined by two line feeds.
 
 Defined cases: null html is empty text; a page without a positive word is empty text; repeated rows are extracted each; an empty table gives an
-empty result; broken markup is read as far as it goes (unclosed comments and scripts run to the end); other columns are ignored.
+empty result; broken markup is read as far as it goes (unclosed comments and scripts run to the end; quotes count only where they open an
+attribute's value); other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ from .common import spread
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|textarea|title)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
+    r"|<(?P<raw>script|style|noscript|template|svg|textarea|title)\b(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>"
     r"|<[!?][^>]*>",
     re.S | re.I,
 )
