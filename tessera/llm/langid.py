@@ -5,7 +5,8 @@ the longest pieces that occur in that text; fewer pieces mean a better fit. A te
 pieces * log2(size of the language's text) / letters, the usual estimate of cross entropy from cross-parsing; the language with the
 lowest cost wins, ties to the smaller name. The score is 1 - lowest / second lowest.
 
-Learning takes at most ``docs_per_language`` documents of each language (about; chosen by a hash of doc_id) and of each
+Learning takes at most ``docs_per_language`` documents of each language (about; chosen by a hash of doc_id, or of the text
+where that is null; repeated rows count once) and of each
 the first ``chars_per_document`` characters, ``chars_per_language`` in all; these bounds are parameters. Predictions parse
 whole texts and use the text alone. Word costs are kept in each Python worker, up to a fixed number.
 
@@ -122,8 +123,8 @@ def learn(docs: DataFrame, docs_per_language: int = 300, chars_per_document: int
     if not shares:
         return {}
     share = F.element_at(F.create_map(*[F.lit(x) for item in shares.items() for x in item]), F.col("lang"))
-    draw = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.lit("language sample")), F.lit(1_000_000)) / 1e6
-    rows = taught.where(draw < share).select("doc_id", "lang", F.substring("text", 1, chars_per_document).alias("text")).collect()
+    draw = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")), F.lit("language sample")), F.lit(1_000_000)) / 1e6
+    rows = taught.where(draw < share).select("doc_id", "lang", F.substring("text", 1, chars_per_document).alias("text")).distinct().collect()
     samples: dict[str, list[str]] = {}
     for row in sorted(rows, key=lambda r: (r["lang"], r["doc_id"] if r["doc_id"] is not None else -1, r["text"])):
         samples.setdefault(row["lang"], []).append(_MARK.join(_LETTERS.findall(row["text"].lower())))
