@@ -4,7 +4,8 @@ Statistics of whole texts go through trees trained here on labelled documents (l
 flattened into numpy node arrays, and a batch is scored by stepping all its rows down a tree at once. Features in
 ``FALLING`` have monotonic constraints: more symbols, repeated lines, repeated windows or capitals never raise a score.
 
-Training takes at most ``train_rows`` labelled rows, those with the smallest hash of doc_id; the bound is a parameter.
+Training takes at most ``train_rows`` labelled rows, those with the smallest hash of doc_id; the bound is a parameter. Of rows that
+share a doc_id one text (the smallest) is taken, so that the bound holds whatever is repeated.
 
 Defined cases: null text has no words, statistics 0 and fails the base rule; labels with null doc_id or quality teach nothing;
 without labels of both kinds the verdict is the base rule's alone; repeated rows are judged each; an empty table gives an empty result;
@@ -76,7 +77,7 @@ def statistics(text: str | None) -> tuple[list[int], list[float]]:
             seen.add(line)
     again = repeat_words(words)
     letters = max(1, chars)
-    capitals = sum(map(str.isupper, text)) if len(text) < 64 else len(re.findall(r"[A-ZÀ-ÖØ-Þ]", text))
+    capitals = len(re.findall(r"[A-ZÀ-ÖØ-Þ]", text))
     digits = len(re.findall(r"[0-9]", text))
     marks = len(re.findall(r"[.,;:!?]", text))
     counts: dict[bytes, int] = {}
@@ -185,7 +186,8 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = 12_000) -> Boost
 
     schema = "quality double, " + ", ".join(f"{f} double" for f in FEATURES)
     plain = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"))
-    known = plain.join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "quality").mapInArrow(run, schema).toPandas()
+    known = plain.join(F.broadcast(drawn.distinct()), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    known = known.select("doc_id", "text", "quality").mapInArrow(run, schema).toPandas()
     y = (known["quality"].to_numpy() > 0).astype(float)
     if not 0 < y.sum() < len(y):
         return None

@@ -98,6 +98,8 @@ def test_language(spark, docs):
     assert [small[i]["lang_pred"] for i in (0, 1, 2, 3)] == ["und", "und", "und", "en"] and small[17]["lang_pred"] == "und"
     assert all(0 <= r["score"] <= 1 for r in small.values()) and len(small) == docs.count()
     assert {r["lang_pred"] for r in rows(langid.identify(docs, langid.learn(empty(spark))))} == {"und"}
+    nameless = held.withColumn("doc_id", F.lit(None).cast("long"))
+    assert langid.learn(nameless, docs_per_language=100).keys() == langid.learn(held).keys()  # rows without doc_id are drawn one by one
     kept = langid.keep_identified(docs, {"en": " one two "})
     assert kept.columns == docs.columns and kept.where("text = 'one'").count() == 1 and kept.where("text IS NULL").count() == 0
 
@@ -252,6 +254,9 @@ def test_quality(spark, docs, texts):
     judged = quality.judge(d, model).join(labels.where("doc_id % 2 = 1"), "doc_id").where("NOT base_failed")
     right, n = judged.agg(F.count_if(F.col("kept") == (F.col("quality") == 1)), F.count(F.lit(1))).first()
     assert right / n > 0.97
+    again = quality.train(d.where("doc_id % 8 = 0").unionByName(d.where("doc_id % 8 = 0")), labels.unionByName(labels))
+    once = quality.train(d.where("doc_id % 8 = 0"), labels)
+    assert again.roots == once.roots and np.array_equal(again.value, once.value)
     assert quality.train(d, labels.limit(0)) is None and quality.judge(empty(spark), model).count() == 0
 
 
@@ -274,6 +279,9 @@ words of a paragraph<br>after break.<div class="ad">Buy!</div><p>Second &lt;one&
 def test_html(spark):
     want = "Head é\n\nFirst bold words of a paragraph after break.\n\nSecond <one> linked here.\n\nPoint"
     assert htmltext.extract(PAGE) == want
+    odd = """<main><p title=it's data-x="a > b" lang='d > e'>First part.</p><p class="open>Second part.</p><p>Third part.</p></main>"""
+    assert htmltext.extract(odd) == "First part.\n\nSecond part.\n\nThird part."
+    assert htmltext.extract("<a =\"x\" " * 5000) is not None  # no end of a tag: linear, not by all ways to read the quotes
     pages = spark.createDataFrame([(1, "u", PAGE, 9), (2, None, None, 9), (3, "u", "", 9), (4, "u", "<script>x", 9), (5, "u", "plain words only", 9), (None, "u", "<!-- <p>x", 9)], "page_id long, url string, html string, n_chars int")
     got = {r["page_id"]: r for r in rows(htmltext.extract_pages(pages))}
     assert [got[i]["text"] for i in (1, 2, 3, 4, 5, None)] == [want, "", "", "", "plain words only", ""] and got[1]["n_chars"] == len(want)
