@@ -15,6 +15,11 @@ ball of near copies costs a few passes over it and no pair list. Memory: 8 bytes
 Components. Forest links are contracted by alternating large-star and small-star rounds until nothing changes; each round is
 a partial aggregation and a join, its result a table in the shared folder.
 
+The pipeline's stage (keep_one) links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. At 0.8 two
+fingerprints differ by about 10 of 64 bits, which no 4-bit link reaches, so its candidates are texts that share one of 27 bands of four min-hashes
+(a pair at 0.8 shares none with a probability of 7e-7, a closer pair with less); all links are verified by the sets themselves. Texts with
+equal sets are one node. Buckets with the same members are solved once; a bucket's task holds its members' sets.
+
 Defined cases: null text has no words; rows without doc_id keep their fingerprint and take the component of their fingerprint, but name none (null
 if no other row is reachable); repeated rows are one node; an empty table gives an empty result; other columns are ignored.
 """
@@ -37,19 +42,26 @@ SEED = 42
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # offset and width in bits
 #: Fixed value: generator polynomial of the binary Golay code [23, 12, 7].
 GENERATOR = 0b101011100011
+#: Bands of min-hashes and min-hashes in a band.
+BANDS, BAND_ROWS = 27, 4
 
 
-def fingerprint(text: str | None, shingle: int = 4) -> int:
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of each shingle in order, repeats included."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
     ends = np.cumsum([len(w) + 1 for w in words])
     starts = np.concatenate(([0], ends[:-1]))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: 1 - shingle].tolist(), (ends[shingle - 1 :] - 1).tolist(), strict=True)], np.uint64)
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts[: 1 - shingle].tolist(), (ends[shingle - 1 :] - 1).tolist(), strict=True)], np.uint64)
+
+
+def fingerprint(text: str | None, shingle: int = 4) -> int:
+    hashes = shingle_hashes(text, shingle)
     votes = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65536):  # bounded memory in very long texts
         votes += np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -239,11 +251,123 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4) -> DataFra
     return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, bits: int = 4) -> DataFrame:
-    """The document with the smallest doc_id of each component, all columns kept. Rows without doc_id stay; of rows that
+def band_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key for each band of min-hashes of a set of shingles; none for the empty set."""
+    if not len(hashes):
+        return np.zeros(0, np.int64)
+    flips, factors, weights = worker_state("bands", _bands)
+    low = np.full(BANDS * BAND_ROWS, ~np.uint64(0))
+    for at in range(0, len(hashes), 1024):
+        np.minimum(low, ((hashes[None, at : at + 1024] ^ flips) * factors).min(1), out=low)
+    return (low.reshape(BANDS, BAND_ROWS) * weights).sum(1, dtype=np.uint64).view(np.int64)
+
+
+def _bands() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(SEED)
+    flips, factors, weights = rng.integers(0, 2**64, (3, BANDS * BAND_ROWS), np.uint64)
+    return flips[:, None], (factors | np.uint64(1))[:, None], (weights | np.uint64(1)).reshape(BANDS, BAND_ROWS)
+
+
+def similar_forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that connect the same sets (sorted, without repeats) as all links at a Jaccard similarity of 0.8 or more do."""
+    sizes, rest, found = np.array([len(s) for s in sets]), np.arange(len(sets)), []
+    while len(rest) > 1:
+        queue, rest = [rest[0]], rest[1:]
+        while queue and len(rest):
+            at = queue.pop()
+            own, near = sets[at], np.zeros(len(rest), bool)
+            could = np.flatnonzero((5 * sizes[rest] >= 4 * len(own)) & (5 * len(own) >= 4 * sizes[rest]))
+            for part in np.split(could, np.flatnonzero(np.diff(np.cumsum(sizes[rest[could]]) >> 20)) + 1):  # a million hashes at a time
+                if not len(part):
+                    continue
+                flat = np.concatenate([sets[i] for i in rest[part]])
+                hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+                both = np.add.reduceat(hit, np.concatenate(([0], np.cumsum(sizes[rest[part]])[:-1])), dtype=np.int64)
+                near[part] = 9 * both >= 4 * (len(own) + sizes[rest[part]])
+            queue.extend(rest[near].tolist())
+            found += [(int(at), int(i)) for i in rest[near]]
+            rest = rest[~near]
+    return found
+
+
+def similar_links(docs: DataFrame, nodes: DataFrame, shingle: int, partitions: int, scratch: Scratch) -> DataFrame:
+    """Forest links (a, b) among nodes (node, own, keys) whose shingle sets are similar; own is the md5 of one of the node's texts in docs."""
+    banded = nodes.select("node", F.explode("keys").alias("key"))
+    bucket = Window.partitionBy("key")
+    mark = [F.bit_xor(F.xxhash64("node", F.lit(i))).over(bucket).alias(f"mark{i}") for i in range(2)]
+    shared = banded.select("key", "node", F.count(F.lit(1)).over(bucket).alias("n"), *mark).where("n > 1")
+    shared = scratch.table(shared.groupBy("n", "mark0", "mark1", "node").agg(F.min("key").alias("key")).select("key", "node"), "shared")
+    wanted = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("own")
+    texts = docs.select(F.col("text").cast("string").alias("text")).join(wanted, F.md5("text") == F.col("own"), "left_semi").distinct()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                sets = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in batch.column(0)[at : at + 256]]
+                ends = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in sets], pa.binary()), lists], ["node", "hashes"])
+        trim()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by key."""
+
+        def solve() -> pa.RecordBatch:
+            pairs = [sorted((names[i], names[j])) for i, j in similar_forest(sets)]
+            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1)], ["a", "b"])
+
+        key, names, sets = None, [], []
+        for batch in batches:
+            lists = batch.column(2)
+            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
+            for i, (k, name) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if k != key:
+                    if len(sets) > 1:
+                        yield solve()
+                    key, names, sets = k, [], []
+                names.append(name)
+                sets.append(flat[ends[i] : ends[i + 1]].copy())
+        if len(sets) > 1:
+            yield solve()
+        trim()
+
+    cuts = texts.mapInArrow(cut, "node binary, hashes array<long>")
+    dealt = shared.join(cuts, "node").select("key", "node", "hashes").repartition(partitions, "key").sortWithinPartitions("key")
+    return dealt.mapInArrow(meet, "a binary, b binary").distinct()
+
+
+def node_of(hashes: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(np.ascontiguousarray(hashes).tobytes())
+
+
+def near_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """doc_id, own (md5 of the text) and component of every row; a component is connected by links at a similarity of 0.8 or more."""
+    spark = docs.sparkSession
+    ship(spark)
+    scratch = Scratch(spark, "near_copies")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in batch.column(1)]
+            nodes, keys = pa.array([node_of(s) for s in sets], pa.binary()), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), nodes, keys], ["doc_id", "own", "node", "keys"])
+        trim()
+
+    text = F.col("text").cast("string")
+    plain = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.md5(text).alias("own")))
+    found = scratch.table(plain.mapInArrow(run, "doc_id long, own string, node binary, keys array<long>"), "rows")
+    nodes = scratch.table(found.groupBy("node").agg(F.min("own").alias("own"), F.first("keys").alias("keys")), "nodes")
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), nodes.rdd.getNumPartitions())
+    stars = components(scratch.table(similar_links(docs, nodes, shingle, partitions, scratch), "links"), scratch)
+    return found.select("doc_id", "own", "node").join(stars, "node", "left").select("doc_id", "own", F.coalesce("root", "node").alias("component"))
+
+
+def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """The document with the smallest doc_id of each component of near copies, all columns kept. Rows without doc_id stay; of rows that
     repeat a doc_id in full one stays."""
-    found = near_duplicates(docs.select("doc_id", "text"), shingle, bits)
-    gone = found.where((F.col("doc_id") != F.col("component_id"))).select("doc_id").distinct()
+    found = near_copies(docs.select("doc_id", "text"), shingle)
+    first = found.groupBy("component").agg(F.min("doc_id").alias("first_id"))
+    gone = found.join(first, "component").where(F.col("doc_id") != F.col("first_id")).select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti")
     own = Window.partitionBy("doc_id", *[c for c in docs.columns if c != "doc_id"]).orderBy("doc_id")
     return kept.withColumn("_copy", F.row_number().over(own)).where((F.col("_copy") == 1) | F.col("doc_id").isNull()).drop("_copy")

@@ -334,3 +334,34 @@ def test_links_far_apart_are_not_lost():
     fps = np.array([(1 << (4 * k)) - 1 for k in range(17)], np.uint64)
     left, right = simhash._forest(fps, 4)
     assert sum(map(len, left)) == 16 == sum(map(len, right))
+
+
+def similar(a, b):
+    a, b = (set(zip(*[t.lower().encode().split()[i:] for i in range(5)], strict=False)) for t in (a, b))
+    return 5 * len(a & b) >= 4 * len(a | b)
+
+
+def test_near_copies_at_similarity(spark):
+    """keep_one has the components of all pairs at a 5-shingle similarity of 0.8 or more, among them pairs far above four bits."""
+    rng = random.Random(5)
+    texts = []
+    for _ in range(30):
+        words = [f"v{rng.randrange(5000)}" for _ in range(rng.randint(40, 300))]
+        texts.append(" ".join(words))
+        for changed in (0.01, 0.02, 0.04):
+            texts.append(" ".join(w if rng.random() > changed else "other" for w in words))
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    far = 0
+    for i, j in combinations(range(len(texts)), 2):
+        if similar(texts[i], texts[j]):
+            far += (simhash.fingerprint(texts[i], 5) ^ simhash.fingerprint(texts[j], 5)).bit_count() > 4
+            x, y = sorted((find(i), find(j)))
+            root[y] = x
+    kept = sorted(r["doc_id"] for r in rows(simhash.keep_one(docs_of(spark, texts))))
+    assert far > 10 and kept == [i for i in range(len(texts)) if find(i) == i]
