@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
@@ -92,16 +93,68 @@ def valid_rounds(samples: DataFrame, flagged: DataFrame, keys: list[str]) -> Dat
     return samples.join(flagged.select(*keys).distinct(), keys, "left_anti")
 
 
-def bootstrap(a: np.ndarray, b: np.ndarray, block: int = BLOCK, draws: int = DRAWS, seed: int = SEED) -> tuple[float, float, float]:
-    """Ratio of medians of paired series and its 95 % interval by moving blocks; series are rounds, so small."""
-    n = len(a)
-    if n == 0 or n != len(b):
-        raise ValueError("paired series of one or more rounds")
+class _Stream:
+    """random.Random(seed).randrange(n), many at a time."""
+
+    def __init__(self, seed: int, n: int):
+        state = random.Random(seed).getstate()[1]
+        self.raw = np.random.MT19937()
+        self.raw.state = {"bit_generator": "MT19937", "state": {"key": np.array(state[:-1], np.uint32), "pos": state[-1]}}
+        self.n, self.bits, self.rest = n, n.bit_length(), np.zeros(0, np.int64)
+        if n >= 2**32:
+            raise ValueError("fewer than 2**32 rounds")
+
+    def take(self, count: int) -> np.ndarray:
+        while len(self.rest) < count:
+            drawn = self.raw.random_raw(max(count, 4096)).astype(np.int64) >> (32 - self.bits)
+            self.rest = np.concatenate((self.rest, drawn[drawn < self.n]))
+        taken, self.rest = self.rest[:count], self.rest[count:]
+        return taken
+
+
+def _resampled_medians(series: list[np.ndarray], block: int, draws: int, seed: int) -> np.ndarray:
+    """Medians of each series (rows) over the rounds of each draw; one draw in memory at a time, as counts of the rounds."""
+    n = len(series[0])
     size = min(block, n)
-    rng = random.Random(seed)
-    starts = np.array([[rng.randrange(n - size + 1) for _ in range(-(-n // size))] for _ in range(draws)])
-    index = (starts[:, :, None] + np.arange(size)).reshape(draws, -1)[:, :n]
-    below = np.median(b[index], axis=1)
-    ratios = np.sort(np.where(below == 0, np.inf, np.median(a[index], axis=1) / np.where(below == 0, 1, below)))
+    stream, blocks = _Stream(seed, n - size + 1), -(-n // size)
+    orders = [np.argsort(s, kind="stable") for s in series]
+    values = [s[o] for s, o in zip(series, orders, strict=True)]
+    found = np.empty((len(series), draws))
+    for d in range(draws):
+        starts = stream.take(blocks)
+        begun = np.bincount(starts, minlength=n)
+        counts = begun.copy()
+        for k in range(1, size):
+            counts[k:] += begun[: n - k]
+        cut = starts[-1] + n - (blocks - 1) * size  # the last block may be cut short
+        counts[cut : starts[-1] + size] -= 1
+        for i, (order, value) in enumerate(zip(orders, values, strict=True)):
+            lower, upper = np.searchsorted(np.cumsum(counts[order]), [(n - 1) // 2, n // 2], side="right")
+            found[i, d] = (value[lower] + value[upper]) / 2
+    return found
+
+
+def _interval(above: np.ndarray, below: np.ndarray) -> tuple[float, float]:
+    draws = len(above)
+    ratios = np.sort(np.where(below == 0, np.inf, above / np.where(below == 0, 1, below)))
+    return float(ratios[int(0.025 * draws)]), float(ratios[min(draws - 1, math.ceil(0.975 * draws) - 1)])
+
+
+def _ratio(a: np.ndarray, b: np.ndarray) -> float:
     base = float(np.median(b))
-    return (float(np.median(a)) / base if base else float("inf")), float(ratios[int(0.025 * draws)]), float(ratios[min(draws - 1, int(0.975 * draws))])
+    return float(np.median(a)) / base if base else float("inf")
+
+
+def bootstrap(a: np.ndarray, b: np.ndarray, block: int = BLOCK, draws: int = DRAWS, seed: int = SEED) -> tuple[float, float, float]:
+    """Ratio of medians of paired series and its 95 % interval by moving blocks."""
+    if len(a) == 0 or len(a) != len(b):
+        raise ValueError("paired series of one or more rounds")
+    return _ratio(a, b), *_interval(*_resampled_medians([a, b], block, draws, seed))
+
+
+def bootstrap_both(a: np.ndarray, b: np.ndarray, draws: int = DRAWS, seed: int = SEED) -> list[tuple[float, ...]]:
+    """Ratio, interval by moving blocks and interval by single rounds (the sensitivity result), of a to b and of b to a over the same draws."""
+    if len(a) == 0 or len(a) != len(b):
+        raise ValueError("paired series of one or more rounds")
+    (x, y), (u, v) = (_resampled_medians([a, b], size, draws, seed) for size in (BLOCK, 1))
+    return [(_ratio(a, b), *_interval(x, y), *_interval(u, v)), (_ratio(b, a), *_interval(y, x), *_interval(v, u))]

@@ -517,18 +517,28 @@ def headline_pivot(spark, sf):
 
 @query()
 def bootstrap_ci(spark, sf):
-    """Rounds of two codecs, one row a kind: the ratio of medians and its interval."""
-    b = _bench(spark, sf).where(F.col("codec").isin("1-URGENT", "2-HIGH"))
-    ranked = b.withColumn("i", F.row_number().over(Window.partitionBy("kind", "codec").orderBy("round"))).where("i <= 15")
+    """Each candidate against each baseline of its kind over all their rounds: pairs n, ratio of medians, interval by moving blocks and by
+    single rounds. No order has two priorities, so the k-th round of one is paired with the k-th of the other; rounds that the longer
+    series has more than the shorter one have no partner (unpaired)."""
+    b = _bench(spark, sf)
+    codecs = b.select("kind", "codec").distinct()
+    one, other = codecs.withColumnRenamed("codec", "one"), codecs.withColumnRenamed("codec", "other")
+    pairs = one.join(other, "kind").where("one < other")
+    dealt = b.join(pairs, "kind").where("codec IN (one, other)")
 
-    def run(pdf):
+    def run(key, pdf):
         import pandas as pd
 
-        a, o = (pdf[pdf.codec == x].sort_values("i").ns.to_numpy() for x in ("1-URGENT", "2-HIGH"))
-        n = min(len(a), len(o))
-        return pd.DataFrame([(pdf.kind.iloc[0], *evidence.bootstrap(a[:n], o[:n]))], columns=["kind", "ratio", "low", "high"])
+        kind, *names = key
+        x, y = (pdf[pdf.codec == c].sort_values(["round", "ns"]).ns.to_numpy() for c in names)
+        n = min(len(x), len(y))
+        ahead, back = evidence.bootstrap_both(x[:n], y[:n])
+        rest = abs(len(x) - len(y))
+        out = [(kind, *names, n, rest, *ahead), (kind, *names[::-1], n, rest, *back)]
+        return pd.DataFrame(out, columns=["kind", "candidate", "baseline", "n", "unpaired", "ratio", "low", "high", "iid_low", "iid_high"])
 
-    return ranked.groupBy("kind").applyInPandas(run, "kind string, ratio double, low double, high double")
+    schema = "kind string, candidate string, baseline string, n long, unpaired long, ratio double, low double, high double, iid_low double, iid_high double"
+    return dealt.groupBy("kind", "one", "other").applyInPandas(run, schema)
 
 
 @query()

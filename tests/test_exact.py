@@ -1,5 +1,6 @@
 """Round trips and refusals on awkward values."""
 
+import math
 import random
 
 import numpy as np
@@ -159,6 +160,52 @@ def test_bootstrap_and_verdict(spark):
         assert spark.range(1).select(evidence.verdict(F.lit(rho), F.lit(low), F.lit(high), 0.05)).first()[0] == want
 
 
+def plain_bootstrap(a, b, length, draws, seed=evidence.SEED):
+    """Round by round with Python's own generator and medians."""
+    from statistics import median
+
+    n, rng, found = len(a), random.Random(seed), []
+    for _ in range(draws):
+        index = []
+        while len(index) < n:
+            start = rng.randrange(0, n - length + 1)
+            index += range(start, start + length)
+        below = median(b[i] for i in index[:n])
+        found.append(median(a[i] for i in index[:n]) / below if below else math.inf)
+    found.sort()
+    return found[int(0.025 * draws)], found[min(draws - 1, math.ceil(0.975 * draws) - 1)]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 100, 1001])
+def test_bootstrap_is_the_plain_one(n):
+    rng = random.Random(n)
+    a, b = ([rng.randrange(0, 50) for _ in range(n)] for _ in range(2))
+    ahead, back = evidence.bootstrap_both(np.array(a), np.array(b), draws=200)
+    assert ahead[1:] == plain_bootstrap(a, b, min(3, n), 200) + plain_bootstrap(a, b, 1, 200)
+    assert back[1:] == plain_bootstrap(b, a, min(3, n), 200) + plain_bootstrap(b, a, 1, 200)
+    assert evidence.bootstrap(np.array(a), np.array(b), draws=200) == ahead[:3]
+
+
+def test_bootstrap_query_takes_all_rounds(spark):
+    from itertools import permutations
+
+    from tessera.plans import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    series = {}
+    for r in sorted(catalogue._bench(spark, sf).collect(), key=lambda r: r["round"]):
+        series.setdefault(r["kind"], {}).setdefault(r["codec"], []).append(r["ns"])
+    got = {(r["kind"], r["candidate"], r["baseline"]): r for r in catalogue.QUERIES["bootstrap_ci"](spark, sf).collect()}
+    assert set(got) == {(k, *p) for k, by in series.items() for p in permutations(by, 2)}
+    for (kind, x, y), r in got.items():
+        a, b = series[kind][x], series[kind][y]
+        assert r["n"] == min(len(a), len(b)) and r["unpaired"] == abs(len(a) - len(b))
+        assert r["ratio"] == np.median(a[: r["n"]]) / np.median(b[: r["n"]])
+    kind, x, y = max(got, key=lambda k: got[k]["n"])
+    a, b = (series[kind][c][: got[kind, x, y]["n"]] for c in (x, y))
+    assert len(a) > 15 and (got[kind, x, y]["low"], got[kind, x, y]["high"]) == plain_bootstrap(a, b, 3, evidence.DRAWS)
+
+
 def test_stream_append(spark, tmp_path):
     from tessera.streaming.append import append_stream
 
