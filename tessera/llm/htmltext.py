@@ -4,7 +4,8 @@ A page becomes a sequence of tags and runs of words. A word outside boilerplate
 forms, scripts, styles, reader comments: by element, role, class or id) scores positive, any other word and most tags score
 negative. The scores are log-odds learned from labelled pages (``TRAINING``; another list may be given): how often a kind of tag or word
 stands inside the main text against outside. One linear scan finds the contiguous region with the highest sum. The region's
-words, less those of boilerplate elements inside it, are cut into blocks at block elements.
+words, less those of boilerplate elements inside it, are cut into blocks at block elements. Boilerplate inside an article or main
+element costs nothing, however long, so that it does not part the text around it.
 
 References are decoded, white space inside a block becomes one space, blocks are joined by two line feeds.
 
@@ -69,12 +70,12 @@ TRAINING = (
 
 
 class Piece:
-    """A tag (words 0) or a run of words: kind for the score, text, whether a block ends before it."""
+    """A tag (words 0) or a run of words: kind for the score, text, whether it costs nothing (boilerplate inside article or main)."""
 
-    __slots__ = ("kind", "words", "text")
+    __slots__ = ("kind", "words", "text", "free")
 
-    def __init__(self, kind: str, words: int = 0, text: str = ""):
-        self.kind, self.words, self.text = kind, words, text
+    def __init__(self, kind: str, words: int = 0, text: str = "", free: bool = False):
+        self.kind, self.words, self.text, self.free = kind, words, text, free
 
 
 def _boiler(name: str, attrs: str) -> bool:
@@ -95,24 +96,26 @@ def pieces(page: str) -> list[Piece]:
     out: list[Piece] = []
     stack: list[tuple[str, bool]] = []
     boiler = links = at = 0
+    free = False
 
     def text(raw: str) -> None:
         if raw:
             decoded = html.unescape(raw)
-            out.append(Piece("boiler" if boiler else "link" if links else "word", len(decoded.split()), decoded))
+            out.append(Piece("boiler" if boiler else "link" if links else "word", len(decoded.split()), decoded, free))
 
     def leave(count: int) -> None:
-        nonlocal boiler, links
+        nonlocal boiler, links, free
         for _ in range(count):
             name, was = stack.pop()
             boiler -= was
             links -= name == "a"
+        free = free and boiler > 0
 
     for m in _TOKEN.finditer(page):
         text(page[at : m.start()])
         at = m.end()
         if m["raw"]:
-            out.append(Piece("<" + m["raw"].lower()))
+            out.append(Piece("<" + m["raw"].lower(), free=free))
             continue
         if not m["name"]:
             continue
@@ -124,7 +127,7 @@ def pieces(page: str) -> list[Piece]:
                     break
                 if stack[depth][0] in _SECTION and name not in BLOCKS:
                     break
-            out.append(Piece("</" + name))
+            out.append(Piece("</" + name, free=free))
             continue
         while stack and stack[-1][0] in _IMPLIED_END and name in _IMPLIED_END[stack[-1][0]]:
             leave(1)
@@ -138,10 +141,11 @@ def pieces(page: str) -> list[Piece]:
         if name not in VOID and not attrs.endswith("/"):
             inside = any(s == "article" or s == "main" for s, _ in stack)
             was = _boiler(name, attrs) or name == "header" and not inside
+            free = free or was and not boiler and inside
             stack.append((name, was))
             boiler += was
             links += name == "a"
-        out.append(Piece("<" + name))
+        out.append(Piece("<" + name, free=free))
     text(page[at:])
     return out
 
@@ -172,6 +176,8 @@ def region(sequence: list[Piece], scores: dict[str, float]) -> tuple[int, int]:
     """Start and end of the contiguous pieces with the highest sum of scores; the earliest longest one; (0, 0) if none is positive."""
     best, found, total, start = 0.0, (0, 0), 0.0, 0
     for i, p in enumerate(sequence):
+        if p.free:
+            continue
         total += scores.get(p.kind, -0.05) * (p.words if p.kind in ("word", "link", "boiler") else 1)
         if total <= 0:
             total, start = 0.0, i + 1

@@ -292,6 +292,16 @@ def test_html(spark):
         assert r["text"] == "\n\n".join(b for b in blocks if b)
 
 
+@pytest.mark.parametrize("boiler", ["<div class='share'>{}</div>", "<nav><ul>{}</ul></nav>", "<aside><p>{}</p><p>{}</p></aside>"])
+@pytest.mark.parametrize("name", ["article", "main"])
+def test_html_keeps_text_around_long_boilerplate(boiler, name):
+    long = boiler.replace("{}", "<li><a href='/x'>one of many links</a></li>" * 60)
+    page = f"<html><body><nav>Home</nav><{name}><h1>A title of five words</h1>{long}<p>The first paragraph of the text itself.</p>{long}<p>A closing word.</p></{name}><footer>{'imprint ' * 60}</footer><p>Stray.</p></body></html>"
+    assert htmltext.extract(page) == "A title of five words\n\nThe first paragraph of the text itself.\n\nA closing word."
+    outside = f"<body><aside><{name}>{'related words ' * 30}</{name}></aside><p>Stray.</p>{long}<{name}><p>The text has more words than that.</p></{name}></body>"
+    assert htmltext.extract(outside) == "The text has more words than that."
+
+
 def test_golay_keys():
     """Words at distance 2 or less share a key, over all cosets."""
     every = [sum(1 << i for i in c) for w in range(4) for c in combinations(range(23), w)]
