@@ -1,14 +1,23 @@
-"""What the two repeat removers share: chunks of documents, prefix polynomial hashes, and an exchange that tells every chunk
+"""What the two repeat removers share: chunks of documents, hashes of stretches, and an exchange that tells every chunk
 which of its keys occur anywhere else.
 
 A chunk is a set of whole documents, given by a hash of the row, so that every pass forms the same chunks again. For each bucket
 of key values a chunk sends one packed message with its distinct keys and a bit for those it holds twice. A bucket's task adds
 up and answers each chunk with the keys that occur twice or more in all. A key that a third of all documents share is thus one key of
 each chunk, never a row of each document; no pair of documents is ever formed.
+
+Rows that repeat in full (doc_id and text) more than ``COPIES`` times would all fall into one chunk. They are collapsed first: two stand for
+all in the exchange (each repeats the other, as all of them do), and one of these carries the number of rows that its result is for.
+
+Two kinds of hashes are used. ``Prefix`` works modulo 2**64; texts can be made that collide under it, so it only chooses candidates
+and orders comparisons that are verified on bytes. What decides without a look at the bytes is keyed: BLAKE2b with a key drawn for each
+run, or polynomials modulo 2**61 - 1 with a base drawn for each run over such hashes (``Prefix61``).
 """
 
 from __future__ import annotations
 
+import hashlib
+import secrets
 from collections.abc import Callable
 
 import numpy as np
@@ -19,13 +28,15 @@ from pyspark.sql import functions as F
 from ..session import ship
 from .common import Scratch, trim, worker_state
 
-CHUNK_BYTES, BUCKET_KEYS, LEAST_BUCKET_BITS = 512_000, 1_000_000, 8
-_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)  # odd, so that powers have inverses modulo 2**64
+CHUNK_BYTES, BUCKET_KEYS, LEAST_BUCKET_BITS, COPIES = 512_000, 1_000_000, 8, 64
+_BASE = 0x9E3779B97F4A7C15  # odd, so that powers have inverses modulo 2**64
+P61 = np.uint64((1 << 61) - 1)
 MESSAGE = "bucket int, chunk long, keys binary, twice binary, asked binary"
-ANSWER = "chunk long, keys binary"
+ANSWER = "chunk long, keys binary, hot binary"
 _EMPTY = np.zeros(0, np.uint64)
 _LONG = np.dtype([("k", "<u8"), ("m", "<u4")])
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_U = np.uint64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -35,26 +46,29 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of a base and of its inverse modulo 2**64, n of each at least."""
-    have = _powers.get(which)
+def _table(base: int, n: int, modulus: int, times: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse, n of each at least; by doubling, kept in the worker for the latest bases."""
+    have = _powers.get(base)
     if have is None or len(have[0]) < n:
-        size = max(n, 1 << 20)
-        base = _BASES[which]
-        both = []
-        for value in (base, pow(base, -1, 1 << 64)):
-            p = np.full(size, value, np.uint64)
-            p[0] = 1
-            both.append(np.cumprod(p, dtype=np.uint64))
-        have = _powers[which] = (both[0], both[1])
+        if len(_powers) > 3:
+            _powers.clear()
+        size, both = 1 << max(17, (n - 1).bit_length()), []
+        for value in (base, pow(base, -1, modulus)):
+            p = np.ones(size, _U)
+            done, step = 1, value
+            while done < size:
+                p[done : 2 * done] = times(p[:done], _U(step))
+                done, step = 2 * done, step * step % modulus
+            both.append(p)
+        have = _powers[base] = (both[0], both[1])
     return have
 
 
 class Prefix:
-    """Prefix polynomial hashes of a sequence: the hash of any stretch in constant time."""
+    """Prefix polynomial hashes of a sequence modulo 2**64: the hash of any stretch in constant time. For candidates and verified comparisons only."""
 
-    def __init__(self, values: np.ndarray, which: int = 0):
-        self.up, self.down = powers(len(values) + 1, which)
+    def __init__(self, values: np.ndarray):
+        self.up, self.down = _table(_BASE, len(values) + 1, 1 << 64, lambda a, b: a * b)
         self.sums = np.zeros(len(values) + 1, np.uint64)
         np.cumsum(values.astype(np.uint64) * self.up[: len(values)], out=self.sums[1:])
 
@@ -67,17 +81,79 @@ class Prefix:
         return (self.sums[end] - self.sums[start]) * self.down[start]
 
 
+def _fold(x: np.ndarray) -> np.ndarray:
+    x = (x >> _U(61)) + (x & P61)
+    return np.where(x >= P61, x - P61, x)
+
+
+def times61(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo 2**61 - 1 of numbers below it."""
+    low = _U((1 << 31) - 1)
+    ah, al, bh, bl = a >> _U(31), a & low, b >> _U(31), b & low
+    middle = al * bh + ah * bl
+    return _fold((ah * bh << _U(1)) + (middle >> _U(30)) + ((middle & _U((1 << 30) - 1)) << _U(31)) + al * bl)
+
+
+class Prefix61:
+    """Prefix polynomial hashes modulo the prime 2**61 - 1 with a secret base: two different sequences of n values agree with a probability of n / 2**61."""
+
+    def __init__(self, values: np.ndarray, base: int):
+        self.up, self.down = _table(base, len(values) + 1, int(P61), times61)
+        terms = times61(_fold(values), self.up[: len(values)])
+        high, low = np.cumsum(terms >> _U(32)), np.cumsum(terms & _U(0xFFFFFFFF))
+        self.sums = np.zeros(len(values) + 1, np.uint64)
+        self.sums[1:] = _fold(times61(_fold(high), np.full(1, 1 << 32, _U)) + _fold(low))
+
+    def stretch(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return times61(_fold(self.sums[end] + (P61 - self.sums[start])), self.down[start])
+
+
+class Key:
+    """What a run hashes with: a key of BLAKE2b and two bases modulo 2**61 - 1, drawn on the driver and sent with the tasks."""
+
+    def __init__(self):
+        self.key, self.bases = secrets.token_bytes(32), [secrets.randbelow(int(P61) - 2) + 2 for _ in range(2)]
+
+    def digests(self, strings: list[bytes], size: int = 16) -> bytes:
+        blake, key = hashlib.blake2b, self.key
+        return b"".join([blake(x, digest_size=size, key=key).digest() for x in strings])
+
+
 def chunk_of(chunks: int) -> Column:
     return F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("long")
 
 
-def chunked(docs: DataFrame) -> tuple[DataFrame, int, int]:
-    """doc_id, text and chunk of every row, the bytes of all texts and the number of chunks."""
-    text = F.col("text").cast("string")
-    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    chunks = max(1, -(-int(total) // CHUNK_BYTES))
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    return plain.withColumn("chunk", chunk_of(chunks)), int(total), chunks
+class Chunks:
+    """The rows (doc_id, text, chunk, n) of all documents and what is known of them: bytes of all texts, number of chunks, and the texts that
+    repeat too often (``hot``: doc_id, text, n; None if there are none). A row stands for n rows of the table; the second of the two
+    that stand for collapsed ones has n = 0."""
+
+    def __init__(self, docs: DataFrame):
+        plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        row = F.xxhash64("doc_id", "text").alias("row")
+        by_row = plain.groupBy(row).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+        total, often = by_row.agg(F.sum("bytes"), F.count_if(F.col("n") > COPIES)).first()
+        self.total, self.hot = int(total or 0), None
+        self.chunks = max(1, -(-self.total // CHUNK_BYTES))
+        if often:
+            marked = by_row.where(F.col("n") > COPIES).select("row")
+            every = plain.withColumn("row", F.xxhash64("doc_id", "text"))
+            self.hot = every.join(marked, "row", "left_semi").groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("n"))
+            two = F.when(F.col("n") > 1, F.array(F.col("n"), F.lit(0).cast("long"))).otherwise(F.array("n"))
+            plain = every.join(marked, "row", "left_anti").select("doc_id", "text", F.lit(1).cast("long").alias("n")).unionByName(self.hot.withColumn("n", F.explode(two)))
+        else:
+            plain = plain.withColumn("n", F.lit(1).cast("long"))
+        self.rows = plain.withColumn("chunk", chunk_of(self.chunks))
+
+    def spread(self, judged: DataFrame) -> DataFrame:
+        """Results for all rows of the table again, from results with n."""
+        if self.hot is None:
+            return judged.drop("n")
+        return judged.where("n > 0").withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).drop("n")
+
+
+def texts_of(table: pa.Table) -> list[bytes]:
+    return [(t.as_py() or "").encode() for t in table["text"]]
 
 
 def bucket_bits(keys: int) -> int:
@@ -85,9 +161,9 @@ def bucket_bits(keys: int) -> int:
     return max(LEAST_BUCKET_BITS, (max(1, keys) // BUCKET_KEYS).bit_length())
 
 
-def messages(chunk: int, bits: int, keys: np.ndarray, more: np.ndarray | None = None, asked: np.ndarray | None = None) -> pa.Table:
+def messages(chunk: int, bits: int, keys: np.ndarray, more: np.ndarray | None = None, asked: np.ndarray | None = None, counted: bool = False) -> pa.Table:
     """Messages of a chunk. Keys have 96 bits with ``more``; without, a bucket compares 48 of 64 bits besides its own.
-    ``asked``: for which keys an answer is wanted (all, if None)."""
+    ``asked``: for which keys an answer is wanted (all, if None). ``counted``: the message says how often (255 at most) instead of whether twice."""
     if not len(keys):
         return pa.table([pa.array([], t) for t in (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())], ["bucket", "chunk", "keys", "twice", "asked"])
     if more is None:
@@ -102,7 +178,7 @@ def messages(chunk: int, bits: int, keys: np.ndarray, more: np.ndarray | None =
     if more is not None:
         first[1:] |= more[1:] != more[:-1]
     at = np.flatnonzero(first)
-    twice = np.diff(np.append(at, len(keys))) > 1
+    often = np.diff(np.append(at, len(keys)))
     wanted = np.ones(len(at), bool) if asked is None else np.logical_or.reduceat(asked[order], at)
     keys = keys[at]
     bucket = (keys >> np.uint64(64 - bits)).astype(np.int64)
@@ -112,7 +188,9 @@ def messages(chunk: int, bits: int, keys: np.ndarray, more: np.ndarray | None =
         packed = short_key(keys, bits).view(np.uint8).reshape(-1, 8)[:, :6]
     else:
         packed = np.rec.fromarrays([keys, more[at]], dtype=_LONG).view(np.uint8).reshape(-1, 12)
-    rows = [(packed[s:e].tobytes(), np.packbits(twice[s:e]).tobytes(), np.packbits(wanted[s:e]).tobytes()) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+    number = np.minimum(often, 255).astype(np.uint8)
+    times = [(number[s:e] if counted else np.packbits(often[s:e] > 1)).tobytes() for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+    rows = [(packed[s:e].tobytes(), t, np.packbits(wanted[s:e]).tobytes()) for s, e, t in zip(starts.tolist(), ends.tolist(), times, strict=True)]
     return pa.table(
         [pa.array(bucket[starts], pa.int32()), pa.array(np.full(len(starts), chunk), pa.int64()), *[pa.array([r[i] for r in rows], pa.binary()) for i in range(3)]],
         ["bucket", "chunk", "keys", "twice", "asked"],
@@ -123,13 +201,16 @@ def _bits(data: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(bool)
 
 
-def answer(table: pa.Table, width: int) -> pa.Table:
-    """For one bucket: to each chunk the wanted keys that occur twice or more in all."""
+def answer(table: pa.Table, width: int, hot: int | None = None) -> pa.Table:
+    """For one bucket: to each chunk the wanted keys that occur twice or more in all; those that occur ``hot`` times or more apart (messages are counted then)."""
     chunks = table["chunk"].to_numpy()
     raw = [x.as_py() for x in table["keys"]]
     sizes = np.array([len(x) // width for x in raw])
     data = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, width)
-    twice = np.concatenate([_bits(x.as_py(), n) for x, n in zip(table["twice"], sizes, strict=True)])
+    if hot is None:
+        often = np.concatenate([_bits(x.as_py(), n) for x, n in zip(table["twice"], sizes, strict=True)]) + np.int64(1)
+    else:
+        often = np.frombuffer(b"".join([x.as_py() for x in table["twice"]]), np.uint8).astype(np.int64)
     asked = np.concatenate([_bits(x.as_py(), n) for x, n in zip(table["asked"], sizes, strict=True)])
     if width == 6:
         wide = np.zeros((len(data), 8), np.uint8)
@@ -147,13 +228,16 @@ def answer(table: pa.Table, width: int) -> pa.Table:
         m = more[order]
         new[1:] |= m[1:] != m[:-1]
     group = np.cumsum(new) - 1
-    count = np.bincount(group, 1 + twice[order])
-    found = np.zeros(len(k), bool)
-    found[order] = count[group] >= 2
-    found &= asked
+    count = np.bincount(group, often[order])
+    total = np.zeros(len(k), np.int64)
+    total[order] = count[group]
+    total[~asked] = 0
+    found = total >= 2
+    many = found & (total >= hot) if hot is not None else np.zeros(len(k), bool)
+    few = found & ~many
     ends = np.cumsum(sizes)
-    out = [(c, data[s:e][found[s:e]].tobytes()) for c, s, e in zip(chunks.tolist(), (ends - sizes).tolist(), ends.tolist(), strict=True) if found[s:e].any()]
-    return pa.table([pa.array([c for c, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], ["chunk", "keys"])
+    out = [(c, data[s:e][few[s:e]].tobytes(), data[s:e][many[s:e]].tobytes()) for c, s, e in zip(chunks.tolist(), (ends - sizes).tolist(), ends.tolist(), strict=True) if found[s:e].any()]
+    return pa.table([pa.array([x[0] for x in out], pa.int64()), *[pa.array([x[i] for x in out], pa.binary()) for i in (1, 2)]], ["chunk", "keys", "hot"])
 
 
 def narrow(more: np.ndarray) -> np.ndarray:
@@ -161,10 +245,10 @@ def narrow(more: np.ndarray) -> np.ndarray:
     return more & np.uint64(0xFFFFFFFF)
 
 
-def answered(table: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys of the answers of one kind to a chunk: (48-bit keys, none) for kind 0, else (keys, second hashes as by narrow())."""
-    got = b"".join(x.as_py() for x, k in zip(table["keys"], table["kind"], strict=True) if k.as_py() == kind)
-    if kind == 0:
+def answered(table: pa.Table, kind: int, width: int, column: str = "keys") -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of the answers of one kind to a chunk: (48-bit keys, none) at a width of 6, else (keys, second hashes as by narrow())."""
+    got = b"".join(x.as_py() or b"" for x, k in zip(table[column], table["kind"], strict=True) if k.as_py() == kind)
+    if width == 6:
         wide = np.zeros((len(got) // 6, 8), np.uint8)
         wide[:, :6] = np.frombuffer(got, np.uint8).reshape(-1, 6)
         return np.sort(wide.view(np.uint64).ravel()), _EMPTY
@@ -172,13 +256,6 @@ def answered(table: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
     return _sorted(data["k"].astype(np.uint64), data["m"].astype(np.uint64))
 
 
-def answered_pairs(table: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys of two longs each, as Spark's unhex(hex()) writes them."""
-    got = b"".join(x.as_py() for x, k in zip(table["keys"], table["kind"], strict=True) if k.as_py() == kind)
-    data = np.frombuffer(got, ">u8").astype(np.uint64).reshape(-1, 2)
-    return _sorted(data[:, 0], data[:, 1])
-
-
 def _sorted(keys: np.ndarray, more: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.lexsort((more, keys))
     return keys[order], more[order]
@@ -222,9 +299,9 @@ def frugal(run: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
     return two if run.__code__.co_argcount == 2 else one
 
 
-def exchange(sent: DataFrame, width: int, scratch: Scratch, name: str) -> DataFrame:
+def exchange(sent: DataFrame, width: int, scratch: Scratch, name: str, hot: int | None = None) -> DataFrame:
     """Answers to messages, as a table."""
-    return scratch.table(sent.groupBy("bucket").applyInArrow(frugal(lambda t: answer(t, width)), ANSWER), name)
+    return scratch.table(sent.groupBy("bucket").applyInArrow(frugal(lambda t: answer(t, width, hot)), ANSWER), name)
 
 
 def with_answers(docs: DataFrame, answers: list[DataFrame], run: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
@@ -233,5 +310,5 @@ def with_answers(docs: DataFrame, answers: list[DataFrame], run: Callable[[pa.Ta
     every = None
     for kind, a in enumerate(answers):
         a = a.withColumn("kind", F.lit(kind))
-        every = a if every is None else every.unionByName(a)
+        every = a if every is None else every.unionByName(a, allowMissingColumns=True)
     return docs.groupBy("chunk").cogroup(every.groupBy("chunk")).applyInArrow(frugal(run), schema)

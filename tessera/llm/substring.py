@@ -5,21 +5,27 @@ window (rounded up) are cut at fixed places from each document's start, so that
 
 1. Index and probe. Each document's blocks are the index; every rolling stretch of block length, of all documents, is a probe.
    A block is an anchor if its words are probed twice or more (once by itself). Probes are counted by the exchange of repeats.py.
-2. Extend. All windows around an anchor are compared (by 96-bit hashes) with all others of their kind; runs of repeated windows make
-   the maximal exact repeats on either side of the anchor. Both copies of a repeated window hold an anchor: each holds a block of its
-   own document, whose words the other copy holds too.
+2. Extend. Each hit is extended word by word to both sides as far as windows around the anchor occur elsewhere: all windows that hold
+   an anchor are compared with all others of their kind, and runs of repeated windows make the maximal exact repeats. Both copies
+   of a repeated window hold an anchor: each holds a block of its own document, whose words the other copy holds too.
 3. Remove. Words under repeated windows go.
 
-Words are compared by 64-bit hashes of their bytes, windows by two polynomials over those. Nothing depends on how often a
+Words are told apart by 128-bit BLAKE2b with a key drawn for each run, windows by 93 bits of two polynomials modulo 2**61 - 1 over the two halves
+of these, with bases drawn for each run: no text can be made that collides. Nothing depends on how often a
 passage occurs: a chunk of documents sends and gets each key once.
 
 Defined cases: null text has no words; texts shorter than a window lose nothing; repeated rows are copies of each other, so all lose
-their repeated windows; an empty table gives an empty result; other columns are kept by remove_repeats() and ignored by the query.
+their repeated windows (rows that repeat very often are collapsed, see repeats.py); texts of any length are cut into pieces of ``PIECE`` bytes that
+share ``window`` - 1 words, so that hashes of one piece are in memory; an empty table gives an empty result; other columns, of any name, are
+kept by remove_repeats() and ignored by the query.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
+from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,144 +34,192 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..session import ship
-from .common import Scratch
-from .repeats import MESSAGE, Prefix, answered, bucket_bits, chunk_of, chunked, exchange, frugal, member, messages, mix, narrow, short_key, with_answers
+from .common import WORD, Scratch
+from .repeats import MESSAGE, Chunks, Key, Prefix, Prefix61, answered, bucket_bits, chunk_of, exchange, frugal, member, messages, mix, narrow, short_key, texts_of, with_answers
 
 WINDOW = 35
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+PIECE = 4_000_000
+_WORD = re.compile(WORD.encode())
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+class Piece:
+    """A stretch of a document's words: document, place of the first word, how many are its own; the words after these open the next piece."""
+
+    __slots__ = ("doc", "first", "words", "own")
+
+    def __init__(self, doc: int, first: int, words: list[bytes], own: int):
+        self.doc, self.first, self.words, self.own = doc, first, words, own
+
+
+def pieces(texts: list[bytes], window: int) -> Iterator[list[Piece]]:
+    """All texts in pieces, in lists of about PIECE bytes."""
+    out, size = [], 0
+    for doc, text in enumerate(texts):
+        at = first = 0
+        while at < len(text) or not first and not at:
+            end = at + PIECE
+            gap = _SPACE.search(text, end) if end < len(text) else None
+            end = gap.start() if gap else len(text)
+            words = text[at:end].split()
+            ahead = [m[0] for m in islice(_WORD.finditer(text, end), window - 1)] if gap else []
+            out.append(Piece(doc, first, words + ahead, len(words)))
+            size, first, at = size + end - at, first + len(words), max(end, at + 1)
+            if size >= PIECE:
+                yield out
+                out, size = [], 0
+    if out:
+        yield out
 
 
 class Words:
-    """The words of some texts: byte spans, document of each, place in the document, hashes of windows."""
-
-    def __init__(self, texts: list[bytes]):
-        self.buffer = b"\n".join([*texts, b""])
-        sizes = np.array([len(t) + 1 for t in texts], np.int64)
-        data = np.frombuffer(self.buffer, np.uint8)
-        edge = np.diff(_SPACE[data].astype(np.int8), prepend=1)
-        self.start, self.end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        if len(self.end) and self.end[0] == 0:
-            self.end = self.end[1:]
-        borders = np.concatenate(([0], np.cumsum(sizes)))
-        first = np.searchsorted(self.start, borders)
-        self.count = np.diff(first)
-        self.first = first[:-1]
-        self.doc = np.repeat(np.arange(len(texts)), self.count)
-        self.place = np.arange(len(self.start)) - self.first[self.doc]
-        hashes = Prefix(data.astype(np.uint64) + np.uint64(1)).stretch(self.start, self.end)
-        self.hashes = mix(hashes + np.uint64(0xA0761D6478BD642F) * (self.end - self.start).astype(np.uint64))
-
-    def windows(self, size: int, which: int = 0) -> np.ndarray:
-        return mix(Prefix(self.hashes, which).rolling(size))
+    """The words of some pieces: keyed 128-bit hashes, piece of each, place in the document."""
+
+    def __init__(self, of: list[Piece], key: Key):
+        known: dict[bytes, int] = {}
+        number = known.setdefault
+        ids = np.array([number(w, len(known)) for p in of for w in p.words], np.int64)
+        halves = np.frombuffer(key.digests(list(known)), np.uint64).reshape(-1, 2)[ids]
+        self.halves, self.bases = (np.ascontiguousarray(halves[:, 0]), np.ascontiguousarray(halves[:, 1])), key.bases
+        self.count = np.array([len(p.words) for p in of], np.int64)
+        self.start = np.cumsum(self.count) - self.count
+        self.piece = np.repeat(np.arange(len(of)), self.count)
+        inside = np.arange(len(ids)) - self.start[self.piece]
+        self.place = inside + np.array([p.first for p in of], np.int64)[self.piece]
+        self.own = inside < np.array([p.own for p in of], np.int64)[self.piece]
 
     def whole(self, size: int) -> np.ndarray:
-        """Which windows lie in one document."""
-        return self.doc[size - 1 :] == self.doc[: len(self.doc) - size + 1] if len(self.doc) >= size else np.zeros(0, bool)
+        """Which stretches of ``size`` begin at one of the piece's own words and lie in it."""
+        n = len(self.piece) - size + 1
+        return self.own[:n] & (self.piece[size - 1 :] == self.piece[:n]) if n > 0 else np.zeros(0, bool)
 
+    def blocks(self, size: int) -> np.ndarray:
+        """Hashes of all stretches, to find candidates by."""
+        return mix(Prefix(self.halves[0]).rolling(size))
 
-def _texts(table: pa.Table) -> list[bytes]:
-    return [(t.as_py() or "").encode() for t in table["text"]]
+    def windows(self, at: np.ndarray, size: int) -> list[np.ndarray]:
+        """Two secret hashes of the windows at the given places."""
+        return [mix(Prefix61(h, b).stretch(at, at + size)) for h, b in zip(self.halves, self.bases, strict=True)]
 
 
-def _near_anchor(words: Words, anchors: np.ndarray, window: int, block: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places and two hashes of the windows that hold a known anchor of their document's own blocks."""
-    none = np.zeros(0, np.uint64)
-    whole = words.whole(window)
-    if not len(anchors) or not whole.any():
-        return np.zeros(0, np.int64), none, none
-    at = np.flatnonzero(whole)
+def _near_anchor(words: Words, anchors: np.ndarray, window: int, block: int, bits: int) -> np.ndarray:
+    """Places of the windows that hold a known anchor of their document's own blocks."""
+    at = np.flatnonzero(words.whole(window))
+    if not len(anchors) or not len(at):
+        return np.zeros(0, np.int64)
     held = at + (-words.place[at]) % block  # the first block that starts in the window
-    known = member(short_key(words.windows(block)[held], bits), anchors)
-    at = at[known]
-    return at, words.windows(window)[at], words.windows(window, 1)[at]
+    return at[member(short_key(words.blocks(block)[held], bits), anchors)]
 
 
-def repeats(docs: DataFrame, scratch: Scratch, window: int = WINDOW) -> tuple[DataFrame, list[DataFrame], int, int]:
-    """The rows in chunks, the answers about anchors and windows, the bits of a bucket and the number of chunks."""
-    ship(docs.sparkSession)
-    rows, total, chunks = chunked(docs)
-    block, bits = (window + 1) // 2, bucket_bits(total // 5)
+def repeats(chunks: Chunks, key: Key, scratch: Scratch, window: int = WINDOW) -> tuple[list[DataFrame], int]:
+    """The answers about anchors and windows, and the bits of a bucket."""
+    block, bits, rows = (window + 1) // 2, bucket_bits(chunks.total // 5), chunks.rows
 
     def probe(table: pa.Table) -> pa.Table:
-        words = Words(_texts(table))
-        whole = words.whole(block)
-        keys = words.windows(block)[whole]
-        own = words.place[: len(whole)][whole] % block == 0
-        return messages(table["chunk"][0].as_py(), bits, keys, asked=own)
+        out = []
+        for of in pieces(texts_of(table), window):
+            words = Words(of, key)
+            whole = words.whole(block)
+            own = words.place[: len(whole)][whole] % block == 0
+            out.append(messages(table["chunk"][0].as_py(), bits, words.blocks(block)[: len(whole)][whole], asked=own))
+        return pa.concat_tables(out)
 
     anchors = exchange(rows.groupBy("chunk").applyInArrow(frugal(probe), MESSAGE), 6, scratch, "anchors")
 
     def extend(table: pa.Table, answers: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return messages(0, bits, np.zeros(0, np.uint64))
-        known, _ = answered(answers, 0)
-        if not len(known):
-            return messages(0, bits, known)
-        _, a, b = _near_anchor(Words(_texts(table)), known, window, block, bits)
-        return messages(table["chunk"][0].as_py(), bits, a, b)
+        none = messages(0, bits, np.zeros(0, np.uint64))
+        known, _ = answered(answers, 0, 6)
+        if not table.num_rows or not len(known):
+            return none
+        out = [none]
+        for of in pieces(texts_of(table), window):
+            words = Words(of, key)
+            at = _near_anchor(words, known, window, block, bits)
+            if len(at):
+                out.append(messages(table["chunk"][0].as_py(), bits, *words.windows(at, window)))
+        return pa.concat_tables(out)
 
     windows = exchange(with_answers(rows, [anchors], extend, MESSAGE), 12, scratch, "windows")
-    return rows, [anchors, windows], bits, chunks
-
-
-def kept_words(texts: list[bytes], answers: pa.Table, window: int, bits: int) -> tuple[Words, np.ndarray]:
-    """The words of a chunk and which of them stay."""
-    words, block = Words(texts), (window + 1) // 2
-    cover = np.zeros(len(words.start) + 1, np.int64)
-    known, _ = answered(answers, 0)
-    if len(known):
-        at, a, b = _near_anchor(words, known, window, block, bits)
-        k, m = answered(answers, 1)
-        at = at[member(a, k, narrow(b), m)]
-        cover[at] += 1
-        cover[at + window] -= 1
-    return words, np.cumsum(cover[:-1]) == 0
-
-
-def _joined(words: Words, keep: np.ndarray, doc: int) -> bytes:
-    s = words.first[doc]
-    at = np.flatnonzero(keep[s : s + words.count[doc]]) + s
-    return b" ".join([words.buffer[a:b] for a, b in zip(words.start[at].tolist(), words.end[at].tolist(), strict=True)])
+    return [anchors, windows], bits
+
+
+def kept_words(texts: list[bytes], answers: pa.Table, window: int, bits: int, key: Key) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
+    """Document, own words of a piece and which of them stay, piece by piece in order."""
+    block = (window + 1) // 2
+    known, _ = answered(answers, 0, 6)
+    k, m = answered(answers, 1, 12)
+    doc, carried = -1, np.zeros(0, np.int64)  # whether windows of the piece before cover the first words of this one
+    for of in pieces(texts, window):
+        words = Words(of, key) if len(k) else None
+        cover = np.zeros(len(words.piece) + 1 if words else 1, np.int64)
+        if words:
+            at = _near_anchor(words, known, window, block, bits)
+            if len(at):
+                a, b = words.windows(at, window)
+                at = at[member(a, k, narrow(b), m)]
+                cover[at] += 1
+                cover[at + window] -= 1
+        covered = np.cumsum(cover[:-1]) > 0
+        for i, p in enumerate(of):
+            gone = covered[words.start[i] : words.start[i] + len(p.words)].copy() if words else np.zeros(len(p.words), bool)
+            if p.doc == doc:
+                gone[: len(carried)] |= carried[: len(gone)]
+            doc, carried = p.doc, gone[p.own :]
+            yield p.doc, p.words[: p.own], ~gone[: p.own]
 
 
 def digest(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every row."""
-    scratch = Scratch(docs.sparkSession, "substring")
-    rows, answers, bits, _ = repeats(docs, scratch, window)
+    ship(docs.sparkSession)
+    scratch, key, chunks = Scratch(docs.sparkSession, "substring"), Key(), Chunks(docs)
+    answers, bits = repeats(chunks, key, scratch, window)
 
     def judge(table: pa.Table, answers: pa.Table) -> pa.Table:
-        texts = _texts(table)
-        words, keep = kept_words(texts, answers, window, bits)
-        left = np.bincount(words.doc[keep], minlength=len(texts))
-        sha = [hashlib.sha256(b" ".join(t.split()) if n == k else _joined(words, keep, i)).hexdigest() for i, (t, n, k) in enumerate(zip(texts, words.count, left, strict=True))]
+        count, left = (np.zeros(table.num_rows, np.int64) for _ in range(2))
+        sha = [hashlib.sha256() for _ in range(table.num_rows)]
+        for doc, words, keep in kept_words(texts_of(table), answers, window, bits, key):
+            stay = words if keep.all() else [w for w, k in zip(words, keep.tolist(), strict=True) if k]
+            if stay:
+                sha[doc].update((b" " if left[doc] else b"") + b" ".join(stay))
+            count[doc] += len(words)
+            left[doc] += len(stay)
         return pa.table(
-            [table["doc_id"], pa.array(words.count, pa.int64()), pa.array(words.count - left, pa.int64()), pa.array(sha, pa.string())],
-            ["doc_id", "n_words", "n_removed", "kept_sha256"],
+            [table["doc_id"], pa.array(count), pa.array(count - left), pa.array([s.hexdigest() for s in sha], pa.string()), table["n"]],
+            ["doc_id", "n_words", "n_removed", "kept_sha256", "n"],
         )
 
-    return with_answers(rows, answers, judge, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return chunks.spread(with_answers(chunks.rows, answers, judge, "doc_id long, n_words long, n_removed long, kept_sha256 string, n long"))
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """All rows and columns, texts without their repeated windows. A text that loses nothing stays as it is, another has its kept words
     joined by one space; n_chars, where there is one, follows the text."""
-    scratch = Scratch(docs.sparkSession, "substring")
-    _, answers, bits, chunks = repeats(docs, scratch, window)
+    ship(docs.sparkSession)
+    scratch, key, chunks = Scratch(docs.sparkSession, "substring"), Key(), Chunks(docs)
+    answers, bits = repeats(chunks, key, scratch, window)
     others = [c for c in docs.columns if c != "text"]
-    full = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*others).alias("rest"))
-    full = full.withColumn("chunk", chunk_of(chunks))
+    full = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in others]).alias("rest"))
+    collapsed = None
+    if chunks.hot is not None:  # each window of a text that repeats in full repeats
+        often = chunks.hot.where("n > 1").select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
+        same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("text").eqNullSafe(F.col("_text"))
+        long = F.size(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))) >= window
+        collapsed = full.join(often, same, "left_semi").select(F.when(long, F.lit("")).otherwise(F.col("text")).alias("text"), "rest")
+        full = full.join(often, same, "left_anti")
+    full = full.withColumn("chunk", chunk_of(chunks.chunks))
     schema = StructType([StructField("text", StringType()), full.schema["rest"]])
 
     def clean(table: pa.Table, answers: pa.Table) -> pa.Table:
-        texts = _texts(table)
-        words, keep = kept_words(texts, answers, window, bits)
-        left = np.bincount(words.doc[keep], minlength=len(texts))
-        old = table["text"].to_pylist()
-        out = [t if n == k else _joined(words, keep, i).decode() for i, (t, n, k) in enumerate(zip(old, words.count, left, strict=True))]
+        out, left, lost = table["text"].to_pylist(), [[] for _ in range(table.num_rows)], [False] * table.num_rows
+        for doc, words, keep in kept_words(texts_of(table), answers, window, bits, key):
+            lost[doc] |= not keep.all()
+            left[doc] += [w for w, k in zip(words, keep.tolist(), strict=True) if k]
+        out = [b" ".join(w).decode() if x else t for t, w, x in zip(out, left, lost, strict=True)]
         return pa.table([pa.array(out, pa.string()), table["rest"]], ["text", "rest"])
 
     cleaned = with_answers(full, answers, clean, schema)
+    if collapsed is not None:
+        cleaned = cleaned.unionByName(collapsed)
     values = {c: F.col("rest").getField(c) for c in others} | {"text": F.col("text")}
     if "n_chars" in values:
         values["n_chars"] = F.when(F.col("text").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(values["n_chars"])

@@ -2,59 +2,92 @@
 
 A byte goes if a string of ``length`` bytes over it starts anywhere else too. Sorting all suffixes of a corpus would move each many
 times, so a sparse set is sorted: in every string of ``length`` bytes the place with the lowest hash of its next ``gram`` bytes (the
-leftmost, if several) is an anchor. Equal strings have their anchors at equal places, so a repeat always meets itself.
-
-1. Anchors whose gram occurs twice or more in all are found by the exchange of repeats.py.
-2. The strings that share an anchor make one span (their union). In each chunk the suffixes at the spans of found anchors are sorted:
-   a mergesort whose comparisons find the common extension of two suffixes by binary search over prefix polynomial hashes, so each takes a logarithm of the span.
-   Neighbours with equal spans are one class; that is verified byte by byte, so that hashes cannot merge different spans in a chunk.
-   Spans that occur twice or more in all (128-bit hashes, counted by key) are repeats throughout.
-3. In the other found spans, at the borders of repeats, each string is compared with all others of its kind by the exchange (96-bit hashes). A
-   repeated span whose anchor such a span shares takes part too, once in all.
+leftmost, if several) is its anchor. Equal strings have their anchors at equal places, so a repeat always meets itself. The strings that
+share an anchor make one span (their union).
+
+1. Anchors whose gram occurs twice or more in all are found by the exchange of repeats.py. Only these go on.
+2. Each chunk sends the bytes of its different found spans to the bucket of their gram. There the suffixes from the anchors on are sorted by a
+   mergesort whose comparisons find the common extension of two suffixes by binary search over prefix polynomial hashes, so each takes a
+   logarithm of their length; the reversed texts before the anchors are sorted alike. Neighbours are then compared byte by byte, which verifies
+   the order and gives the common lengths; where a hash collision has misled the sort, the bytes are sorted themselves.
+   The string that begins d bytes before an anchor occurs twice if two spans agree on length - d bytes from the anchor on and on d bytes before
+   it: the two sorted lists give each span a class for either side, and equal pairs of classes are equal strings. The bucket answers with a
+   bit for each d.
+3. Grams that occur ``HOT`` times or more would make large buckets. Their strings are compared one by one instead, by 96-bit BLAKE2b with a key
+   drawn for each run, over the exchange of repeats.py, where a string is one key of a chunk.
 4. Bytes under repeated strings go.
 
-Defined cases: null text has no bytes; texts shorter than ``length`` lose nothing; repeated rows are copies of each other, so all lose their repeated strings;
-an empty table gives an empty result; other columns are ignored. A kept text may end inside a character: operators see bytes.
+Defined cases: null text has no bytes; texts shorter than ``length`` lose nothing; repeated rows are copies of each other, so all lose their repeated strings
+(rows that repeat very often are collapsed, see repeats.py); texts of any length are cut into pieces of ``PIECE`` bytes that share ``length`` - 1 bytes, so that
+arrays of one piece are in memory; an empty table gives an empty result; other columns, of any name, are ignored. A kept text may end inside a character:
+operators see bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
-from functools import cached_property
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..session import ship
 from .common import Scratch
-from .repeats import MESSAGE, Prefix, answered, answered_pairs, bucket_bits, chunked, exchange, frugal, member, messages, mix, narrow, short_key, with_answers
+from .repeats import MESSAGE, Chunks, Key, Prefix, answered, bucket_bits, exchange, frugal, member, messages, mix, short_key, texts_of, with_answers
 
-LENGTH, GRAM = 200, 32
-_PLACE_BITS = 28  # a chunk has at most 2**28 bytes; longer single texts are refused
+LENGTH, GRAM, HOT, PIECE = 200, 32, 4096, 1_000_000
+SENT = "bucket int, chunk long, ids binary, left binary, right binary, twice binary, body binary"
+FOUND = "chunk long, ids binary, bits binary"
+_HIGH = np.uint64(0xFFFFFFFF00000000)
+
+
+class Piece:
+    """A stretch of a document's bytes: document, place of the first byte, bytes. Strings belong to the piece that they begin in."""
+
+    __slots__ = ("doc", "first", "data")
+
+    def __init__(self, doc: int, first: int, data: bytes):
+        self.doc, self.first, self.data = doc, first, data
+
+
+def pieces(texts: list[bytes], length: int) -> Iterator[list[Piece]]:
+    """All texts in pieces, in lists of about PIECE bytes."""
+    out, size = [], 0
+    for doc, text in enumerate(texts):
+        for at in range(0, max(1, len(text)), PIECE):
+            data = text[at : at + PIECE + length - 1]
+            if at and len(data) < length:
+                break
+            out.append(Piece(doc, at, data))
+            size += len(data)
+            if size >= PIECE:
+                yield out
+                out, size = [], 0
+    if out:
+        yield out
 
 
 class Spans:
-    """The texts of a chunk, their anchors and the spans of strings that share an anchor."""
+    """Some pieces, their anchors and the spans of strings that share an anchor."""
 
-    def __init__(self, texts: list[bytes], length: int, gram: int):
-        self.length, self.buffer = length, b"".join(texts)
-        if len(self.buffer) >= 1 << _PLACE_BITS:
-            raise ValueError("a chunk of 2**28 bytes or more")
+    def __init__(self, of: list[Piece], length: int, gram: int):
+        self.length, self.buffer = length, b"".join([p.data for p in of])
         self.data = np.frombuffer(self.buffer, np.uint8)
-        self.sizes = np.array([len(t) for t in texts], np.int64)
-        self.ends = np.cumsum(self.sizes)
+        sizes = np.array([len(p.data) for p in of], np.int64)
+        self.ends = np.cumsum(sizes)
+        self.starts = self.ends - sizes
         n = len(self.data)
-        self.prefix = Prefix(self.data.astype(np.uint64) + np.uint64(1))
-        grams = mix(self.prefix.rolling(gram))
-        none = np.zeros(0, np.int64)
-        self.anchor = self.first = self.last = none
-        if n < length:
-            self.keys = np.zeros(0, np.uint64)
+        self.anchor = self.first = self.last = np.zeros(0, np.int64)
+        self.keys = np.zeros(0, np.uint64)
+        inside = np.ones(max(0, n - length + 1), bool)  # strings that lie in one piece
+        for end in self.ends[:-1].tolist():
+            inside[max(0, end - length + 1) : end] = False
+        start = np.flatnonzero(inside)
+        if not len(start):
             return
-        place = np.arange(len(grams), dtype=np.uint64)
-        lowest = grams >> np.uint64(_PLACE_BITS) << np.uint64(_PLACE_BITS) | place
+        grams = mix(Prefix(self.data.astype(np.uint64) + np.uint64(1)).rolling(gram))
+        lowest = grams & _HIGH | np.arange(len(grams), dtype=np.uint64)
         width, reach = length - gram + 1, 1
         while 2 * reach <= width:
             lowest = np.minimum(lowest[:-reach], lowest[reach:])
@@ -62,14 +95,7 @@ class Spans:
         rest = width - reach
         if rest:
             lowest = np.minimum(lowest[: len(lowest) - rest], lowest[rest:])
-        inside = np.ones(n - length + 1, bool)  # strings that lie in one text
-        for end in self.ends[:-1].tolist():
-            inside[max(0, end - length + 1) : end] = False
-        start = np.flatnonzero(inside)
-        if not len(start):
-            self.keys = np.zeros(0, np.uint64)
-            return
-        at = (lowest[start] & np.uint64((1 << _PLACE_BITS) - 1)).astype(np.int64)
+        at = (lowest[start] & ~_HIGH).astype(np.int64)
         new = np.ones(len(at), bool)
         new[1:] = (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1)
         self.first = start[new]
@@ -77,24 +103,12 @@ class Spans:
         self.anchor = at[new]
         self.keys = mix(~grams[self.anchor])  # hashed anew: the lowest hashes would all go to the first buckets
 
-    @cached_property
-    def second(self) -> Prefix:
-        return Prefix(self.data.astype(np.uint64) + np.uint64(1), 1)
-
     def classes(self, which: np.ndarray) -> np.ndarray:
-        """One span of each class of equal spans among those given, and how often: by suffix sort."""
-        start, size = self.first[which], self.last[which] + self.length - self.first[which]
-        order = suffix_sort(self.prefix, self.data, start, size)
-        s, z = start[order], size[order]
-        same = z[1:] == z[:-1]
-        same[same] = lce(self.prefix, s[1:][same], s[:-1][same], z[1:][same]) == z[1:][same]
-        for i in np.flatnonzero(same):  # verification on the bytes themselves
-            if self.buffer[s[i] : s[i] + z[i]] != self.buffer[s[i + 1] : s[i + 1] + z[i]]:
-                same[i] = False
-        group = np.cumsum(np.append(0, ~same)) if len(order) else np.zeros(0, np.int64)
-        out = np.zeros(len(which), np.int64)
-        out[order] = group
-        return out
+        """For each of the given spans the first one with the same bytes and the same anchor in them."""
+        known: dict[tuple[int, bytes], int] = {}
+        number, buffer, length = known.setdefault, self.buffer, self.length
+        spans = zip(which.tolist(), self.first[which].tolist(), self.last[which].tolist(), self.anchor[which].tolist(), strict=True)
+        return np.array([number((a - f, buffer[f : l + length]), i) for i, f, l, a in spans], np.int64)
 
 
 def lce(prefix: Prefix, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -127,7 +141,7 @@ def suffix_sort(prefix: Prefix, data: np.ndarray, start: np.ndarray, size: np.nd
             same = lce(prefix, sa, sb, both)
             over = same >= both
             at = np.where(over, 0, same)
-            out[i] = np.where(over, (za <= zb) if or_equal else (za < zb), data[sa + at] < data[sb + at])
+            out[i] = np.where(over, (za <= zb) if or_equal else (za < zb), data[np.minimum(sa + at, len(data) - 1)] < data[np.minimum(sb + at, len(data) - 1)])
         return out
 
     width = 1
@@ -155,114 +169,199 @@ def suffix_sort(prefix: Prefix, data: np.ndarray, start: np.ndarray, size: np.nd
     return order
 
 
-def _texts(table: pa.Table) -> list[bytes]:
-    return [(t.as_py() or "").encode() for t in table["text"]]
-
-
-def _found(spans: Spans, answers: pa.Table, bits: int) -> np.ndarray:
-    known, _ = answered(answers, 0)
-    return np.flatnonzero(member(short_key(spans.keys, bits), known))
-
-
-def _span_keys(spans: Spans, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    start, end = spans.first[which], spans.last[which] + spans.length
-    size = (end - start).astype(np.uint64)
-    return mix(spans.prefix.stretch(start, end) + size), mix(spans.second.stretch(start, end) ^ size)
-
-
-def _string_keys(spans: Spans, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and hashes of all strings of the given spans."""
+def neighbours(data: np.ndarray, start: np.ndarray, size: np.ndarray, order: np.ndarray, most: int) -> tuple[np.ndarray, bool]:
+    """Common length of each string data[start : start + size] (``most`` long at the most) with the one before it in ``order`` (0 for the first),
+    and whether the order is right: by the bytes themselves."""
+    common, right = np.zeros(len(order), np.int64), True
+    for at in range(0, len(order) - 1, 16_384):
+        o = order[at : at + 16_385]
+        rows = data[np.minimum(start[o][:, None] + np.arange(most), len(data) - 1)].astype(np.int16)
+        rows[np.arange(most) >= size[o][:, None]] = -1  # after the end: before any byte
+        differ = rows[1:] != rows[:-1]
+        some = differ.any(1)
+        n = np.where(some, differ.argmax(1), np.minimum(size[o[1:]], size[o[:-1]]))
+        common[at + 1 : at + len(o)] = n
+        i = np.flatnonzero(some)
+        right &= bool((rows[i + 1, n[i]] > rows[i, n[i]]).all())
+    return common, right
+
+
+def sorted_suffixes(data: np.ndarray, start: np.ndarray, size: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the strings and the common length of each with the one before. Sorted by hashes, verified by bytes; by bytes, if that fails."""
+    order = suffix_sort(Prefix(data.astype(np.uint64) + np.uint64(1)), data, start, size)
+    common, right = neighbours(data, start, size, order, most)
+    if not right:
+        whole = data.tobytes()
+        strings = [whole[s : s + z] for s, z in zip(start.tolist(), size.tolist(), strict=True)]
+        order = np.array(sorted(range(len(strings)), key=strings.__getitem__), np.int64)
+        common, _ = neighbours(data, start, size, order, most)
+    return order, common
+
+
+def repeated(data: np.ndarray, left: np.ndarray, right: np.ndarray, weight: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """For spans of one bucket, one after the other in ``data`` with ``left`` bytes before the anchor and ``right`` from it on: whether the string that
+    begins d bytes before the anchor occurs twice or more (a span counts ``weight`` times), for each d up to length - gram."""
+    n, depth = len(left), length - gram + 1
+    out = np.zeros((n, depth), bool)
+    begin = np.cumsum(left + right) - (left + right)
+    place = np.arange(depth)
+    own = (place >= length - right[:, None]) & (place <= left[:, None])
+    out[weight > 1] = own[weight > 1]  # those that repeat in their chunk
+    order, common = sorted_suffixes(data, begin + left, right, length)
+    met = np.zeros(n, bool)  # spans that share their gram with another
+    met[order] = (common >= gram) | np.append(common[1:] >= gram, False)
+    if not met.any():
+        return out
+    back, alike = sorted_suffixes(data[::-1], len(data) - begin - left, left, max(1, length - gram))
+    group, behind = np.empty(n, np.int64), np.empty(n, np.int64)
+    for d in range(depth):
+        which = np.flatnonzero(own[:, d] & met)
+        if len(which) < 2:
+            continue
+        group[order] = np.cumsum(common < length - d)
+        behind[back] = np.cumsum(alike < d)
+        pair = group[which] * (n + 1) + behind[which]
+        by = np.argsort(pair, kind="stable")
+        same = np.diff(pair[by]) == 0
+        twice = np.append(same, False) | np.append(False, same)
+        out[which[by[twice]], d] = True
+    return out
+
+
+def _strings(spans: Spans, which: np.ndarray, key: Key) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and keyed hashes (64 and 32 bits) of all strings of the given spans."""
     first, n = spans.first[which], spans.last[which] - spans.first[which] + 1
     at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    return at, mix(spans.prefix.stretch(at, at + spans.length)), mix(spans.second.stretch(at, at + spans.length))
-
-
-def digest(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    made = key.digests([spans.buffer[i : i + spans.length] for i in at.tolist()], 12)
+    both = np.frombuffer(made, np.dtype([("k", "<u8"), ("m", "<u4")]))
+    return at, both["k"].astype(np.uint64), both["m"].astype(np.uint64)
+
+
+def _sent(chunk: int, bits: int, spans: Spans, base: int, lead: np.ndarray, weight: np.ndarray) -> pa.Table:
+    """Messages with the bytes of spans, one a bucket."""
+    order = np.argsort(spans.keys[lead], kind="stable")
+    lead, weight = lead[order], weight[order]
+    bucket = (spans.keys[lead] >> np.uint64(64 - bits)).astype(np.int64)
+    cuts = np.flatnonzero(np.diff(bucket)) + 1
+    bounds = list(zip(np.append(0, cuts).tolist(), np.append(cuts, len(lead)).tolist(), strict=True)) if len(lead) else []
+    left = (spans.anchor[lead] - spans.first[lead]).astype("<u2")
+    right = (spans.last[lead] + spans.length - spans.anchor[lead]).astype("<u2")
+    ids, twice = (lead + base).astype("<u8"), np.minimum(weight, 2).astype(np.uint8)
+    whole = [spans.buffer[f:e] for f, e in zip(spans.first[lead].tolist(), (spans.last[lead] + spans.length).tolist(), strict=True)]
+    columns = [pa.array([int(bucket[s]) for s, _ in bounds], pa.int32()), pa.array([chunk] * len(bounds), pa.int64())]
+    columns += [pa.array([x[s:e].tobytes() for s, e in bounds], pa.binary()) for x in (ids, left, right, twice)]
+    columns.append(pa.array([b"".join(whole[s:e]) for s, e in bounds], pa.binary()))
+    return pa.table(columns, ["bucket", "chunk", "ids", "left", "right", "twice", "body"])
+
+
+def _found(table: pa.Table, length: int, gram: int) -> pa.Table:
+    """For one bucket: to each chunk the spans with repeated strings and a bit for each d."""
+    parts = {c: [x.as_py() for x in table[c]] for c in ("ids", "left", "right", "twice", "body")}
+    ids, left, right, twice = (np.frombuffer(b"".join(parts[c]), t) for c, t in (("ids", "<u8"), ("left", "<u2"), ("right", "<u2"), ("twice", np.uint8)))
+    data = np.frombuffer(b"".join(parts["body"]), np.uint8)
+    bits = np.packbits(repeated(data, left.astype(np.int64), right.astype(np.int64), twice, length, gram), axis=1)
+    some = bits.any(1)
+    ends = np.cumsum([len(x) // 8 for x in parts["ids"]])
+    out = []
+    for chunk, s, e in zip(table["chunk"].to_pylist(), np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True):
+        mine = np.flatnonzero(some[s:e]) + s
+        if len(mine):
+            out.append((chunk, ids[mine].tobytes(), bits[mine].tobytes()))
+    return pa.table([pa.array([x[0] for x in out], pa.int64()), *[pa.array([x[i] for x in out], pa.binary()) for i in (1, 2)]], ["chunk", "ids", "bits"])
+
+
+def digest(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row."""
     if not 0 < gram <= length:
         raise ValueError("a gram must fit in the string")
     ship(docs.sparkSession)
-    scratch = Scratch(docs.sparkSession, "suffix")
-    rows, total, _ = chunked(docs)
-    bits = bucket_bits(total // 80)
+    scratch, key, chunks = Scratch(docs.sparkSession, "suffix"), Key(), Chunks(docs)
+    bits, depth, rows = bucket_bits(chunks.total // 80), length - gram + 1, chunks.rows
 
     def anchors(table: pa.Table) -> pa.Table:
-        return messages(table["chunk"][0].as_py(), bits, Spans(_texts(table), length, gram).keys)
-
-    found = exchange(rows.groupBy("chunk").applyInArrow(frugal(anchors), MESSAGE), 6, scratch, "anchors")
-
-    def whole(table: pa.Table, answers: pa.Table) -> pa.Table:
-        names = ["gram", "u", "v", "chunk", "n"]
-        spans = Spans(_texts(table), length, gram) if table.num_rows and answers.num_rows else None
-        which = _found(spans, answers, bits) if spans else ()
-        if not len(which):
-            return pa.table([pa.array([], pa.int64())] * 5, names)
-        a, b = _span_keys(spans, which)
-        _, lead, count = np.unique(spans.classes(which), return_index=True, return_counts=True)
-        rows = [spans.keys[which[lead]], a[lead], b[lead], np.full(len(lead), table["chunk"][0].as_py()), count]
-        return pa.table([pa.array(x.view(np.int64)) for x in rows], names)
-
-    known = scratch.table(with_answers(rows, [found], whole, "gram long, u long, v long, chunk long, n long"), "spans")
-    total_of = known.groupBy("u", "v").agg(F.sum("n").alias("total"), F.first("gram").alias("gram"), F.min("chunk").alias("owner"))
-    total_of = scratch.table(total_of, "totals")
-    packed = F.concat(*[F.unhex(F.lpad(F.hex(c), 16, "0")) for c in ("u", "v")]).alias("keys")
-    repeated = scratch.table(known.join(total_of.where("total > 1").select("u", "v"), ["u", "v"]).select("chunk", packed), "repeated")
-    single = total_of.where("total = 1").select("gram").distinct()
-    owners = scratch.table(total_of.where("total > 1").join(single, "gram", "left_semi").select(F.col("owner").alias("chunk"), packed), "owners")
-    scratch.drop("spans", "totals")
-
-    def border(spans: Spans, answers: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        which = _found(spans, answers, bits)
-        a, b = _span_keys(spans, which)
-        k, m = answered_pairs(answers, 1)
-        return which, member(a, k, b, m), a, b
-
-    def parts(table: pa.Table, answers: pa.Table) -> pa.Table:
-        if not table.num_rows or not answers.num_rows:
-            return messages(0, bits, np.zeros(0, np.uint64))
-        spans = Spans(_texts(table), length, gram)
-        which, full, a, b = border(spans, answers)
-        k, m = answered_pairs(answers, 2)
-        _, once = np.unique(np.stack([a, b]), axis=1, return_index=True)
-        lent = np.zeros(len(which), bool)  # repeated spans whose strings others may hold: one of each class in all chunks
-        lent[once] = member(a[once], k, b[once], m)
-        send = which[~full | lent]
-        at, a, b = _string_keys(spans, send)
-        asked = np.repeat(~full[~full | lent], spans.last[send] - spans.first[send] + 1)
-        return messages(table["chunk"][0].as_py(), bits, a, b, asked)
-
-    strings = exchange(with_answers(rows, [found, repeated, owners], parts, MESSAGE), 12, scratch, "strings")
+        return pa.concat_tables([messages(table["chunk"][0].as_py(), bits, Spans(of, length, gram).keys, counted=True) for of in pieces(texts_of(table), length)])
+
+    found = exchange(rows.groupBy("chunk").applyInArrow(frugal(anchors), MESSAGE), 6, scratch, "anchors", hot)
+
+    def known(table: pa.Table, answers: pa.Table) -> Iterator[tuple[int, list[Piece], Spans, np.ndarray, np.ndarray]]:
+        """Number of the first span, pieces, spans, found spans and hot spans of each list of pieces of a chunk."""
+        few, many = (answered(answers, 0, 6, c)[0] for c in ("keys", "hot"))
+        base = 0
+        for of in pieces(texts_of(table), length):
+            spans = Spans(of, length, gram)
+            short = short_key(spans.keys, bits)
+            yield base, of, spans, np.flatnonzero(member(short, few)), np.flatnonzero(member(short, many))
+            base += len(spans.keys)
+
+    def bodies(table: pa.Table, answers: pa.Table) -> pa.Table:
+        out = [_sent(0, bits, Spans([], length, gram), 0, np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for base, _, spans, which, _ in known(table, answers) if table.num_rows and answers.num_rows else ():
+            lead, count = np.unique(spans.classes(which), return_counts=True)
+            out.append(_sent(table["chunk"][0].as_py(), bits, spans, base, lead, count))
+        return pa.concat_tables(out)
+
+    met = with_answers(rows, [found], bodies, SENT).groupBy("bucket").applyInArrow(frugal(lambda t: _found(t, length, gram)), FOUND)
+    met = scratch.table(met, "spans")
+
+    def hot_strings(table: pa.Table, answers: pa.Table) -> pa.Table:
+        out = [messages(0, bits, np.zeros(0, np.uint64))]
+        for _, _, spans, _, which in known(table, answers) if table.num_rows and any(x.as_py() for x in answers["hot"]) else ():
+            lead, count = np.unique(spans.classes(which), return_counts=True)
+            _, a, b = _strings(spans, np.repeat(lead, np.minimum(count, 2)), key)
+            out.append(messages(table["chunk"][0].as_py(), bits, a, b))
+        return pa.concat_tables(out)
+
+    strings = exchange(with_answers(rows, [found.where("length(hot) > 0")], hot_strings, MESSAGE), 12, scratch, "strings")
+
+    def cover(table: pa.Table, answers: pa.Table, texts: list[bytes]) -> list[np.ndarray | None]:
+        """For each text which bytes go (None: none do)."""
+        gone: list[np.ndarray | None] = [None] * len(texts)
+        mine = [(i.as_py(), b.as_py()) for i, b, k in zip(answers["ids"], answers["bits"], answers["kind"], strict=True) if k.as_py() == 1]
+        ids = np.frombuffer(b"".join([i for i, _ in mine]), "<u8").astype(np.int64)
+        marks = np.frombuffer(b"".join([b for _, b in mine]), np.uint8).reshape(len(ids), -1)
+        by = np.argsort(ids)
+        ids, marks = ids[by], marks[by]
+        k, m = answered(answers, 2, 12)
+        for base, of, spans, which, many in known(table, answers):
+            count = np.zeros(len(spans.data) + 1, np.int64)
+            if len(which) and len(ids):
+                lead = spans.classes(which) + base
+                at = np.minimum(np.searchsorted(ids, lead), len(ids) - 1)
+                hit = ids[at] == lead
+                flags = np.unpackbits(marks[at[hit]], axis=1, count=depth).astype(np.int8)
+                edges = np.diff(flags, axis=1, prepend=0, append=0)
+                span, d = np.nonzero(edges == 1)
+                _, after = np.nonzero(edges == -1)
+                anchor = spans.anchor[which[hit]][span]
+                count[anchor - after + 1] += 1  # no two strings begin or end at one place
+                count[anchor - d + length] -= 1
+            if len(many) and len(k):
+                at, a, b = _strings(spans, many, key)
+                at = at[member(a, k, b, m)]
+                count[at] += 1
+                count[at + length] -= 1
+            covered = np.cumsum(count[:-1]) > 0
+            for p, s, e in zip(of, spans.starts.tolist(), spans.ends.tolist(), strict=True):
+                if covered[s:e].any():
+                    if gone[p.doc] is None:
+                        gone[p.doc] = np.zeros(len(texts[p.doc]), bool)
+                    gone[p.doc][p.first : p.first + e - s] |= covered[s:e]
+        return gone
 
     def judge(table: pa.Table, answers: pa.Table) -> pa.Table:
-        texts = _texts(table)
-        removed, runs, sha = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), [""] * len(texts)
-        gone = None
-        if answers.num_rows:
-            spans = Spans(texts, length, gram)
-            which, full, _, _ = border(spans, answers)
-            cover = np.zeros(len(spans.data) + 1, np.int64)
-            if full.any():
-                cover[spans.first[which[full]]] += 1  # no two spans begin or end at one place, nor do two strings
-                cover[spans.last[which[full]] + length] -= 1
-            if (~full).any():
-                at, a, b = _string_keys(spans, which[~full])
-                k, m = answered(answers, 2)
-                at = at[member(a, k, narrow(b), m)]
-                cover[at] += 1
-                cover[at + length] -= 1
-            gone = np.cumsum(cover[:-1]) > 0
-        at = 0
-        for i, text in enumerate(texts):
-            mine = gone[at : at + len(text)] if gone is not None else None
-            at += len(text)
-            if mine is not None and mine.any():
+        texts = texts_of(table)
+        removed, runs, sha = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), []
+        gone = cover(table, answers, texts) if answers.num_rows else [None] * len(texts)
+        for i, (text, mine) in enumerate(zip(texts, gone, strict=True)):
+            if mine is not None:
                 removed[i] = mine.sum()
                 runs[i] = (np.diff(mine.astype(np.int8), prepend=0) == 1).sum()
                 text = np.frombuffer(text, np.uint8)[~mine].tobytes()
-            sha[i] = hashlib.sha256(text).hexdigest()
+            sha.append(hashlib.sha256(text).hexdigest())
         sizes = np.array([len(t) for t in texts], np.int64)
         return pa.table(
-            [table["doc_id"], pa.array(sizes), pa.array(removed), pa.array(runs), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+            [table["doc_id"], pa.array(sizes), pa.array(removed), pa.array(runs), pa.array(sha, pa.string()), table["n"]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n"]
         )
 
-    return with_answers(rows, [found, repeated, strings], judge, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    judged = with_answers(rows, [found, met, strings], judge, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n long")
+    return chunks.spread(judged)
