@@ -3,7 +3,7 @@
 A page becomes a sequence of tags and runs of words. Each word of a run scores the log-odds that text in its place is main text; each tag scores negative. One
 linear scan finds the contiguous region with the highest sum. The region is the text, less what is closed up in it, cut into blocks at block elements.
 
-All weights are learned from labelled pages (layouts.py: 240 whole pages made by a seeded generator, some 600,000 characters; other pages may be
+All weights are learned from labelled pages (layouts.py: 240 whole pages made by a seeded generator, some 1,200,000 characters; other pages may be
 given). The log-odds of a run come from a logistic regression over features of its place: the elements, class words, ids and roles that it lies in (apart for those
 inside an article or main element), whether it is a link, how long its block is, how much of that is links, how it ends, and for short blocks outside of such elements their words.
 There is no list of boilerplate names: a name counts as far as labelled pages use it on one side. The score of a tag is the log-odds of its
@@ -97,12 +97,12 @@ def runs(page: str, weights: Weights | None = None) -> list[Run]:
     stack: list[tuple[str, list[str]]] = []
     active: Counter[str] = Counter()
     known = weights.features if weights else {}
-    place, inside, block, at = 0.0, 0, 0, 0
+    place, inside, block, at, bare = 0.0, 0, 0, 0, frozenset({"bare"})
 
     def text(start: int, end: int) -> None:
         if start < end:
             decoded = html.unescape(page[start:end])
-            out.append(Run("", start, decoded, len(decoded.split()), place, frozenset() if weights else frozenset(active), block, inside > 0))
+            out.append(Run("", start, decoded, len(decoded.split()), place if stack else known.get("bare", 0.0), frozenset() if weights else frozenset(active) if stack else bare, block, inside > 0))
 
     def leave(count: int) -> None:
         nonlocal place, inside
@@ -115,9 +115,12 @@ def runs(page: str, weights: Weights | None = None) -> list[Run]:
                     del active[f]
                     place -= known.get(f, 0.0)
 
-    for m in _TOKEN.finditer(page):
+    end, swallowed = page.rfind(">") + 1, False  # no tag ends later: none is looked for there
+    for m in _TOKEN.finditer(page, 0, end):
         text(at, m.start())
         at = m.end()
+        if at == end:
+            swallowed = m[0].startswith("<!--") and not m[0].endswith("-->") or bool(m["raw"]) and not re.search(rf"</{m['raw']}\s*>\Z", m[0], re.I)
         if m["raw"]:
             out.append(Run("<" + m["raw"].lower(), m.start()))
             continue
@@ -152,7 +155,9 @@ def runs(page: str, weights: Weights | None = None) -> list[Run]:
                     place += known.get(f, 0.0)
             stack.append((name, features))
             inside += name in ("article", "main")
-    text(at, len(page))
+    if not swallowed:
+        comment = page.find("<!--", at)
+        text(at, comment if comment >= 0 else len(page))
     return out
 
 
@@ -161,7 +166,7 @@ def _of_block(block: list[Run]) -> list[str]:
     said = " ".join(r.text for r in block)
     words = said.lower().split()
     linked, n = sum(r.words for r in block if r.block < 0), len(words)
-    found = [f"n {min(5, n.bit_length())}", f"links {4 * linked // max(1, n)}", f"stop {said.rstrip()[-1:] in '.!?:;'}"]
+    found = [f"n {min(5, n.bit_length())}", *[f"links {k}" for k in range(1, 5) if 4 * linked >= k * n], f"stop {said.rstrip()[-1:] in '.!?:;'}"]
     if n <= _SHORT and not block[0].inside:
         found += {f"w {w.strip('.,:;!?()')}" for w in words}
     return found

@@ -32,10 +32,10 @@ class _Page:
         return " ".join(self.word() for _ in range(self.rng.randint(low, high)))
 
     def sentence(self) -> str:
-        said = self.words(5, 18).split()
-        if self.rng.random() < 0.15:
-            i = self.rng.randrange(len(said))
-            said[i] = self.rng.choice(("<b>{}</b>", "<a href='/x'>{}</a>", "<em>{}</em>", "<code>{}</code>", "<a href='/y'><i>{}</i></a>")).format(said[i])
+        said = self.words(3, 18).split()
+        for _ in range(self.rng.choice((0, 0, 0, 1, 1, 2))):
+            i, n = self.rng.randrange(len(said)), self.rng.randint(1, 4)
+            said[i : i + n] = [self.rng.choice(("<b>{}</b>", "<a href='/x'>{}</a>", "<em>{}</em>", "<code>{}</code>", "<a href='/y'><i>{}</i></a>")).format(" ".join(said[i : i + n]))]
         return " ".join(said).capitalize() + self.rng.choice("....?!")
 
     def links(self, low: int, high: int) -> str:
@@ -90,7 +90,7 @@ class _Page:
 
     def page(self) -> list[Segment]:
         pick, chance, add = self.rng.choice, self.rng.random, lambda markup, main=False: self.out.append((markup, main))
-        if chance() < 0.04:
+        if chance() < 0.1:
             return [(" ".join(self.sentence() for _ in range(self.rng.randint(1, 8))) if chance() < 0.6 else self.words(2, 30), True)]
         title = self.words(2, 9).capitalize()
         add(f"<!DOCTYPE html><html><head><title>{title}</title><meta charset='utf-8'><style>p{{margin:0}}</style></head><body>")
