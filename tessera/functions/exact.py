@@ -117,11 +117,48 @@ def little_endian(data: Column, offset: int, size: int) -> Column:
 
 def safe_text(value: str) -> str:
     """Allow-list for text that goes into a statement; refuses anything else."""
-    if not value or not all(c.isascii() and (c.isalnum() or c in "_-./") for c in value):
+    if not value or not all(c.isascii() and (c.isalnum() or c in "_-./:+=,@") for c in value):
         raise ValueError(f"unsafe text: {base64.b64encode(value.encode()).decode()}")
     return value
 
 
+def crc32(data: Column) -> Column:
+    """IEEE CRC-32 of bytes or text."""
+    return F.crc32(data.cast("binary"))
+
+
+def rate(rows: Column, ns: Column) -> Column:
+    """Million rows a second from rows and nanoseconds."""
+    return rows * F.lit(1000.0) / ns
+
+
+def mib_rate(size: Column, ns: Column) -> Column:
+    """MiB a second."""
+    return size * F.lit(1e9) / (ns * F.lit(float(1 << 20)))
+
+
+def saving(a: Column, b: Column) -> Column:
+    """How many percent a is below b."""
+    return F.lit(100.0) * (F.lit(1.0) - a / b)
+
+
+#: Patterns of text that must not be published.
+LEAKS = (
+    r"/home/[A-Za-z0-9_.-]+/",
+    r"/Users/[A-Za-z0-9_. -]+/",
+    r"(?<![0-9.])100\.(?:6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9])",
+    r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+    r"BEGIN [A-Z ]*PRIVATE KEY",
+    r"/mnt/",
+    r"/data/",
+)
+
+
+def leaks(text: Column) -> Column:
+    """Whether text holds a path, private address, e-mail address or key."""
+    return text.rlike("(?i)" + "|".join(LEAKS))
+
+
 def gcd(a: Column, b: Column) -> Column:
     """Greatest common divisor of two non-negative longs: Euclid in at most 93 steps."""
     start = F.struct(a.cast("bigint").alias("a"), b.cast("bigint").alias("b"))

@@ -7,14 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exact
 from ..session import ship
 
-SAMPLE, GROUP = 1024, 128
+SAMPLE, GROUP, RAW = 1024, 128, 255
 
 
 def in_order() -> Window:
@@ -27,7 +26,7 @@ def before() -> Window:
 
 def blocks(df: DataFrame, rows: int) -> DataFrame:
     """Adds ``block``: fixed numbers of rows by position; the last may be short."""
-    return df.withColumn("block", F.floor(F.col("pos") / rows).cast("bigint"))
+    return df.withColumn("block", F.expr(f"pos div {rows}"))
 
 
 def zone_map(df: DataFrame, time: str = "t", symbol: str = "symbol") -> DataFrame:
@@ -43,11 +42,8 @@ def column_params(df: DataFrame, column: str) -> DataFrame:
     ship(df.sparkSession)
 
     def run(table: pa.Table) -> pa.Table:
-        v = table[column].to_numpy().astype(np.int64)
-        base = v.min()
-        offsets = v.view(np.uint64) - np.int64(base).view(np.uint64)
-        scale = max(1, int(np.gcd.reduce(np.unique(offsets))))
-        return pa.table({"block": [table["block"][0].as_py()], "base": [int(base)], "scale": pa.array(np.array([scale], np.uint64).view(np.int64)), "bits": pa.array([(int(offsets.max()) // scale).bit_length()], pa.int32())})
+        base, scale, bits = _params(table[column].to_numpy().astype(np.int64))
+        return pa.table({"block": [table["block"][0].as_py()], "base": [base], "scale": pa.array(np.array([scale], np.uint64).view(np.int64)), "bits": pa.array([bits], pa.int32())})
 
     return df.select("block", column).groupBy("block").applyInArrow(run, "block long, base long, scale long, bits int")
 
@@ -104,14 +100,87 @@ def run_decision(df: DataFrame, column: str) -> DataFrame:
     return counted.withColumn("rle", F.col("runs") <= F.floor(F.col("rows") / 4))
 
 
+def _quotients(v: np.ndarray, base: int, scale: int) -> np.ndarray:
+    """Wrapping offsets from the base, divided by the scale, as unsigned 64 bits."""
+    return (v.view(np.uint64) - np.int64(base).view(np.uint64)) // np.uint64(scale)
+
+
+def _params(v: np.ndarray) -> tuple[int, int, int]:
+    """Base, scale (unsigned) and bits of the largest quotient."""
+    base = int(v.min())
+    offsets = v.view(np.uint64) - np.int64(base).view(np.uint64)
+    scale = max(1, int(np.gcd.reduce(np.unique(offsets))))
+    return base, scale, (int(offsets.max()) // scale).bit_length()
+
+
+def _in_order(table: pa.Table, column: str) -> np.ndarray:
+    return table.sort_by("pos")[column].to_numpy().astype(np.int64)
+
+
+def pack_groups(df: DataFrame, column: str) -> DataFrame:
+    """block, part (of 128 rows), base, scale (bit pattern), width, rows, payload: quotients bit by bit, the lowest bit first, in ``width`` bits each, filled up to
+    128; width 255 marks a raw group of 64-bit quotients, where 32 bits do not suffice. One task a block."""
+    ship(df.sparkSession)
+
+    def run(table: pa.Table) -> pa.Table:
+        v, out = _in_order(table, column), []
+        base, scale, _ = _params(v)
+        q = _quotients(v, base, scale)
+        for part, at in enumerate(range(0, len(q), GROUP)):
+            group = q[at : at + GROUP]
+            width = int(group.max()).bit_length()
+            if width > 32:
+                payload, width = group.astype("<u8").tobytes(), RAW
+            else:
+                full = np.zeros(GROUP, np.uint64)
+                full[: len(group)] = group
+                payload = np.packbits((full[:, None] >> np.arange(width, dtype=np.uint64) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little").tobytes()
+            out.append((part, width, len(group), payload))
+        n = len(out)
+        columns = [pa.array([table["block"][0].as_py()] * n, pa.int64()), pa.array([o[0] for o in out], pa.int64()), pa.array([base] * n, pa.int64())]
+        columns += [pa.array(np.full(n, scale, np.uint64).view(np.int64)), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.int32()), pa.array([o[3] for o in out], pa.binary())]
+        return pa.table(columns, ["block", "part", "base", "scale", "width", "rows", "payload"])
+
+    return df.select("block", "pos", column).groupBy("block").applyInArrow(run, "block long, part long, base long, scale long, width int, rows int, payload binary")
+
+
+def unpack_groups(packed: DataFrame) -> DataFrame:
+    """block, i (place in the block, from 0) and value of every row that pack_groups() packed; group by group, without a shuffle."""
+    ship(packed.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blocks_, places, values = [], [], []
+            for r in batch.to_pylist():
+                if r["width"] == RAW:
+                    q = np.frombuffer(r["payload"], "<u8").astype(np.uint64)
+                else:
+                    bits = np.unpackbits(np.frombuffer(r["payload"], np.uint8), bitorder="little").reshape(GROUP, -1)[: r["rows"]].astype(np.uint64)
+                    q = (bits << np.arange(r["width"], dtype=np.uint64)).sum(1, dtype=np.uint64)
+                v = q * np.int64(r["scale"]).view(np.uint64) + np.int64(r["base"]).view(np.uint64)
+                values.append(v.view(np.int64))
+                places.append(np.arange(r["rows"]) + GROUP * r["part"])
+                blocks_.append(np.full(r["rows"], r["block"]))
+            if values:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (blocks_, places, values)], ["block", "i", "value"])
+
+    return packed.mapInArrow(run, "block long, i long, value long")
+
+
 def group_widths(df: DataFrame, column: str) -> DataFrame:
     """block, part (of 128 rows), width of the largest quotient, bytes: packed, or raw where 32 bits do not suffice."""
-    params = column_params(df, column)
-    q = F.floor(F.expr(f"cast({column} as decimal(38,0)) - cast(base as decimal(38,0))") / F.col("scale")).cast("bigint")
-    joined = df.join(params, "block").withColumn("q", q).withColumn("part", F.floor((F.row_number().over(in_order()) - 1) / GROUP).cast("bigint"))
-    grouped = joined.groupBy("block", "part").agg(F.max("q").alias("most"), F.count(F.lit(1)).alias("n"))
-    width = exact.bit_width(F.col("most"))
-    return grouped.select("block", "part", width.alias("width"), F.when(width > 32, 1 + 8 * F.col("n")).otherwise(1 + 16 * width).cast("bigint").alias("bytes"))
+    ship(df.sparkSession)
+
+    def run(table: pa.Table) -> pa.Table:
+        v = _in_order(table, column)
+        base, scale, _ = _params(v)
+        q = _quotients(v, base, scale)
+        starts = np.arange(0, len(q), GROUP)
+        width = np.array([int(x).bit_length() for x in np.maximum.reduceat(q, starts)])
+        size = np.where(width > 32, 1 + 8 * np.diff(np.append(starts, len(q))), 1 + 16 * width)
+        return pa.table({"block": pa.array(np.full(len(starts), table["block"][0].as_py())), "part": pa.array(np.arange(len(starts))), "width": pa.array(width, pa.int32()), "bytes": pa.array(size, pa.int64())})
+
+    return df.select("block", "pos", column).groupBy("block").applyInArrow(run, "block long, part long, width int, bytes long")
 
 
 def dictionary(df: DataFrame, column: str) -> DataFrame:
@@ -159,33 +228,41 @@ def scale_selection(df: DataFrame, column: str) -> DataFrame:
 
 
 def predictor_choice(df: DataFrame, column: str, others: list[str] = ()) -> DataFrame:
-    """block, predictor, bits: the lowest bit width of residuals over the first 1,024 rows (delta costs one more); ties in the order absolute, delta, linear, others."""
-    early = df.withColumn("_n", F.row_number().over(in_order())).where(F.col("_n") <= SAMPLE).drop("_n")
-    forms = [("absolute", early.withColumn("residual", F.col(column)), 0), ("delta", delta(early, column), 1), ("linear", linear(early, column), 0)]
-    forms += [(f"reference:{o}", reference(early, column, o), 0) for o in others]
-    every = None
-    for rank, (name, form, cost) in enumerate(forms):
-        scored = column_params(form.select("block", "residual"), "residual").select("block", F.struct((F.col("bits") + cost).alias("bits"), F.lit(rank).alias("rank"), F.lit(name).alias("name")).alias("s"))
-        every = scored if every is None else every.unionByName(scored)
-    return every.groupBy("block").agg(F.min("s").alias("s")).select("block", F.col("s.name").alias("predictor"), F.col("s.bits").cast("int").alias("bits"))
-
-
-def bits_equal(a: DataFrame, b: DataFrame, key: str = "pos") -> bool:
-    """Whether two tables hold the same rows, doubles compared by their bits (so -0.0 differs from 0.0 and not-a-numbers count)."""
+    """block, predictor, bits: the lowest bit width of residuals over the first 1,024 rows (delta costs one more); ties in the order absolute, delta, linear, others.
+    One pass over a block's rows scores all forms."""
+    ship(df.sparkSession)
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("pos").slice(0, SAMPLE)
+        v = table[column].to_numpy().astype(np.int64).view(np.uint64)
+        step = v[min(1, len(v) - 1)] - v[0]
+        forms = [("absolute", v, 0), ("delta", np.concatenate((np.zeros(1, np.uint64), v[1:] - v[:-1])), 1), ("linear", v - v[0] - step * np.arange(len(v), dtype=np.uint64), 0)]
+        forms += [(f"reference:{o}", v - table[o].to_numpy().astype(np.int64).view(np.uint64), 0) for o in others]
+        bits, _, name = min((_params(x.view(np.int64))[2] + cost, rank, name) for rank, (name, x, cost) in enumerate(forms))
+        return pa.table({"block": table["block"][:1], "predictor": [name], "bits": pa.array([bits], pa.int32())})
+
+    return df.select("block", "pos", column, *others).groupBy("block").applyInArrow(run, "block long, predictor string, bits int")
+
+
+def bits_equal(a: DataFrame, b: DataFrame) -> bool:
+    """Whether two tables hold the same rows as often, doubles compared by their bits (so -0.0 differs from 0.0, and not-a-numbers by their payload)."""
     if a.schema.simpleString() != b.schema.simpleString():
         return False
 
     def bits(df: DataFrame) -> DataFrame:
-        doubles = [c for c, kind in df.dtypes if kind == "double"]
+        doubles = {c for c, kind in df.dtypes if kind == "double"}
         if not doubles:
             return df
         ship(df.sparkSession)
-        schema = ", ".join(f"`{c}` {'long' if kind == 'double' else kind}" for c, kind in df.dtypes)
+        schema = ", ".join(f"`{c}` {'long' if c in doubles else kind}" for c, kind in df.dtypes)
+
+        def of(c: pa.Array) -> pa.Array:
+            """The values' buffer read as longs; nulls stay null."""
+            return pa.Array.from_buffers(pa.int64(), len(c), c.buffers(), c.null_count, c.offset)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                cols = [pa.array(c.to_numpy(zero_copy_only=False).view(np.int64)) if n in doubles and c.null_count == 0 else c for n, c in zip(batch.schema.names, batch.columns, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.compute.cast(c, pa.int64()) if n in doubles and pa.types.is_floating(c.type) else c for n, c in zip(batch.schema.names, cols, strict=True)], batch.schema.names)
+                yield pa.RecordBatch.from_arrays([of(c) if n in doubles else c for n, c in zip(batch.schema.names, batch.columns, strict=True)], batch.schema.names)
 
         return df.mapInArrow(run, schema)
 

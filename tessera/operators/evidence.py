@@ -147,14 +147,134 @@ def _ratio(a: np.ndarray, b: np.ndarray) -> float:
 
 def bootstrap(a: np.ndarray, b: np.ndarray, block: int = BLOCK, draws: int = DRAWS, seed: int = SEED) -> tuple[float, float, float]:
     """Ratio of medians of paired series and its 95 % interval by moving blocks."""
-    if len(a) == 0 or len(a) != len(b):
-        raise ValueError("paired series of one or more rounds")
+    if len(a) < 2 or len(a) != len(b):
+        raise ValueError("paired series of two or more rounds")
     return _ratio(a, b), *_interval(*_resampled_medians([a, b], block, draws, seed))
 
 
 def bootstrap_both(a: np.ndarray, b: np.ndarray, draws: int = DRAWS, seed: int = SEED) -> list[tuple[float, ...]]:
     """Ratio, interval by moving blocks and interval by single rounds (the sensitivity result), of a to b and of b to a over the same draws."""
-    if len(a) == 0 or len(a) != len(b):
-        raise ValueError("paired series of one or more rounds")
+    if len(a) < 2 or len(a) != len(b):
+        raise ValueError("paired series of two or more rounds")
     (x, y), (u, v) = (_resampled_medians([a, b], size, draws, seed) for size in (BLOCK, 1))
     return [(_ratio(a, b), *_interval(x, y), *_interval(u, v)), (_ratio(b, a), *_interval(y, x), *_interval(v, u))]
+
+
+#: Measured rounds of a full cell, largest share of a cold file that may be resident.
+MEASURED_ROUNDS, COLD_LIMIT = 15, 0.10
+
+
+def first_match(samples: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The first sample of each key tuple."""
+    rest = F.struct(*[c for c in samples.columns if c not in keys])
+    return samples.groupBy(*keys).agg(F.min_by(rest, order).alias("s")).select(*keys, "s.*")
+
+
+def measured(samples: DataFrame, keys: list[str]) -> DataFrame:
+    """Samples of measured rounds in which no sample of the cell is flagged."""
+    flagged = samples.where(F.size("flags") > 0).select(*keys, "round").distinct()
+    return samples.where(F.col("role") == "measured").join(flagged, [*keys, "round"], "left_anti")
+
+
+def cell_summary(samples: DataFrame, keys: list[str], rounds: int = MEASURED_ROUNDS) -> DataFrame:
+    """Of each cell: attempted, valid and flagged measured rounds, and whether these are too few. Partial aggregation by round, then by cell."""
+    by_round = samples.groupBy(*keys, "round").agg(F.bool_or(F.col("role") == "measured").alias("measured"), F.bool_or(F.size("flags") > 0).alias("flagged"))
+    counted = by_round.groupBy(*keys).agg(
+        F.count_if("measured").alias("attempted"), F.count_if(F.col("measured") & ~F.col("flagged")).alias("valid"), F.count_if(F.col("measured") & F.col("flagged")).alias("flagged")
+    )
+    return counted.withColumn("underpowered", F.col("valid") < rounds)
+
+
+def candidate_summary(samples: DataFrame, keys: list[str]) -> DataFrame:
+    """Of each candidate of a cell: exact (all digests right; null without one), cold_comparable (half of the cold reads at most COLD_LIMIT resident; null without one)."""
+    cold = F.median(F.when(F.col("cache") == "cold", F.col("resident")))
+    return samples.groupBy(*keys, "candidate").agg(F.every("digest_ok").alias("exact"), (cold <= COLD_LIMIT).alias("cold_comparable"))
+
+
+def round_metrics(samples: DataFrame, keys: list[str]) -> DataFrame:
+    """Of each candidate and round: bytes, operation and end-to-end times by phase and cache, memory and CPU above the empty process (0 at least). One aggregation."""
+
+    def one(value: str, phase: str, cache: str | None = None) -> Column:
+        at = F.col("phase") == phase
+        return F.min_by(F.when(at & (F.col("cache") == cache) if cache else at, F.col(value)), F.when(at & (F.col("cache") == cache) if cache else at, F.col("place")))
+
+    def above(value: str, phase: str, cache: str | None = None) -> Column:
+        """Null unless both are there."""
+        over = one(value, phase, cache) - one(value, "noop")
+        return F.when(over.isNotNull(), F.greatest(over, F.lit(0)))
+
+    return samples.groupBy(*keys, "candidate", "round").agg(
+        one("bytes", "write").alias("bytes"), one("op_ns", "write").alias("write_op"), one("e2e_ns", "write").alias("write_e2e"),
+        one("op_ns", "read-full", "warm").alias("read_full_warm_op"), one("op_ns", "read-full", "cold").alias("read_full_cold_op"),
+        one("op_ns", "read-range", "warm").alias("read_range_warm_op"), one("op_ns", "read-range", "cold").alias("read_range_cold_op"),
+        above("rss_kb", "write").alias("rss_write"), above("rss_kb", "read-full", "warm").alias("rss_full"),
+        above("cpu_ns", "write").alias("cpu_write"), above("cpu_ns", "read-full", "warm").alias("cpu_full"),
+    )
+
+
+def savings(df: DataFrame, name: str, base: str, axes: list[str], warmup: int) -> DataFrame:
+    """Medians of each mode without the warm-up round, what each saves against ``base`` in percent, and on how many axes it is below all others."""
+    middle = df.where(F.col("round") != warmup).groupBy(name).agg(*[F.median(x).alias(x) for x in axes])
+    own = middle.select(F.lit(1).alias("_one"), "*")
+    best = middle.where(F.col(name) == base).select(F.lit(1).alias("_one"), *[F.col(x).alias(f"base_{x}") for x in axes])
+    a, b = middle.alias("a"), middle.alias("b")
+    beaten = [F.col(f"b.{x}") <= F.col(f"a.{x}") for x in axes]  # one row a mode
+    won = a.join(b, F.col(f"a.{name}") != F.col(f"b.{name}")).groupBy(F.col(f"a.{name}").alias(name)).agg(sum((F.coalesce((~F.bool_or(x)).cast("int"), F.lit(0)) for x in beaten), F.lit(0)).alias("best_on"))
+    saved = [(F.lit(100.0) * (F.lit(1.0) - F.col(x) / F.col(f"base_{x}"))).alias(f"saved_{x}") for x in axes]
+    return own.join(best, "_one").join(won, name, "left").select(name, *axes, *saved, F.coalesce("best_on", F.lit(len(axes))).alias("best_on"))
+
+
+def rotated(candidates: DataFrame, rounds: int) -> DataFrame:
+    """round, place, name: in round r the list begins at its r-th name, and is turned round in odd rounds. candidates: i (from 0), name."""
+    n = candidates.count()
+    every = candidates.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
+    place = F.pmod(F.col("i") - F.col("round"), F.lit(n))
+    return every.select("round", F.when(F.col("round") % 2 == 1, F.lit(n - 1) - place).otherwise(place).cast("long").alias("place"), "name")
+
+
+def plan_matrix(cells: DataFrame, warmups: int, rounds: int, extra: int) -> DataFrame:
+    """Of each cell (dataset, variant, candidates): processes a round (six phases of each candidate, one read of the source, one normalisation of a v2), fewest and most of all rounds."""
+    each = F.col("candidates") * 6 + 1 + F.when(F.col("variant") == "v2", 1).otherwise(0)
+    return cells.select("dataset", "variant", each.alias("per_round"), (each * (warmups + rounds)).alias("fewest"), (each * (warmups + rounds + extra)).alias("most"))
+
+
+def receipts(recorded: DataFrame, actual: DataFrame, redactions: DataFrame) -> DataFrame:
+    """path, status of each recorded file: 'original bytes', 'redacted copy', 'MISMATCH' (also where the file is gone). recorded: path, sha256; actual: path, sha256;
+    redactions: path, original_sha256, public_sha256."""
+    met = recorded.join(actual.withColumnRenamed("sha256", "now"), "path", "left").join(redactions, "path", "left")
+    redacted = (F.col("original_sha256") == F.col("sha256")) & (F.col("public_sha256") == F.col("now"))
+    return met.select("path", F.when(F.col("now") == F.col("sha256"), "original bytes").when(redacted, "redacted copy").otherwise("MISMATCH").alias("status"))
+
+
+def stale(redactions: DataFrame, actual: DataFrame) -> DataFrame:
+    """path of redactions whose public copy is not what they say."""
+    met = redactions.join(actual.withColumnRenamed("sha256", "now"), "path", "left")
+    return met.where(~F.coalesce(F.col("now") == F.col("public_sha256"), F.lit(False))).select("path")
+
+
+def manifest_difference(listed: DataFrame, tracked: DataFrame) -> DataFrame:
+    """path, problem: tracked files that the manifest lacks, and listed ones that are not tracked."""
+    lacking = tracked.join(listed, "path", "left_anti").select("path", F.lit("not listed").alias("problem"))
+    return lacking.unionByName(listed.join(tracked, "path", "left_anti").select("path", F.lit("not tracked").alias("problem")))
+
+
+def evidence_problems(required: list[str], files: DataFrame, recorded: DataFrame, texts: DataFrame) -> DataFrame:
+    """path, problem of an evidence folder: required files that are missing, recorded hashes that differ or have no file, texts that leak. files: path, sha256;
+    recorded: path, sha256; texts: path, text. Empty: verified."""
+    from ..functions.exact import leaks
+
+    wanted = files.sparkSession.createDataFrame([(x,) for x in required], "path string")
+    missing = wanted.join(files, "path", "left_anti").select("path", F.lit("missing").alias("problem"))
+    met = recorded.join(files.withColumnRenamed("sha256", "now"), "path", "left").where(~F.coalesce(F.col("now") == F.col("sha256"), F.lit(False)))
+    return missing.unionByName(met.select("path", F.lit("hash").alias("problem"))).unionByName(texts.where(leaks(F.col("text"))).select("path", F.lit("leak").alias("problem")))
+
+
+def resumed(lines: DataFrame, schema: str) -> DataFrame:
+    """Records of an append-only file of JSON lines (column value); torn lines of a crash and empty ones are left out, their rounds are run again."""
+    parsed = F.from_json("value", f"{schema}, _torn string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_torn"})
+    return lines.where(F.length(F.trim("value")) > 0).select(parsed.alias("r")).where(F.col("r._torn").isNull()).select("r.*").drop("_torn")
+
+
+def sanitised(df: DataFrame, column: str, fields: list[str]) -> DataFrame:
+    """A struct column without the fields that must not be published; fields that it does not have are left out."""
+    return df.withColumn(column, F.col(column).dropFields(*fields))

@@ -1,20 +1,26 @@
 """Registered queries and their SQL for DuckDB.
 
 Tick view: events (event_id -> pos, ts -> t in microseconds, event_type -> symbol, value * 100 -> price), in blocks of 512 rows.
-Book view: lineitem (l_orderkey -> event, l_returnflag -> side, prices times 100).
+Book view: lineitem (l_orderkey -> event, l_returnflag -> side, prices times 100). Samples of measurements: orders.
+
+Range queries read a stored table: the first use in a session writes it to the shared folder with its index, as a user would once; from then on the index decides which
+files are opened. Some queries damage what they check (late rows, lost rows, altered values); the SQL says how.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import exact
 from ..operators import columns as c
 from ..operators import evidence, timing
-from ..sources import book, generate, store, trades
+from ..session import scratch_dir
+from ..sources import book, generate, parquet, store, trades
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -61,9 +67,27 @@ LATE = "tick2 AS (SELECT * REPLACE (CASE WHEN pos % 97 = 0 THEN t - 3600000000 E
 OUT = "block, pos, t, symbol, price, user_id"
 
 
-def bounds(df: DataFrame) -> tuple[int, int]:
-    low, high = df.agg(F.min("t"), F.max("t")).first()
-    return c.middle_window(df, (high - low) // 8)
+def stored(spark: SparkSession, sf: str) -> store.Store:
+    return store.kept(spark, f"tick {sf}", lambda: tick(spark, sf).drop("props"))
+
+
+def late(df: DataFrame) -> DataFrame:
+    """Every 97th row an hour late."""
+    return df.withColumn("t", F.when(F.col("pos") % 97 == 0, F.col("t") - 3_600_000_000).otherwise(F.col("t")))
+
+
+_bounds: dict[str, tuple[int, int]] = {}
+
+
+def bounds(opened: store.Store) -> tuple[int, int]:
+    """From the time of the middle row on, an eighth of all time: by the index and one block; asked once of each store."""
+    if opened.path not in _bounds:
+        rows = opened.blocks()
+        width = (max(r["max_time"] for r in rows) - min(r["min_time"] for r in rows)) // 8
+        middle = sum(r["rows"] for r in rows) // 2
+        start = opened.read_block(middle // ROWS).where(F.col("pos") == middle).select("t").first()["t"]
+        _bounds[opened.path] = (start, min(start + width, exact.MAX_LONG))
+    return _bounds[opened.path]
 
 
 def shown(df: DataFrame) -> DataFrame:
@@ -79,48 +103,63 @@ _RANGE = f"WITH {TICK}, {BOUNDS} SELECT {OUT} FROM tick, bounds WHERE symbol = '
 
 @query(_RANGE)
 def range_query_pruned(spark, sf):
-    df = tick(spark, sf)
-    return shown(c.range_query(df, "click", *bounds(df), zones=c.zone_map(df)))
+    opened = stored(spark, sf)
+    return shown(opened.range_query("click", *bounds(opened)))
 
 
 @query(_RANGE)
 def range_query_scan(spark, sf):
+    return shown(c.range_query(tick(spark, sf), "click", *bounds(stored(spark, sf))))
+
+
+@query(_RANGE)
+def range_query_zones(spark, sf):
+    """A table without a stored index: its zone map is made first, and a semi join leaves the blocks out that cannot hit."""
     df = tick(spark, sf)
-    return shown(c.range_query(df, "click", *bounds(df)))
+    return shown(c.range_query(df, "click", *bounds(stored(spark, sf)), zones=c.zone_map(df)))
 
 
 @query(f"WITH {TICK}, {BOUNDS} SELECT {OUT} FROM tick, bounds WHERE symbol = 'absent' AND t BETWEEN a AND b")
 def range_query_absent_symbol(spark, sf):
-    df = tick(spark, sf)
-    return shown(c.range_query(df, "absent", *bounds(df), zones=c.zone_map(df)))
+    opened = stored(spark, sf)
+    return shown(opened.range_query("absent", *bounds(opened)))
 
 
 @query(f"WITH {TICK}, {BOUNDS}, {LATE} SELECT {OUT} FROM tick2, bounds WHERE symbol = 'view' AND t BETWEEN a AND b")
 def range_query_late_rows(spark, sf):
-    df = tick(spark, sf)
-    late = df.withColumn("t", F.when(F.col("pos") % 97 == 0, F.col("t") - 3_600_000_000).otherwise(F.col("t")))
-    return shown(c.range_query(late, "view", *bounds(df), zones=c.zone_map(late)))
+    opened = store.kept(spark, f"late {sf}", lambda: late(tick(spark, sf)).drop("props"))
+    return shown(opened.range_query("view", *bounds(stored(spark, sf))))
 
 
 @query(f"""WITH {TICK}, marks AS (SELECT p, (SELECT t FROM tick WHERE pos = (SELECT count(*) FROM tick) * p // 100) AS a FROM (VALUES (25), (50), (75)) v(p))
 SELECT p::INTEGER AS quarter, count(*) AS rows_found FROM marks JOIN tick ON symbol = 'click' AND t BETWEEN a AND a + 36000000000 GROUP BY p""")
 def range_query_windows(spark, sf):
-    df = tick(spark, sf)
-    n = df.count()
-    starts = {r["pos"]: r["t"] for r in df.where(F.col("pos").isin([n * p // 100 for p in (25, 50, 75)])).select("pos", "t").collect()}
-    found = None
-    for p in (25, 50, 75):
-        a = starts[n * p // 100]
-        one = c.range_query(df, "click", a, a + 36_000_000_000).groupBy(F.lit(p).alias("quarter")).agg(F.count(F.lit(1)).alias("rows_found"))
+    opened = stored(spark, sf)
+    n, found = opened.totals()["rows"], None
+    marks = [n * p // 100 for p in (25, 50, 75)]
+    blocks = [r for r in opened.blocks() if r["block"] in {m // ROWS for m in marks}]
+    starts = {r["pos"]: r["t"] for r in opened._read(blocks).where(F.col("pos").isin(marks)).select("pos", "t").collect()}
+    for p, mark in zip((25, 50, 75), marks, strict=True):
+        one = opened.range_query("click", starts[mark], starts[mark] + 36_000_000_000).select(F.lit(p).alias("quarter"))
         found = one if found is None else found.unionByName(one)
-    return found
+    return found.groupBy("quarter").agg(F.count(F.lit(1)).alias("rows_found"))
 
 
 @query(f"""WITH {TICK}, {ZONES}, {BOUNDS}, hit AS (SELECT zones.* FROM zones, bounds WHERE max_time >= a AND min_time <= b AND list_contains(symbols, 'click'))
 SELECT count(*) AS blocks_read, coalesce(sum(n), 0)::BIGINT AS rows_read FROM hit""")
 def range_query_stats(spark, sf):
-    df = tick(spark, sf)
-    return c.touched(c.zone_map(df), "click", *bounds(df)).agg(F.count(F.lit(1)).alias("blocks_read"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows_read"))
+    opened = stored(spark, sf)
+    return opened.stats("click", *bounds(opened))
+
+
+@query(f"WITH {TICK}, {BOUNDS} SELECT symbol, count(*) AS n, sum(price)::BIGINT AS price FROM tick WHERE t >= (SELECT a FROM bounds) GROUP BY symbol")
+def ts_pushed_range(spark, sf):
+    """A range of time on the raw table, as literals of its own timestamp type, so that it reaches the scan."""
+    start, _ = bounds(stored(spark, sf))
+    e = table(spark, sf, "events")
+    kind = e.schema["ts"].dataType.simpleString()
+    at = F.expr(f"cast(timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, {start // 10**6}.{start % 10**6:06d}) as {kind})")
+    return e.where(F.col("ts") >= at).groupBy(F.col("event_type").alias("symbol")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("value") * 100).cast("bigint")).alias("price"))
 
 
 @query(f"WITH {TICK} SELECT t AS start_us, t + 60000000 AS end_us FROM tick WHERE pos = (SELECT count(*) // 2 FROM tick)")
@@ -134,20 +173,40 @@ def block_zone_map(spark, sf):
     return c.zone_map(tick(spark, sf)).withColumn("symbols", joined(F.col("symbols")))
 
 
-@query(f"""WITH {TICK}, {ZONES}, o AS (SELECT block, n * 32 AS length, sum(n * 32) OVER (ORDER BY block) - n * 32 AS start FROM zones)
-SELECT block, start::BIGINT AS start, length, (coalesce(lag(start + length) OVER (ORDER BY block) = start, start = 0)) AS contiguous FROM o""")
+@query(f"""WITH {TICK}, z AS (SELECT block, count(*) AS rows, min(pos) AS first, max(pos) AS last FROM tick WHERE pos % 997 <> 5 GROUP BY block)
+SELECT block, rows, first, last, last - first + 1 = rows AND coalesce(lag(last) OVER (ORDER BY block) + 1 = first, first = 0) AS contiguous FROM z""")
 def segment_index_contiguity(spark, sf):
+    """Places of the rows of each block of a table that has lost rows: without gaps inside, and on from the block before."""
     line = Window.orderBy("block")  # one row a block: the index, not the data
-    o = c.zone_map(tick(spark, sf)).select("block", (F.col("rows") * 32).alias("length"))
-    o = o.withColumn("start", F.sum("length").over(line) - F.col("length"))
-    return o.withColumn("contiguous", F.coalesce(F.lag(F.col("start") + F.col("length")).over(line) == F.col("start"), F.col("start") == 0))
+    z = tick(spark, sf).where(F.col("pos") % 997 != 5).groupBy("block").agg(F.count(F.lit(1)).alias("rows"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+    follows = F.coalesce(F.lag("last").over(line) + 1 == F.col("first"), F.col("first") == 0)
+    return z.withColumn("contiguous", (F.col("last") - F.col("first") + 1 == F.col("rows")) & follows)
 
 
-@query(f"WITH {TICK}, {ZONES} SELECT count(*) AS blocks, 0::BIGINT AS differing FROM zones")
+@query(f"""WITH {TICK}, {LATE}, {ZONES}, z2 AS (SELECT block, count(*) AS n, min(t) AS min_time, max(t) AS max_time, list_sort(list(DISTINCT symbol)) AS symbols FROM tick2 GROUP BY block)
+SELECT count(*) AS blocks, count(*) FILTER (z2.min_time <> zones.min_time OR z2.max_time <> zones.max_time OR z2.n <> zones.n OR z2.symbols <> zones.symbols) AS differing FROM zones JOIN z2 USING (block)""")
 def index_recheck(spark, sf):
-    zones = store.index_of(tick(spark, sf))
-    again = c.zone_map(tick(spark, sf))
-    return store.differing(zones, again)
+    """The stored index against rows of which some have another time than when it was written."""
+    return store.differing(stored(spark, sf).index, store.index_of(late(tick(spark, sf))))
+
+
+@query(f"WITH {TICK} SELECT count(DISTINCT block) AS blocks, count(DISTINCT CASE WHEN pos % 5003 = 17 THEN block END) AS differing FROM tick")
+def checksum_recheck(spark, sf):
+    """Stored checksums against rows of which some have another price; no fact of the zone map tells these."""
+    opened = stored(spark, sf)
+    rows = opened.read_all()
+    return store.differing(opened.index, store.checksums(rows.withColumn("price", F.when(F.col("pos") % 5003 == 17, F.col("price") + 1).otherwise(F.col("price")))), ["checksum"])
+
+
+@query(f"WITH {TICK} SELECT count(DISTINCT block) AS blocks, 0::BIGINT AS differing FROM tick")
+def store_verify(spark, sf):
+    return stored(spark, sf).differing()
+
+
+@query(f"WITH {TICK} SELECT count(DISTINCT block) AS blocks, count(*) AS rows, 7::BIGINT AS columns, 1::BIGINT AS attempts FROM tick")
+def store_totals(spark, sf):
+    t = stored(spark, sf).totals()
+    return spark.createDataFrame([(t["blocks"], t["rows"], t["columns"], t["attempts"])], "blocks long, rows long, columns long, attempts long")
 
 
 @query(f"""WITH {TICK}, g AS (SELECT block, min(price) AS base, max(price) - min(price) AS span, list(price) AS v FROM tick GROUP BY block),
@@ -318,10 +377,41 @@ def denormalise_v1(spark, sf):
     return trades.denormalise(normalise_v2(spark, sf), {"value_e8": "value"})
 
 
-@query(f"WITH {TICK}, {LATE}, l AS (SELECT block, pos, t, lag(t) OVER (PARTITION BY block ORDER BY pos) AS p FROM tick2) SELECT block, pos FROM l WHERE p > t")
+@query(f"WITH {TICK}, {LATE}, l AS (SELECT pos, t, lag(t) OVER (ORDER BY pos) AS p FROM tick2) SELECT pos FROM l WHERE p > t")
 def monotonic_violations(spark, sf):
-    df = tick(spark, sf)
-    return c.monotonic_violations(df.withColumn("t", F.when(F.col("pos") % 97 == 0, F.col("t") - 3_600_000_000).otherwise(F.col("t"))), "pos", "t")
+    """Rows whose time falls, across the borders of blocks."""
+    return trades.violations(late(tick(spark, sf)), ROWS, "pos", "t")
+
+
+@query(f"WITH {TICK}, {LATE}, l AS (SELECT block, pos, t, lag(t) OVER (PARTITION BY block ORDER BY pos) AS p FROM tick2) SELECT block, pos FROM l WHERE p > t")
+def block_violations(spark, sf):
+    return c.monotonic_violations(late(tick(spark, sf)), "pos", "t")
+
+
+@query("SELECT event_id AS agg_id, event_id AS pos FROM events")
+def resort_by_id(spark, sf):
+    """A table in another order (by user), put back into the order of its ids."""
+    e = table(spark, sf, "events").select(F.col("event_id").alias("agg_id"), (F.col("user_id") * 10_000_000_000 + F.col("event_id")).alias("pos"))
+    return trades.resorted(e).select("agg_id", "pos")
+
+
+@query(f"WITH {TICK}, {LATE}, l AS (SELECT t, lag(t) OVER (ORDER BY pos) AS p FROM tick2) SELECT count(*) AS rows, coalesce(bool_and(p < t), true) AS is_sorted FROM l")
+def sortedness(spark, sf):
+    return trades.sorted_by(late(tick(spark, sf)), "t", ROWS)
+
+
+@query(f"WITH {TICK} SELECT block, row_number() OVER (PARTITION BY block ORDER BY pos) - 1 AS i, price AS value FROM tick")
+def bitpack_roundtrip(spark, sf):
+    return c.unpack_groups(c.pack_groups(tick(spark, sf), "price"))
+
+
+_EXTREME = "CASE pos % 5 WHEN 0 THEN -9223372036854775808 WHEN 1 THEN 9223372036854775807 WHEN 2 THEN 0 WHEN 3 THEN price ELSE -price END"
+
+
+@query(f"WITH {TICK} SELECT block, row_number() OVER (PARTITION BY block ORDER BY pos) - 1 AS i, ({_EXTREME})::BIGINT AS value FROM tick")
+def bitpack_extremes(spark, sf):
+    df = tick(spark, sf).withColumn("price", F.expr(_EXTREME.replace("-9223372036854775808", "-9223372036854775808L").replace("WHEN 2 THEN 0", "WHEN 2 THEN 0L")))
+    return c.unpack_groups(c.pack_groups(df, "price"))
 
 
 _TEXT = "CASE WHEN pos % 5 = 0 THEN value::VARCHAR ELSE printf('%d.%08d', price // 100, (price % 100) * 1000000) END"
@@ -439,12 +529,12 @@ def event_timing_errors(spark, sf):
     return e.select("pos", timing.timing_error(F.when(m == 0, 0), F.when(m <= 1, 0).otherwise(1), "received", "available").alias("error"))
 
 
-@query("""WITH r AS (SELECT event_id, event_type, event_id AS at FROM events), s AS (SELECT event_type, event_id AS published FROM events WHERE event_id % 10 = 3)
-SELECT r.event_id, max(s.published) AS as_of FROM r LEFT JOIN s ON r.event_type = s.event_type AND s.published <= r.at GROUP BY r.event_id""")
+@query("""WITH s AS (SELECT event_type, event_id + 1 + user_id % 5 AS published, max(event_id) AS state_id FROM events GROUP BY 1, 2)
+SELECT r.event_id, s.state_id AS as_of FROM events r ASOF LEFT JOIN s ON r.event_type = s.event_type AND r.event_id >= s.published""")
 def asof_clock_state(spark, sf):
-    e = table(spark, sf, "events").select("event_id", "event_type")
-    states = e.where(F.col("event_id") % 10 == 3).select("event_type", F.col("event_id").alias("published"), F.col("event_id").alias("state_id"))
-    return timing.latest_state(e.withColumn("at", F.col("event_id")), states, ["event_type"], "at", "published", "state_id").select("event_id", "as_of")
+    e = table(spark, sf, "events").select("event_id", "event_type", "user_id")
+    states = e.select("event_type", (F.col("event_id") + 1 + F.col("user_id") % 5).alias("published"), F.col("event_id").alias("state_id"))
+    return timing.latest_state(e.drop("user_id").withColumn("at", F.col("event_id")), states, ["event_type"], "at", "published", "state_id").select("event_id", "as_of")
 
 
 _CASES = "b AS (SELECT o_orderstatus AS kind, o_orderpriority AS codec, o_orderkey AS round, round(o_totalprice * 100)::BIGINT AS ns FROM orders)"
@@ -541,14 +631,32 @@ def bootstrap_ci(spark, sf):
     return dealt.groupBy("kind", "one", "other").applyInPandas(run, schema)
 
 
+@query()
+def bootstrap_verdicts(spark, sf):
+    """The verdict on every pair, from its bootstrap interval."""
+    v = evidence.verdict(F.col("ratio"), F.col("low"), F.col("high"), evidence.BANDS["time"])
+    return bootstrap_ci(spark, sf).select("kind", "candidate", "baseline", v.alias("verdict"))
+
+
 @query()
 def canonical_digest(spark, sf):
-    return trades.table_digest(tick(spark, sf).select("block", "pos", "t", "symbol", "price", "value"), "pos")
+    """One digest of the whole tick table, rows in order."""
+    return trades.table_digest(tick(spark, sf).select("pos", "t", "symbol", "price", "value"), "pos", ["pos", "t", "symbol", "price", "value"])
 
 
 @query()
 def columns_digest(spark, sf):
-    return trades.table_digest(generate.generate(spark, "trade", "quiet", 4096, 7).drop("kind"), "pos")
+    return trades.columns_digest(generate.generate(spark, "trade", "quiet", 4096, 7), "pos", "trade", [*generate.HEAD, *generate.TAILS["trade"]])
+
+
+@query()
+def synthetic_edge(spark, sf):
+    return trades.edge_table(spark)
+
+
+@query()
+def synthetic_edge_scaled(spark, sf):
+    return trades.edge_table(spark, scaled=True)
 
 
 @query(f"WITH {TICK} SELECT pos, sha256(props) AS sha256 FROM tick")
@@ -558,17 +666,21 @@ def text_sha256(spark, sf):
 
 @query()
 def file_sha256(spark, sf):
-    return store.file_report(spark, f"{sf}/nation.parquet")
+    """Length, format and hash of every file of the folder."""
+    return parquet.file_report(spark, sf)
 
 
-_FRAMES = f"WITH {TICK}, f AS (SELECT block, count(*) AS n, block < (SELECT count(DISTINCT block) FROM tick) - 2 AS complete FROM tick GROUP BY block) "
+_CUT = f"WITH {TICK}, cut AS (SELECT count(*) * 9 // 10 AS cut FROM tick) "
 
 
-@query(_FRAMES + "SELECT block, n AS rows FROM f WHERE complete")
+@query(_CUT + "SELECT block, count(*) AS rows FROM tick GROUP BY block HAVING max(pos) < (SELECT cut FROM cut)")
 def recover_prefix(spark, sf):
-    blocks = tick(spark, sf).groupBy("block").agg(F.count(F.lit(1)).alias("rows"))
-    n = blocks.count()
-    frames = blocks.withColumn("complete", F.col("block") < n - 2).withColumn("crc_ok", F.col("complete"))
+    """What a table that lost its last tenth still has whole, by the stored index and checksums."""
+    opened = stored(spark, sf)
+    rows = opened.read_all().where(F.col("pos") < opened.totals()["rows"] * 9 // 10)
+    now = c.zone_map(rows).select("block", F.col("rows").alias("now")).join(store.checksums(rows).withColumnRenamed("checksum", "found"), "block")
+    complete, right = F.coalesce(F.col("now") >= F.col("rows"), F.lit(False)), F.coalesce(F.col("found") == F.col("checksum"), F.lit(False))
+    frames = opened.index.join(now, "block", "left").select("block", "rows", complete.alias("complete"), right.alias("crc_ok"))
     return store.recover_frames(frames).select("block", "rows")
 
 
@@ -576,14 +688,13 @@ def recover_prefix(spark, sf):
 def store_roundtrip(spark, sf):
     df = tick(spark, sf)
     opened = store.temporary(df.drop("props"))
-    return shown(opened.range_query("click", *bounds(df)))
+    return shown(opened.range_query("click", *bounds(stored(spark, sf))))
 
 
 @query(_RANGE)
 def datasource_range(spark, sf):
-    df = tick(spark, sf)
-    a, b = bounds(df)
-    opened = store.temporary(df.drop("props"))
+    opened = stored(spark, sf)
+    a, b = bounds(opened)
     return shown(store.as_source(opened).where((F.col("symbol") == "click") & F.col("t").between(a, b)))
 
 
@@ -600,3 +711,243 @@ def synthetic_generate_quote(spark, sf):
 @query()
 def synthetic_generate_l2(spark, sf):
     return generate.generate(spark, "l2", "quiet", 4096, 3)
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT event_id AS pos, event_id AS agg_id, round(value * 100)::BIGINT * 1000000 AS price_e8, (user_id % 1000) * 100000000 AS qty_e8, event_id * 10 AS transact_time, user_id % 2 = 0 AS is_buyer_maker FROM events")
+def trades_csv(spark, sf):
+    """Events written as lines of trades in several files and read back strictly; pos is the line."""
+    cents = F.round(F.col("value") * 100).cast("bigint")
+    flag = lambda x: F.when(x, "True").otherwise("False")
+    line = F.concat_ws(
+        ",", "event_id", F.format_string("%d.%02d000000", F.expr("cast(round(value * 100) as bigint) div 100"), F.pmod(cents, F.lit(100))), F.format_string("%d.00000000", F.col("user_id") % 1000),
+        "event_id", "event_id", F.col("event_id") * 10, flag(F.col("user_id") % 2 == 0), F.lit("True"),
+    )
+    path = _scratch(spark, "csv")
+    table(spark, sf, "events").repartitionByRange(4, "event_id").sortWithinPartitions("event_id").select(line.alias("value")).write.text(path)
+    return trades.read_csv(spark, path, "EVENTS").select("pos", "agg_id", "price_e8", "qty_e8", "transact_time", "is_buyer_maker")
+
+
+@query(f"""WITH {LEVELS} SELECT event AS update_id, CASE side WHEN 'A' THEN 0 ELSE 1 END::BIGINT AS side, level AS level_index, price * 1000000 AS price_e8, quantity * 1000000 AS quantity_e8, event % 2 AS snapshot
+FROM lv WHERE side IN ('A', 'R')""")
+def book_messages(spark, sf):
+    """Levels written as gzipped JSON lines with hashed payloads and read back strictly."""
+    m = _messages(spark, sf)
+    sides = {n: F.expr(f"transform({n}, x -> array(concat(cast(x.price div 100 as string), '.', lpad(cast(x.price % 100 as string), 2, '0')), concat(cast(x.quantity div 100 as string), '.', lpad(cast(x.quantity % 100 as string), 2, '0'))))") for n in ("b", "a")}
+    data = F.struct(F.lit("BOOK").alias("s"), F.col("event").alias("u"), F.col("event").alias("seq"), sides["b"].alias("b"), sides["a"].alias("a"))
+    payload = F.to_json(F.struct(F.when(F.col("event") % 2 == 1, "snapshot").otherwise("delta").alias("type"), F.col("event").alias("ts"), F.col("event").alias("cts"), data.alias("data")))
+    lines = m.select("event", payload.alias("raw_payload")).select("event", F.to_json(F.struct("raw_payload", F.sha2("raw_payload", 256).alias("payload_sha256"), F.col("event").alias("receipt_utc_ns"))).alias("value"))
+    path = _scratch(spark, "book")
+    lines.repartitionByRange(4, "event").sortWithinPartitions("event").select("value").write.option("compression", "gzip").text(path)
+    return book.read_messages(spark, path).select("update_id", "side", "level_index", "price_e8", "quantity_e8", "snapshot")
+
+
+@query(f"""WITH {LEVELS}, r AS (SELECT *, row_number() OVER (PARTITION BY event, side ORDER BY CASE WHEN side = 'A' THEN -price ELSE price END, level) AS n FROM lv WHERE side IN ('A', 'R'))
+SELECT event, CASE side WHEN 'A' THEN 0 ELSE 1 END::BIGINT AS side, level, price FROM r WHERE n <= 2""")
+def best_levels(spark, sf):
+    return book.best_levels(book_explode_levels(spark, sf), 2, ["event"]).select("event", "side", "level", "price")
+
+
+@query(f"WITH {TICK}, k(sink) AS (VALUES ('plain'), ('plain-lz4'), ('dictionary-lz4'), ('delta-lz4'), ('delta-snappy'), ('delta-zstd')) SELECT sink, count(*) AS rows, sum(price)::BIGINT AS price FROM tick, k GROUP BY sink")
+def sink_roundtrip(spark, sf):
+    """The tick table through every writer configuration, read back by its exact schema."""
+    df, found = tick(spark, sf).select("pos", "t", "symbol", "price", "value"), None
+    for sink in parquet.SINKS:
+        path = _scratch(spark, sink)
+        parquet.write(df, path, sink)
+        one = parquet.read_exact(spark, path, df.schema).agg(F.lit(sink).alias("sink"), F.count(F.lit(1)).alias("rows"), F.sum("price").alias("price"))
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}.parquet' AS file, count(*) AS rows FROM {t}" for t in TABLES))
+def parquet_footers(spark, sf):
+    return parquet.inspected(spark, sf).select(F.element_at(F.split("path", "/"), -1).alias("file"), "rows")
+
+
+@query()
+def tree_bytes(spark, sf):
+    return parquet.tree_bytes(spark, sf)
+
+
+@query(f"WITH {TICK} SELECT pos, price FROM tick WHERE pos BETWEEN 1100 AND 1149")
+def row_slice(spark, sf):
+    """50 rows after 100 of the second group of 1,000."""
+    return parquet.rows_of(tick(spark, sf), 1000, 1, 100, 50).select("pos", "price")
+
+
+@query("SELECT event_id AS pos, (props::JSON ->> '$.k')::BIGINT AS k FROM events")
+def strict_json(spark, sf):
+    kind = StructType([StructField("k", LongType())])
+    return table(spark, sf, "events").select(F.col("event_id").alias("pos"), parquet.strict_json(F.col("props"), kind)["k"].alias("k"))
+
+
+@query("SELECT event_id AS pos, ((bit_length_ + 7) // 8)::INTEGER AS bytes, (event_id + 6) // 7 AS groups FROM (SELECT event_id, CASE WHEN user_id = 0 THEN 0 ELSE length(bin(user_id)) END AS bit_length_ FROM events)")
+def byte_widths(spark, sf):
+    return table(spark, sf, "events").select(F.col("event_id").alias("pos"), exact.byte_width(F.col("user_id")).alias("bytes"), exact.ceil_div(F.col("event_id"), 7).alias("groups"))
+
+
+@query("SELECT event_id AS pos, (event_id % 256)::BIGINT AS low, (event_id % 65536)::BIGINT AS both FROM events")
+def little_endian_fields(spark, sf):
+    raw = F.unhex(F.concat(*[F.lpad(F.hex(F.expr(f"event_id div {256**i} % 256")), 2, "0") for i in range(4)]))
+    e = table(spark, sf, "events").select(F.col("event_id").alias("pos"), raw.alias("raw"))
+    return e.select("pos", exact.little_endian(F.col("raw"), 0, 1).cast("bigint").alias("low"), exact.little_endian(F.col("raw"), 0, 2).cast("bigint").alias("both"))
+
+
+@query()
+def row_crc32(spark, sf):
+    return table(spark, sf, "events").select(F.col("event_id").alias("pos"), exact.crc32(F.col("props")).alias("crc"))
+
+
+@query("SELECT o_orderkey AS id, (o_custkey + 1) * 1000.0::DOUBLE / (round(o_totalprice * 100)::BIGINT) AS rate, (o_custkey + 1) * 1e9::DOUBLE / (round(o_totalprice * 100)::BIGINT * 1048576.0::DOUBLE) AS mib, 100.0::DOUBLE * (1.0::DOUBLE - (o_custkey + 1)::DOUBLE / (round(o_totalprice * 100)::BIGINT)) AS saved FROM orders")
+def rates(spark, sf):
+    n, ns = F.col("o_custkey") + 1, F.round(F.col("o_totalprice") * 100).cast("bigint")
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), exact.rate(n, ns).alias("rate"), exact.mib_rate(n, ns).alias("mib"), exact.saving(n, ns).alias("saved"))
+
+
+#: Lookaround is not in DuckDB's expressions; the same texts match with the neighbours consumed.
+_LEAK_SQL = "|".join(x.replace("(?<![0-9.])", "(?:^|[^0-9.])").replace("(?![0-9])", "(?:[^0-9]|$)") for x in exact.LEAKS)
+
+
+@query(f"SELECT doc_id, coalesce(regexp_matches(text, '{_LEAK_SQL}', 'is'), false) AS leak FROM documents")
+def leak_scan(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.coalesce(exact.leaks(F.col("text")), F.lit(False)).alias("leak"))
+
+
+_SAMPLES = """s AS (SELECT o_orderstatus AS dataset, CASE WHEN o_custkey % 2 = 0 THEN 'v1' ELSE 'v2' END AS variant, o_orderkey % 24 AS round, CASE WHEN o_orderkey % 24 < 3 THEN 'warmup' ELSE 'measured' END AS role,
+  o_orderpriority AS candidate, CASE o_custkey % 7 WHEN 0 THEN 'noop' WHEN 1 THEN 'write' WHEN 2 THEN 'read-full' WHEN 3 THEN 'read-range' WHEN 4 THEN 'read-full' WHEN 5 THEN 'read-range' ELSE 'write' END AS phase,
+  CASE WHEN o_custkey % 7 IN (2, 3) THEN 'warm' WHEN o_custkey % 7 IN (4, 5) THEN 'cold' END AS cache, o_orderkey % 1009 = 5 AS busy, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey % 1511 <> 1 END AS digest_ok,
+  (o_custkey % 100) / 500.0 AS resident, round(o_totalprice * 100)::BIGINT AS op_ns, o_custkey AS rss_kb, o_orderkey AS place FROM orders)"""
+
+
+def _samples(spark, sf) -> DataFrame:
+    k, m = F.col("o_orderkey"), F.col("o_custkey") % 7
+    phase = F.element_at(F.array(*[F.lit(x) for x in ("noop", "write", "read-full", "read-range", "read-full", "read-range", "write")]), (m + 1).cast("int"))
+    op = F.round(F.col("o_totalprice") * 100).cast("bigint")
+    return table(spark, sf, "orders").select(
+        F.col("o_orderstatus").alias("dataset"), F.when(F.col("o_custkey") % 2 == 0, "v1").otherwise("v2").alias("variant"), (k % 24).alias("round"), F.when(k % 24 < 3, "warmup").otherwise("measured").alias("role"),
+        F.col("o_orderpriority").alias("candidate"), phase.alias("phase"), F.when(m.isin(2, 3), "warm").when(m.isin(4, 5), "cold").alias("cache"),
+        F.when(k % 1009 == 5, F.array(F.lit("sibling_busy"))).otherwise(F.array().cast("array<string>")).alias("flags"), F.when(k % 4 != 0, k % 1511 != 1).alias("digest_ok"),
+        ((F.col("o_custkey") % 100) / 500.0).alias("resident"), op.alias("op_ns"), (op + 1000).alias("e2e_ns"), op.alias("bytes"), F.col("o_custkey").alias("rss_kb"), k.alias("cpu_ns"), k.alias("place"),
+    )
+
+
+@query(f"""WITH {_SAMPLES}, r AS (SELECT dataset, variant, round, bool_or(role = 'measured') AS m, bool_or(busy) AS f FROM s GROUP BY 1, 2, 3)
+SELECT dataset, variant, count(*) FILTER (m) AS attempted, count(*) FILTER (m AND NOT f) AS valid, count(*) FILTER (m AND f) AS flagged, count(*) FILTER (m AND NOT f) < 15 AS underpowered FROM r GROUP BY 1, 2""")
+def cell_summary(spark, sf):
+    return evidence.cell_summary(_samples(spark, sf), ["dataset", "variant"])
+
+
+@query(f"WITH {_SAMPLES} SELECT dataset, variant, candidate, bool_and(digest_ok) AS exact, median(resident) FILTER (cache = 'cold') <= 0.10 AS cold_comparable FROM s GROUP BY 1, 2, 3")
+def candidate_summary(spark, sf):
+    return evidence.candidate_summary(_samples(spark, sf), ["dataset", "variant"])
+
+
+_MINE = "phase = '{}' AND cache = '{}'"
+
+
+@query(f"""WITH {_SAMPLES}, g AS (SELECT dataset, variant, candidate, round, arg_min(op_ns, place) FILTER (phase = 'write') AS bytes, arg_min(op_ns, place) FILTER (phase = 'write') AS write_op,
+  arg_min(op_ns + 1000, place) FILTER (phase = 'write') AS write_e2e, arg_min(op_ns, place) FILTER ({_MINE.format('read-full', 'warm')}) AS read_full_warm_op, arg_min(op_ns, place) FILTER ({_MINE.format('read-full', 'cold')}) AS read_full_cold_op,
+  arg_min(op_ns, place) FILTER ({_MINE.format('read-range', 'warm')}) AS read_range_warm_op, arg_min(op_ns, place) FILTER ({_MINE.format('read-range', 'cold')}) AS read_range_cold_op,
+  arg_min(rss_kb, place) FILTER (phase = 'write') - arg_min(rss_kb, place) FILTER (phase = 'noop') AS rw, arg_min(rss_kb, place) FILTER ({_MINE.format('read-full', 'warm')}) - arg_min(rss_kb, place) FILTER (phase = 'noop') AS rf,
+  min(place) FILTER (phase = 'write') - min(place) FILTER (phase = 'noop') AS cw, min(place) FILTER ({_MINE.format('read-full', 'warm')}) - min(place) FILTER (phase = 'noop') AS cf FROM s GROUP BY 1, 2, 3, 4)
+SELECT * EXCLUDE (rw, rf, cw, cf), CASE WHEN rw IS NOT NULL THEN greatest(rw, 0) END AS rss_write, CASE WHEN rf IS NOT NULL THEN greatest(rf, 0) END AS rss_full,
+  CASE WHEN cw IS NOT NULL THEN greatest(cw, 0) END AS cpu_write, CASE WHEN cf IS NOT NULL THEN greatest(cf, 0) END AS cpu_full FROM g""")
+def round_metrics(spark, sf):
+    return evidence.round_metrics(_samples(spark, sf), ["dataset", "variant"])
+
+
+@query(f"WITH {_SAMPLES}, f AS (SELECT DISTINCT dataset, variant, round FROM s WHERE busy) SELECT dataset, variant, count(*) AS n FROM s ANTI JOIN f USING (dataset, variant, round) WHERE role = 'measured' GROUP BY 1, 2")
+def measured_samples(spark, sf):
+    return evidence.measured(_samples(spark, sf), ["dataset", "variant"]).groupBy("dataset", "variant").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {_SAMPLES} SELECT candidate, phase, arg_min(op_ns, place) AS op_ns, min(place) AS place FROM s GROUP BY 1, 2")
+def first_samples(spark, sf):
+    return evidence.first_match(_samples(spark, sf).select("candidate", "phase", "op_ns", "place"), ["candidate", "phase"], "place")
+
+
+@query("""WITH m AS (SELECT o_orderpriority AS mode, median(round(o_totalprice * 100)::BIGINT) AS bytes, median(o_custkey) AS read_ns FROM orders WHERE o_orderkey % 7 <> 0 GROUP BY 1), b AS (SELECT bytes AS bb, read_ns AS rb FROM m WHERE mode = '1-URGENT')
+SELECT mode, bytes, read_ns, 100.0::DOUBLE * (1.0::DOUBLE - bytes / bb) AS saved_bytes, 100.0::DOUBLE * (1.0::DOUBLE - read_ns / rb) AS saved_read_ns,
+ (CASE WHEN EXISTS (SELECT 1 FROM m o WHERE o.mode <> m.mode AND o.bytes <= m.bytes) THEN 0 ELSE 1 END + CASE WHEN EXISTS (SELECT 1 FROM m o WHERE o.mode <> m.mode AND o.read_ns <= m.read_ns) THEN 0 ELSE 1 END)::INTEGER AS best_on FROM m, b""")
+def mode_savings(spark, sf):
+    o = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("mode"), (F.col("o_orderkey") % 7).alias("round"), F.round(F.col("o_totalprice") * 100).cast("bigint").alias("bytes"), F.col("o_custkey").alias("read_ns"))
+    return evidence.savings(o, "mode", "1-URGENT", ["bytes", "read_ns"], 0)
+
+
+@query("""WITH r AS (SELECT range::INTEGER AS round FROM range(10)), p AS (SELECT round, n_name AS name, ((n_nationkey - round) % 25 + 25) % 25 AS place FROM nation, r)
+SELECT round, name, (CASE WHEN round % 2 = 1 THEN 24 - place ELSE place END)::BIGINT AS place FROM p""")
+def rotation(spark, sf):
+    return evidence.rotated(table(spark, sf, "nation").select(F.col("n_nationkey").alias("i"), F.col("n_name").alias("name")), 10)
+
+
+@query(f"WITH {_SAMPLES}, c AS (SELECT dataset, variant, count(DISTINCT candidate) * 6 + 1 + CASE WHEN variant = 'v2' THEN 1 ELSE 0 END AS n FROM s GROUP BY 1, 2) SELECT dataset, variant, n AS per_round, n * 18 AS fewest, n * 28 AS most FROM c")
+def plan_matrix(spark, sf):
+    return evidence.plan_matrix(_samples(spark, sf).groupBy("dataset", "variant").agg(F.count_distinct("candidate").alias("candidates")), 3, 15, 10)
+
+
+_RECEIPTS = """a AS (SELECT event_id::VARCHAR AS path, sha256(props) AS now, event_id FROM events), r AS (SELECT path, CASE WHEN event_id % 50 = 0 THEN sha256(path) ELSE now END AS sha256 FROM a WHERE event_id % 3 <> 2),
+d AS (SELECT path, sha256(path) AS original, CASE WHEN event_id % 200 = 0 THEN 'old' ELSE now END AS public FROM a WHERE event_id % 100 = 0)"""
+
+
+def _receipts(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    a = table(spark, sf, "events").select(F.col("event_id").cast("string").alias("path"), F.sha2("props", 256).alias("now"), "event_id")
+    k, own = F.col("event_id"), F.sha2("path", 256)
+    recorded = a.where(k % 3 != 2).select("path", F.when(k % 50 == 0, own).otherwise(F.col("now")).alias("sha256"))
+    redacted = a.where(k % 100 == 0).select("path", own.alias("original_sha256"), F.when(k % 200 == 0, "old").otherwise(F.col("now")).alias("public_sha256"))
+    return recorded, a.select("path", F.col("now").alias("sha256")), redacted
+
+
+@query(f"WITH {_RECEIPTS} SELECT r.path, CASE WHEN sha256 = now THEN 'original bytes' WHEN original = sha256 AND public = now THEN 'redacted copy' ELSE 'MISMATCH' END AS status FROM r JOIN a USING (path) LEFT JOIN d USING (path)")
+def receipt_check(spark, sf):
+    return evidence.receipts(*_receipts(spark, sf))
+
+
+@query(f"WITH {_RECEIPTS} SELECT path FROM d JOIN a USING (path) WHERE public <> now")
+def stale_redactions(spark, sf):
+    _, actual, redacted = _receipts(spark, sf)
+    return evidence.stale(redacted, actual)
+
+
+@query(f"WITH {_RECEIPTS} SELECT path, 'not listed' AS problem FROM a WHERE path NOT IN (SELECT path FROM r) UNION ALL SELECT path, 'not tracked' FROM r WHERE path NOT IN (SELECT path FROM d) AND path::BIGINT % 1000 = 7")
+def manifest_difference(spark, sf):
+    """Events against a list without every third, in which every thousandth stands under another name."""
+    recorded, actual, redacted = _receipts(spark, sf)
+    listed = evidence.manifest_difference(recorded, actual)
+    gone = recorded.where(F.col("path").cast("bigint") % 1000 == 7).join(redacted, "path", "left_anti")
+    return listed.unionByName(evidence.manifest_difference(gone, redacted.select("path")).where("problem = 'not tracked'"))
+
+
+@query(f"WITH {_RECEIPTS} SELECT path, 'hash' AS problem FROM r JOIN a USING (path) WHERE sha256 <> now UNION ALL SELECT 'RESULT.md', 'missing'")
+def evidence_problems(spark, sf):
+    recorded, actual, _ = _receipts(spark, sf)
+    texts = table(spark, sf, "events").select(F.col("event_id").cast("string").alias("path"), F.col("props").alias("text"))
+    return evidence.evidence_problems(["RESULT.md", "1"], actual, recorded, texts)
+
+
+@query("SELECT o_orderkey AS round, o_orderstatus AS dataset FROM orders WHERE o_orderkey % 11 <> 3")
+def resumed_rounds(spark, sf):
+    """Checkpoint lines, some torn."""
+    whole = F.to_json(F.struct(F.col("o_orderkey").alias("round"), F.col("o_orderstatus").alias("dataset")))
+    lines = table(spark, sf, "orders").select(F.when(F.col("o_orderkey") % 11 == 3, F.expr("substring(o_orderpriority, 1, 3)")).otherwise(whole).alias("value"))
+    return evidence.resumed(lines, "round long, dataset string")
+
+
+@query("SELECT o_orderkey AS id, o_orderstatus AS status FROM orders")
+def sanitised_inputs(spark, sf):
+    o = table(spark, sf, "orders").select(F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_custkey").alias("first_agg_id"), F.col("o_totalprice").alias("last_time")).alias("r"))
+    return evidence.sanitised(o, "r", ["first_agg_id", "last_time"]).select("r.*")
+
+
+@query("""SELECT o_orderkey AS id, list_filter([CASE WHEN o_orderkey % 13 = 0 THEN 'process_failed' END, CASE WHEN o_custkey % 40 > greatest(5, (o_orderkey % 300) * 0.10) THEN 'sibling_busy' END,
+ CASE WHEN (o_custkey % 100) / 100.0 < 0.85 AND o_orderkey % 200 >= 100 THEN 'low_cpu_ratio' END], lambda x: x IS NOT NULL)::VARCHAR AS flags FROM orders""")
+def interference_flags(spark, sf):
+    k, m = F.col("o_orderkey"), F.col("o_custkey")
+    found = evidence.flags(k % 13 == 0, m % 40, (k % 300).cast("double"), (m % 100) / 100.0, k % 200)
+    return table(spark, sf, "orders").select(k.alias("id"), F.concat(F.lit("["), F.array_join(found, ", "), F.lit("]")).alias("flags"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import importlib.util
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -47,9 +48,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where that is unset (local tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tessera.scratch", None)
+    """The shared folder of spark.checkpoint.dir. Where that is unset a temporary folder serves a local master; on a cluster each executor would
+    write to its own disk and later reads would miss rows, so that is an error."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("tessera.scratch", None)
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("tessera.scratch", path)
     return path.rstrip("/")

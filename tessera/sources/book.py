@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import exact
+from .trades import placed
 
 ENVELOPE = "raw_payload string, payload_sha256 string, receipt_utc_ns bigint"
 PAYLOAD = "type string, ts bigint, cts bigint, data struct<s:string, u:bigint, seq:bigint, b:array<array<string>>, a:array<array<string>>>"
@@ -26,9 +27,9 @@ def explode_levels(messages: DataFrame, fields: list[str]) -> DataFrame:
 def read_messages(spark: SparkSession, path: str) -> DataFrame:
     """Levels of (gzipped) JSON lines. A payload that differs from its hash, an unknown type, a missing field or a malformed level is an error.
 
-    event_index follows the order of lines in a file; gzip files are read by one task each, so that order is the file's.
+    event_index counts the lines from 0, in the order of file names and lines.
     """
-    lines = spark.read.text(path).withColumn("event_index", F.monotonically_increasing_id())
+    lines = placed(spark.read.text(path), "event_index")
     e = lines.select("event_index", F.from_json("value", ENVELOPE, {"mode": "FAILFAST"}).alias("e")).select("event_index", "e.*")
     refuse = lambda ok, what: F.when(ok, F.lit(True)).otherwise(F.raise_error(F.lit(what)).cast("boolean"))
     e = e.where(refuse(F.coalesce(F.sha2("raw_payload", 256) == F.col("payload_sha256"), F.lit(False)), "payload hash mismatch"))
@@ -66,6 +67,6 @@ def limit_events(counts: DataFrame, limit: int) -> DataFrame:
 
 
 def best_levels(levels: DataFrame, n: int, keys: list[str]) -> DataFrame:
-    """The n best bids (highest price) and asks (lowest) of each book."""
+    """The n best bids (highest price) and asks (lowest) of each book; ties by level."""
     rank = F.when(F.col("side") == 0, -F.col("price")).otherwise(F.col("price"))
-    return levels.withColumn("_at", F.row_number().over(Window.partitionBy(*keys, "side").orderBy(rank))).where(F.col("_at") <= n).drop("_at")
+    return levels.withColumn("_at", F.row_number().over(Window.partitionBy(*keys, "side").orderBy(rank, "level"))).where(F.col("_at") <= n).drop("_at")

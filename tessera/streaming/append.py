@@ -9,19 +9,17 @@ from pyspark.sql.streaming import StreamingQuery
 from ..sources import store
 
 
-def append_stream(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Rows (pos, t, symbol and others) as block = number of the micro-batch. A batch that was committed before is not written again."""
+def commit(batch: DataFrame, number: int, path: str) -> None:
+    """One micro-batch as block ``number``. A batch whose index was written is not written again; one that ended before it is, and the rows of
+    the first attempt are in no index."""
+    spark = batch.sparkSession
+    marked = batch.withColumn("block", F.lit(number).cast("bigint"))
+    if store.exists(spark, f"{path}/index") and not spark.read.schema(store.INDEX).parquet(f"{path}/index").where(F.col("block") == number).isEmpty():
+        return
+    if not marked.isEmpty():
+        store.append(marked, path)
 
-    def commit(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        marked = batch.withColumn("block", F.lit(number).cast("bigint"))
-        try:
-            done = spark.read.parquet(f"{path}/index").where(F.col("block") == number).limit(1).count()
-        except Exception as missing:  # the first batch finds no store
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-            done = 0
-        if not done and not marked.isEmpty():
-            store.append(marked, path)
 
-    return rows.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def append_stream(rows: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Rows (pos, t, symbol and others) as block = number of the micro-batch."""
+    return rows.writeStream.foreachBatch(lambda batch, number: commit(batch, number, path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

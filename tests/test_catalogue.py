@@ -6,7 +6,7 @@ import pytest
 from tessera.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("events", "lineitem", "orders")
+TABLES = catalogue.TABLES
 
 
 @pytest.fixture(scope="module")
