@@ -152,6 +152,11 @@ class Chunks:
         return judged.where("n > 0").withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).drop("n")
 
 
+def in_order(table: pa.Table) -> pa.Table:
+    """The rows of a chunk in one order, however they came: passes number what they find."""
+    return table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+
+
 def texts_of(table: pa.Table) -> list[bytes]:
     return [(t.as_py() or "").encode() for t in table["text"]]
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 
 from ..session import ship
 from .common import Scratch
-from .repeats import MESSAGE, Chunks, Key, Prefix, answered, bucket_bits, exchange, frugal, member, messages, mix, short_key, texts_of, with_answers
+from .repeats import MESSAGE, Chunks, Key, Prefix, answered, bucket_bits, exchange, frugal, in_order, member, messages, mix, short_key, texts_of, with_answers
 
 LENGTH, GRAM, HOT, PIECE = 200, 32, 4096, 1_000_000
 SENT = "bucket int, chunk long, ids binary, left binary, right binary, twice binary, body binary"
@@ -294,7 +294,7 @@ def digest(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = H
             base += len(spans.keys)
 
     def bodies(table: pa.Table, answers: pa.Table) -> pa.Table:
-        out = [_sent(0, bits, Spans([], length, gram), 0, np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        table, out = in_order(table), [_sent(0, bits, Spans([], length, gram), 0, np.zeros(0, np.int64), np.zeros(0, np.int64))]
         for base, _, spans, which, _ in known(table, answers) if table.num_rows and answers.num_rows else ():
             lead, count = np.unique(spans.classes(which), return_counts=True)
             out.append(_sent(table["chunk"][0].as_py(), bits, spans, base, lead, count))
@@ -318,7 +318,7 @@ def digest(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = H
         gone: list[np.ndarray | None] = [None] * len(texts)
         mine = [(i.as_py(), b.as_py()) for i, b, k in zip(answers["ids"], answers["bits"], answers["kind"], strict=True) if k.as_py() == 1]
         ids = np.frombuffer(b"".join([i for i, _ in mine]), "<u8").astype(np.int64)
-        marks = np.frombuffer(b"".join([b for _, b in mine]), np.uint8).reshape(len(ids), -1)
+        marks = np.frombuffer(b"".join([b for _, b in mine]), np.uint8).reshape(len(ids), -(-depth // 8))
         by = np.argsort(ids)
         ids, marks = ids[by], marks[by]
         k, m = answered(answers, 2, 12)
@@ -349,6 +349,7 @@ def digest(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = H
         return gone
 
     def judge(table: pa.Table, answers: pa.Table) -> pa.Table:
+        table = in_order(table)
         texts = texts_of(table)
         removed, runs, sha = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64), []
         gone = cover(table, answers, texts) if answers.num_rows else [None] * len(texts)
