@@ -21,7 +21,8 @@ fingerprints differ by about 10 of 64 bits, which no 4-bit link reaches, so its
 equal sets are one node. Buckets with the same members are solved once; a bucket's task holds its members' sets.
 
 Defined cases: null text has no words; rows without doc_id keep their fingerprint and take the component of their fingerprint, but name none (null
-if no other row is reachable); repeated rows are one node; an empty table gives an empty result; other columns are ignored.
+if no other row is reachable); repeated rows are one node; texts of any length are hashed whole (one text's words are in memory); an empty table gives an empty result; other
+columns, of any name, are ignored by near_duplicates() and kept by keep_one().
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from ..session import ship
 from .common import Scratch, spread, trim, worker_state
@@ -248,6 +250,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4) -> DataFra
     rooted = nodes.join(stars, nodes["fp"] == stars["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = scratch.table(rooted.join(named, "root").select("fp", "component_id"), "classes")
+    scratch.drop("nodes", "links")
     return fps.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -363,11 +366,22 @@ def near_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """The document with the smallest doc_id of each component of near copies, all columns kept. Rows without doc_id stay; of rows that
-    repeat a doc_id in full one stays."""
-    found = near_copies(docs.select("doc_id", "text"), shingle)
-    first = found.groupBy("component").agg(F.min("doc_id").alias("first_id"))
-    gone = found.join(first, "component").where(F.col("doc_id") != F.col("first_id")).select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    own = Window.partitionBy("doc_id", *[c for c in docs.columns if c != "doc_id"]).orderBy("doc_id")
-    return kept.withColumn("_copy", F.row_number().over(own)).where((F.col("_copy") == 1) | F.col("doc_id").isNull()).drop("_copy")
+    """One row of each component of near copies, all columns kept: the one with the smallest doc_id (rows without doc_id last, then by the hash of
+    the text). Decisions are made for rows, so that another text under the same doc_id stays; of rows that repeat in doc_id and text one stays."""
+    scratch = Scratch(docs.sparkSession, "keep_one")
+    found = near_copies(docs.select("doc_id", "text"), shingle).groupBy("component", "doc_id", "own").agg(F.count(F.lit(1)).alias("n"))
+    found = scratch.table(found.select("component", F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "own").alias("row"), "n"), "rows")
+    first = found.groupBy("component").agg(F.min("row").alias("first"))
+    gone = found.join(first, "component").where(~F.col("row").eqNullSafe(F.col("first"))).select(F.col("row.doc_id").alias("id"), F.col("row.own").alias("own"))
+    every = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("all"), F.col("doc_id").cast("long").alias("id"), F.md5(F.col("text").cast("string")).alias("own"))
+
+    def same(side: DataFrame):
+        return every["id"].eqNullSafe(side["id"]) & every["own"].eqNullSafe(side["own"])
+
+    kept = every.join(gone, same(gone), "left_anti")
+    again = found.where("n > 1").select(F.col("row.doc_id").alias("id"), F.col("row.own").alias("own"))
+    if not again.isEmpty():
+        hashed = [F.col(f"all.`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, MapType)]
+        one = every.join(gone, same(gone), "left_anti").join(again, same(again), "left_semi").groupBy("id", "own").agg(F.min_by("all", F.xxhash64(*hashed)).alias("all"))
+        kept = kept.join(again, same(again), "left_anti").select("all").unionByName(one.select("all"))
+    return kept.select("all.*")
