@@ -4,7 +4,6 @@ executor can reach, tables written there to cut lineage, and small helpers."""
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -13,23 +12,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch_dir
+
 #: A word is a run of characters that are not ASCII white space; bytes.split() cuts the same words.
 WORD = r"[^\x20\x09-\x0D]+"
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where that is unset (local tests) a temporary one, kept in the session."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not path:
-        path = spark.conf.get("tessera.llm.scratch", None)
-        if not path:
-            path = "file://" + tempfile.mkdtemp(prefix="tessera-")
-            spark.conf.set("tessera.llm.scratch", path)
-    return path.rstrip("/")
-
-
 @contextmanager
 def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
     """Shuffle files of the queries that run inside go when each query ends: what it wrote is in the shared folder by then."""
@@ -71,12 +61,22 @@ def trim(every: int = 1) -> None:
             pass
 
 
+_made: list[str] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 class Scratch:
     """Tables in the shared folder. table() writes a frame and reads it back, so that nothing later
-    recomputes it or depends on an executor; drop() deletes one that no plan needs any longer."""
+    recomputes it or depends on an executor; drop() deletes those that no plan needs any longer. What an operator's result still reads
+    stays until release()."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.base = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.spark, self.base = spark, f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        _made.append(self.base)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.base}/{name}"
@@ -86,8 +86,18 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         for name in names:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(self.spark, f"{self.base}/{name}")
+
+
+def made() -> int:
+    """A mark for release(): how many scratch folders there are."""
+    return len(_made)
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Deletes the scratch folders made after a mark. To be called when the results of the operators have been read or written."""
+    while len(_made) > since:
+        _delete(spark, _made.pop())
 
 
 def spread(df: DataFrame) -> DataFrame:
