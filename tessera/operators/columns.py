@@ -29,12 +29,14 @@ def blocks(df: DataFrame, rows: int) -> DataFrame:
     return df.withColumn("block", F.expr(f"pos div {rows}"))
 
 
+def facts_of(time: str, symbol: str) -> list[Column]:
+    """Aggregates of a zone map: rows, min_time, max_time, symbols (sorted, distinct)."""
+    return [F.count(F.lit(1)).alias("rows"), F.min(time).alias("min_time"), F.max(time).alias("max_time"), F.sort_array(F.collect_set(symbol)).alias("symbols")]
+
+
 def zone_map(df: DataFrame, time: str = "t", symbol: str = "symbol") -> DataFrame:
-    """block, rows, min_time, max_time, symbols (sorted, distinct): all by partial aggregation."""
-    return df.groupBy("block").agg(
-        F.count(F.lit(1)).alias("rows"), F.min(time).alias("min_time"), F.max(time).alias("max_time"),
-        F.sort_array(F.collect_set(symbol)).alias("symbols"),
-    )
+    """block, rows, min_time, max_time, symbols: all by partial aggregation."""
+    return df.groupBy("block").agg(*facts_of(time, symbol))
 
 
 def column_params(df: DataFrame, column: str) -> DataFrame:

