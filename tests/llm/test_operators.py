@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, htmltext, kdtree, langid, mixing, quality, queries, repeats, simhash, substring, suffix, urlfilter
+from tessera.llm import bpe, common, htmltext, kdtree, langid, layouts, mixing, quality, queries, repeats, simhash, substring, suffix, urlfilter
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kind string, chunk long, key string, score double"
@@ -94,28 +94,58 @@ def test_language(spark, docs):
     got = langid.identify(held, langid.learn(held)).join(held.select("doc_id", "lang"), "doc_id").where("held_out")
     right, n = got.agg(F.count_if(F.col("lang") == F.col("lang_pred")), F.count(F.lit(1))).first()
     assert right / n > 0.97
-    small = {r["doc_id"]: r for r in rows(langid.identify(docs, {"en": " one two three ", "fr": " un deux trois "}))}
+    small = {r["doc_id"]: r for r in rows(langid.identify(docs, {"en": b" one two three ", "fr": b" un deux trois "}))}
     assert [small[i]["lang_pred"] for i in (0, 1, 2, 3)] == ["und", "und", "und", "en"] and small[17]["lang_pred"] == "und"
     assert all(0 <= r["score"] <= 1 for r in small.values()) and len(small) == docs.count()
     assert {r["lang_pred"] for r in rows(langid.identify(docs, langid.learn(empty(spark))))} == {"und"}
     nameless = held.withColumn("doc_id", F.lit(None).cast("long"))
     assert langid.learn(nameless, docs_per_language=100).keys() == langid.learn(held).keys()  # rows without doc_id are drawn one by one
-    kept = langid.keep_identified(docs, {"en": " one two "})
+    kept = langid.keep_identified(docs, {"en": b" one two "})
     assert kept.columns == docs.columns and kept.where("text = 'one'").count() == 1 and kept.where("text IS NULL").count() == 0
 
 
+def cut(text, taught):
+    """Longest-match pieces, by search."""
+    count = at = 0
+    while at < len(text):
+        size = 1
+        while at + size < len(text) and text[at : at + size + 1] in taught:
+            size += 1
+        at, count = at + size, count + 1
+    return count
+
+
 def test_pieces_are_longest_matches():
     rng = random.Random(4)
-    for _ in range(200):
-        taught, text = ("".join(rng.choice("abc") for _ in range(n)) for n in (rng.randint(1, 40), 30))
-        text += "d" * rng.randint(0, 2)
-        count, at = 0, 0
-        while at < len(text):
-            size = 1
-            while at + size < len(text) and text[at : at + size + 1] in taught:
-                size += 1
-            at, count = at + size, count + 1
-        assert langid.SuffixAutomaton(taught).pieces(text) == count
+    for _ in range(100):
+        samples = {n: bytes(rng.choice(b"abc ") for _ in range(rng.randint(1, 40))) for n in "xyz"}
+        texts = [bytes(rng.choice(b"abcd ") for _ in range(rng.choice((0, 1, 5, 40)))) for _ in range(rng.choice((1, 30)))]
+        model = langid.LanguageModel(samples)
+        got = model.pieces([t.translate(model.code) for t in texts])
+        for k, name in enumerate(model.names):
+            assert got[k].tolist() == [cut(t, samples[name]) for t in texts]
+            assert all(langid.SuffixAutomaton(samples[name]).pieces(t) == cut(t, samples[name]) for t in texts)
+
+
+def test_language_cost_and_score():
+    """The fewest pieces, times the bits that name one, win; the score is the distance to the second."""
+    rng = random.Random(6)
+    samples = {n: langid.normalised(" ".join("".join(rng.choice(letters) for _ in range(4)) for _ in range(60))) for n, letters in (("a", "abcd"), ("b", "bcde"), ("c", "çéab"))}
+    texts = [" ".join("".join(rng.choice("abcdeçéx") for _ in range(rng.randint(1, 7))) for _ in range(rng.randint(1, 40))) + rng.choice(("", "!", " 12 ")) for _ in range(60)]
+    names, scores = langid.LanguageModel(samples).predict(texts + [None, "", "12 !"])
+    assert names[60:] == ["und"] * 3 and scores[60:] == [0.0] * 3
+    for text, name, score in zip(texts, names, scores, strict=False):
+        plain = (" " + " ".join(re.findall(r"[^\W\d_]+", text.lower())) + " ").encode()
+        cost = sorted((cut(plain, s) * np.log2(len(s) + 2), n) for n, s in samples.items())
+        assert name == cost[0][1] and abs(score - (1 - cost[0][0] / cost[1][0])) < 1e-12
+
+
+def test_language_sample_is_whole_texts(spark):
+    docs = spark.createDataFrame([(i, f"text{'abc'[i % 3]} " * (3 if i else 9000), "en" if i < 8 else "xx") for i in range(9)], "doc_id long, text string, lang string").where("doc_id % 1000 <> 999")
+    learned = langid.learn(docs.where(~langid.held_out(F.col("doc_id"))), sample_bytes=400)
+    assert all(len(v) <= 200 for v in learned.values())  # the long text is left out as a whole
+    alone = langid.learn(docs.where("doc_id = 0"), sample_bytes=400)
+    assert all(v == langid.normalised("texta " * 9000) for v in alone.values())
 
 
 URLS = [
@@ -165,19 +195,24 @@ def test_top_k(spark):
     rng = np.random.default_rng(3)
     vectors = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(400)]
     vectors += [(500, None), (501, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (502, [float("nan")] * 6), (503, [float("inf")] * 6), (600, [1.0, 2.0]), (700, []), (800, []), (None, [0.5] * 6), (900, [1e15] * 6)]
-    vectors += [vectors[5], (401, vectors[7][1])]
+    vectors += [vectors[5], vectors[100]]
     df = spark.createDataFrame([(i, v, 1, 2) for i, v in vectors], "vec_id long, embedding array<double>, shard int, score int")
     good = {}
     for i, v in vectors:
         if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
             good[i] = [int(np.floor(1024.0 * x)) for x in v]
     want = set()
+    good.pop(401, None)
+    twice = {5: 2}
     for q in [i for i in good if i % 100 == 0]:
         score = {c: max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(good[q], good[c], strict=True)))) for c in good if c != q and len(good[c]) == len(good[q])}
-        want |= {(q, k + 1, c, score[c]) for k, c in enumerate(sorted(score, key=lambda c: (-score[c], c))[:10])}
+        ranked = [c for c in sorted(score, key=lambda c: (-score[c], c)) for _ in range(twice.get(c, 1))]
+        want |= {(q, k + 1, c, score[c]) for k, c in enumerate(ranked[:10])}
     for shard in (64, 1000):
         assert {tuple(r) for r in kdtree.top_k(df, shard_rows=shard, query_block=3).collect()} == want
     assert kdtree.top_k(df.limit(0)).count() == 0
+    few = spark.createDataFrame([(1, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [3.0, 1.0]), (100, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in kdtree.top_k(few).orderBy("rank").collect()] == [(100, 1, 2, 4194304), (100, 2, 1, 3145728), (100, 3, 1, 3145728)]
 
 
 def windows_gone(units, size):
@@ -219,6 +254,120 @@ def test_suffix(spark, docs, texts, length, gram):
     assert suffix.digest(empty(spark)).count() == 0
 
 
+def lattice(size, low, high):
+    """Two strings that agree under polynomial hashes modulo 2**64 with any odd base: their difference is a product of (x**(2**i) - 1)."""
+    sign = np.array([1], np.int64)
+    while len(sign) < size:
+        sign = np.concatenate((-sign, sign))
+    return ["".join(low if (s < 0) == flip else high for s in sign[:size]) for flip in (True, False)]
+
+
+def test_colliding_texts(spark):
+    """Texts whose hashes modulo 2**64 agree are still told apart."""
+    a, b = lattice(4096, "a", "b")
+    both = [np.frombuffer(x.encode(), np.uint8).astype(np.uint64) for x in (a, b)]
+    assert a != b and (repeats.Prefix(both[0]).rolling(4096) == repeats.Prefix(both[1]).rolling(4096)).all()
+    texts = ["x" * 10 + a[:1024] + "y" * 190, "z" * 10 + b[:1024] + "y" * 190, f"{a} tail one", f"{b} tail two", "q" + a[:1024] + "r", "s" + b[:1024] + "t"]
+    docs = docs_of(spark, texts)
+    for got, gone in ((rows(suffix.digest(docs)), windows_gone([t.encode() for t in texts], 200)),):
+        assert {r["doc_id"]: r["n_removed"] for r in got} == {i: int(g.sum()) for i, g in enumerate(gone)}
+    words = [[f"w{i}" for i in range(17)] + [x] + [f"v{i}" for i in range(17)] for x in (a, b)]
+    assert [r["n_removed"] for r in rows(substring.digest(docs_of(spark, [" ".join(w) for w in words])))] == [0, 0]
+    key = repeats.Key()
+    one, two = ([(h := substring.Words(list(substring.pieces([" ".join(w).encode()], 35))[0], key)).windows(np.array([0]), 35)] for w in words)
+    assert one[0][0] != two[0][0]
+
+
+def test_sort_is_verified_and_decides():
+    """A sort that hash collisions mislead is noticed on the bytes; without the right order the repeats are wrong."""
+    rng = random.Random(9)
+    data = np.frombuffer(bytes(rng.choice(b"ab") for _ in range(3000)), np.uint8)
+    start = np.arange(0, 2900, 3)
+    size = np.minimum(60, len(data) - start)
+    order, common = suffix.sorted_suffixes(data, start, size, 60)
+    strings = [data[s : s + z].tobytes() for s, z in zip(start, size, strict=True)]
+    assert [strings[i] for i in order] == sorted(strings)
+    assert all(c == len(__import__("os").path.commonprefix([strings[i], strings[j]])) for c, i, j in zip(common[1:], order[1:], order, strict=False))
+    _, right = suffix.neighbours(data, start, size, np.arange(len(start)), 60)
+    assert not right
+    a, b = (np.frombuffer(x.encode(), np.uint8) for x in lattice(4096, "a", "b"))
+    both = np.concatenate((a, a[:10], b))  # the hashes of a and b agree
+    order, common = suffix.sorted_suffixes(both, np.array([0, 4106]), np.array([4096, 4096]), 4096)
+    assert common[1] == 0 and both[np.array([0, 4106])[order]].tolist() == [97, 98]
+
+
+def strings_of(span, length):
+    left, right, body, _ = span
+    return {d: body[left - d : left - d + length] for d in range(max(0, length - right), left + 1)}
+
+
+def test_repeated_spans():
+    """The two sorted sides of a bucket give the strings that occur twice, by brute force over all strings."""
+    rng = random.Random(1)
+    for _ in range(150):
+        (length, gram), letters = rng.choice(((12, 4), (20, 5), (8, 8))), rng.choice((b"ab", b"abc\xff"))
+        grams, spans = [bytes(rng.choice(letters) for _ in range(gram)) for _ in range(2)], {}
+        for _ in range(rng.randint(1, 12)):
+            left = rng.randint(0, length - gram)
+            right = rng.randint(max(gram, length - left), length)
+            body = bytes(rng.choice(letters) for _ in range(left)) + rng.choice(grams) + bytes(rng.choice(letters) for _ in range(right - gram))
+            spans[left, body] = (left, right, body, rng.choice((1, 1, 1, 2)))
+        spans = list(spans.values())
+        got = suffix.repeated(np.frombuffer(b"".join(x[2] for x in spans), np.uint8), *(np.array([x[i] for x in spans]) for i in (0, 1, 3)), length, gram)
+        seen = Counter()
+        for x in spans:
+            for place in strings_of(x, length).items():
+                seen[place] += x[3]
+        for row, x in zip(got, spans, strict=True):
+            assert set(np.flatnonzero(row).tolist()) == {d for d, t in strings_of(x, length).items() if seen[d, t] > 1}
+
+
+def test_hot_grams_and_collapsed_rows(spark, docs, texts):
+    """Grams above the limit go another way to the same result; rows that repeat more often than COPIES are collapsed and come back."""
+    want = sorted(map(str, rows(suffix.digest(docs, 12, 4))))
+    assert sorted(map(str, rows(suffix.digest(docs, 12, 4, hot=2)))) == want == sorted(map(str, rows(suffix.digest(docs, 12, 4, hot=5))))
+    words = " ".join(f"u{i}" for i in range(40))
+    one = spark.createDataFrame([(None, words, "en", "s", 7, "k", 1, "x", 0.5), (3, "short text here", "en", "s", 7, "k", 1, "x", 0.5)], DOCS)
+    many = one.crossJoin(spark.range(repeats.COPIES + 5).select(F.col("id").alias("_i"))).drop("_i").unionByName(docs_of(spark, [f"a {words} b", "alone"]))
+    got = Counter((r["doc_id"], r["n_words"], r["n_removed"]) for r in rows(substring.digest(many)))
+    assert got == {(None, 40, 40): repeats.COPIES + 5, (3, 3, 0): repeats.COPIES + 5, (0, 42, 40): 1, (1, 1, 0): 1}
+    kept = Counter((r["doc_id"], r["text"], r["n_chars"]) for r in rows(substring.remove_repeats(many)))
+    assert kept == {(None, "", 0): repeats.COPIES + 5, (3, "short text here", 15): repeats.COPIES + 5, (0, "a b", 3): 1, (1, "alone", 5): 1}
+    got = Counter((r["doc_id"], r["n_bytes"] - r["n_removed"]) for r in rows(suffix.digest(many, 40, 8)))
+    assert got == {(None, 0): repeats.COPIES + 5, (3, 15): repeats.COPIES + 5, (0, 4): 1, (1, 5): 1}
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    """Pieces hold each window, and each string of bytes, once."""
+    rng = random.Random(5)
+    texts = [b" ".join(rng.choice((b"a", b"bb", b"ccc", b"d" * 60)) for _ in range(n)) for n in (0, 1, 3, 200, 40)] + [b" " * 300 + b"x" * 500 + b" y"]
+    monkeypatch.setattr(substring, "PIECE", 50)
+    monkeypatch.setattr(suffix, "PIECE", 64)
+    seen, whole = Counter(), Counter()
+    for doc, t in enumerate(texts):
+        w = t.split()
+        whole.update((doc, i, tuple(w[i : i + 5])) for i in range(len(w) - 4))
+    for of in substring.pieces(texts, 5):
+        words = substring.Words(of, repeats.Key())
+        flat = [x for p in of for x in p.words]
+        seen.update((of[words.piece[i]].doc, int(words.place[i]), tuple(flat[i : i + 5])) for i in np.flatnonzero(words.whole(5)))
+    assert seen == whole
+    none = __import__("pyarrow").table({"keys": __import__("pyarrow").array([], "binary"), "kind": __import__("pyarrow").array([], "int32")})
+    back = {i: [] for i in range(len(texts))}
+    for doc, own, keep in substring.kept_words(texts, none, 5, 8, repeats.Key()):
+        back[doc] += own
+        assert keep.all()
+    assert [back[i] for i in range(len(texts))] == [t.split() for t in texts]
+    found = Counter()
+    for of in suffix.pieces(texts, 12):
+        spans = suffix.Spans(of, 12, 4)
+        for f, last in zip(spans.first.tolist(), spans.last.tolist(), strict=True):
+            for i in range(f, last + 1):
+                p = int(np.searchsorted(spans.ends, i, side="right"))
+                found[of[p].doc, of[p].first + i - int(spans.starts[p])] += 1
+    assert found == Counter((d, i) for d, t in enumerate(texts) for i in range(len(t) - 11))
+
+
 def test_suffix_sort():
     rng = random.Random(3)
     for _ in range(150):
@@ -276,6 +425,40 @@ words of a paragraph<br>after break.<div class="ad">Buy!</div><p>Second &lt;one&
 <section id="comments"><p>Nice post, thanks a lot for it</p></section><aside>More</aside><footer>(c) me</footer><script>var a="<p>no</p>";</script></body></html>"""
 
 
+def made_of(page):
+    """Markup, words of the main text and words of all text of a labelled page."""
+    words = lambda parts: " ".join(htmltext.html.unescape(re.sub(r"<[^>]*>", " ", re.sub(r"<(script|style|title)\b.*?</\1>", " ", m))) for m in parts).split()
+    return "".join(m for m, _ in page), words(m for m, main in page if main), words(m for m, _ in page)
+
+
+def test_html_on_labelled_pages():
+    """Held-out labelled pages: main text found, other text left out; with the scan switched off the text is worse."""
+    right = Counter()
+    for page in layouts.labelled_pages(100, seed=5):
+        markup, want, every = made_of(page)
+        want, every = Counter(want), Counter(every)
+        for name, scan in (("scan", htmltext.region), ("off", lambda s: (0, len(s)))):
+            got = Counter(re.sub(r"([a-z])\b([.?!])", r"\1\2", htmltext.extract(markup, scan=scan)).split())
+            right[name, "stray"] += sum(((got & every) - want).values())
+        right["lost"] += sum((want - Counter(htmltext.extract(markup).split())).values())
+        right["main"] += sum(want.values())
+    assert right["lost"] < 0.05 * right["main"] and right["scan", "stray"] < 0.05 * right["main"]
+    assert right["scan", "stray"] < 0.9 * right["off", "stray"]
+    stray = "<html><body><p>Read on.</p><article><h1>A title</h1><p>The text is here, and it is longer than that.</p></article><p>Another short line of it.</p></body></html>"
+    assert htmltext.extract(stray) == "A title\n\nThe text is here, and it is longer than that." != htmltext.extract(stray, scan=lambda s: (0, len(s)))
+
+
+@pytest.mark.parametrize("wrapper", ["article", "div", "main"])
+def test_html_by_place_not_by_name(wrapper):
+    text = "word " * 59 + "word."
+    parted = htmltext.extract(f"<html><body><{wrapper}><p>{text}</p><aside><p>{'side ' * 400}</p></aside><p>{text}</p></{wrapper}></body></html>")
+    assert len(parted.split()) == 120
+    unmarked = f"<html><body><div><a>Home</a> <a>About</a> <a>Contact</a></div><{wrapper}><h1>A title</h1><p>{text}</p></{wrapper}><div>Copyright 2024 Example Ltd. All rights reserved.</div></body></html>"
+    assert htmltext.extract(unmarked) == f"A title\n\n{text}"
+    for name in ("section-header", "side-by-side", "related-work", "menu-items", "rail-transport"):
+        assert "Some words" in htmltext.extract(f"<nav><a>Home</a></nav><{wrapper}><h1>The title</h1><div class='{name}'><p>Some words of this part here.</p></div><p>{text}</p></{wrapper}>")
+
+
 def test_html(spark):
     want = "Head é\n\nFirst bold words of a paragraph after break.\n\nSecond <one> linked here.\n\nPoint"
     assert htmltext.extract(PAGE) == want
@@ -339,6 +522,36 @@ def test_simhash(spark, docs, texts):
     assert kept.columns == both.columns and kept.where("doc_id = 1043").count() == 0 and kept.where("doc_id IS NULL").count() == 1
 
 
+def test_keep_one_by_row(spark):
+    """Decisions are for rows: another text under a removed doc_id stays, copies without doc_id go, of full repeats one stays; columns of any name stay."""
+    long = " ".join(f"w{i}" for i in range(60))
+    made = [(1, long), (2, long), (2, "quite another text that has nothing to do with it"), (None, long), (None, "no id, alone"), (None, "no id, alone"), (5, "five"), (5, "five"), (6, None), (7, "")]
+    df = spark.createDataFrame([(i, t, 9, "n") for i, t in made], "doc_id long, text string, _copy int, node string")
+    got = simhash.keep_one(df)
+    assert got.columns == df.columns
+    want = {(1, long), (2, made[2][1]), (None, "no id, alone"), (5, "five"), (6, None)}
+    assert Counter((r["doc_id"], r["text"]) for r in rows(got)) == Counter(want)
+    assert simhash.keep_one(df.limit(0)).count() == 0
+
+
+def test_scratch_is_refused_where_nothing_is_shared(spark):
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Elsewhere:
+        conf = Conf()
+        sparkContext = type("Context", (), {"master": "spark://host:7077", "getConf": lambda self: Conf()})()
+
+    with pytest.raises(RuntimeError):
+        common.Scratch(Elsewhere(), "x")
+    mark = common.made()
+    table = common.Scratch(spark, "x").table(spark.range(3), "t")
+    assert table.count() == 3 and common.made() == mark + 1
+    common.release(spark, mark)
+    assert common.made() == mark
+
+
 def test_links_far_apart_are_not_lost():
     """A forest has the components of all links, also in a chain where each fingerprint is near its neighbours only."""
     fps = np.array([(1 << (4 * k)) - 1 for k in range(17)], np.uint64)
