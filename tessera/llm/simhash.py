@@ -8,6 +8,10 @@ Golay code: its keys are the nearest codeword and, at distance 3, the five codew
 always share a key (checked over all cosets in the tests). Two fingerprints at distance 5 or less have two segments at distance 2
 or less each (three segments with two of them at 3 or more would need 6), so a key is a pair of segments' keys: 2**24 values a pair.
 
+Where there are ``WIDE`` distinct fingerprints or more, 24 bits would bring too many together under one key. The same links, up to 4 bits, are then found by longer keys:
+all three segments' keys at once (2**36 values), which pairs with 2 or less in each segment share, and for those with 3 or 4 in one segment, hence 1 at most in the two
+others together, one of these exactly with the other's keys (2**34 values). A key's task does not grow with the square of the table.
+
 Verification. Equal fingerprints are one node. Distinct ones are dealt by key; within a key distances are
 counted, but only a spanning forest of the links leaves the task: a breadth-first walk that removes what it reaches, so that a
 ball of near copies costs a few passes over it and no pair list. Memory: 8 bytes for each distinct fingerprint under one key.
@@ -46,6 +50,7 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))  # offset and width in bits
 GENERATOR = 0b101011100011
 #: Bands of min-hashes and min-hashes in a band.
 BANDS, BAND_ROWS = 27, 4
+WIDE = 1 << 26
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -125,17 +130,41 @@ def golay() -> Golay:
     return _golay[0]
 
 
+def _segments(fps: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each segment: the bits, the keys (six each) and which of these are real."""
+    bits, out = fps.view(np.uint64), []
+    for o, w in SEGMENTS:
+        part = (bits >> np.uint64(o) & np.uint64((1 << w) - 1)).astype(np.int64)
+        keys, n = golay().keys(part)
+        out.append((part, keys, np.arange(6) < n[:, None]))
+    return out
+
+
 def fuzzy_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(key, index of the fingerprint) for every key of every fingerprint."""
-    bits = fps.view(np.uint64)
-    by_segment = [golay().keys((bits >> np.uint64(o) & np.uint64((1 << w) - 1)).astype(np.int64)) for o, w in SEGMENTS]
-    keys, owners = [], []
+    by_segment, keys, owners = _segments(fps), [], []
     for pair, (i, j) in enumerate(combinations(range(len(SEGMENTS)), 2)):
-        (a, na), (b, nb) = by_segment[i], by_segment[j]
+        (_, a, na), (_, b, nb) = by_segment[i], by_segment[j]
         both = (pair << 24 | a[:, :, None] << 12 | b[:, None, :]).reshape(len(fps), 36)
-        real = ((np.arange(6) < na[:, None])[:, :, None] & (np.arange(6) < nb[:, None])[:, None, :]).reshape(len(fps), 36)
+        real = (na[:, :, None] & nb[:, None, :]).reshape(len(fps), 36)
         keys.append(both[real])
         owners.append(np.repeat(np.arange(len(fps)), real.sum(1)))
+    return np.concatenate(keys).astype(np.int32), np.concatenate(owners)
+
+
+def wide_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same with longer keys, for links of 4 bits at most."""
+    by_segment, keys, owners = _segments(fps), [], []
+
+    def add(made: np.ndarray, real: np.ndarray) -> None:
+        keys.append(made[real])
+        owners.append(np.repeat(np.arange(len(fps)), real.reshape(len(fps), -1).sum(1)))
+
+    (_, a, na), (_, b, nb), (_, c, nc) = by_segment
+    add(a[:, :, None, None] << 24 | b[:, None, :, None] << 12 | c[:, None, None, :], na[:, :, None, None] & nb[:, None, :, None] & nc[:, None, None, :])
+    for kind, (i, j) in enumerate(((i, j) for i in range(3) for j in range(3) if i != j), 1):
+        exact, other, real = by_segment[i][0], by_segment[j][1], by_segment[j][2]
+        add(kind << 36 | exact[:, None] << 12 | other, real)
     return np.concatenate(keys), np.concatenate(owners)
 
 
@@ -155,19 +184,20 @@ def _forest(fps: np.ndarray, bits: int) -> tuple[list[np.ndarray], list[np.ndarr
     return left, right
 
 
-def links(distinct: DataFrame, bits: int, partitions: int) -> DataFrame:
+def links(distinct: DataFrame, bits: int, partitions: int, wide: bool = False) -> DataFrame:
     """Forest links (a, b) among distinct fingerprints (column fp)."""
     ship(distinct.sparkSession)
-    if not 0 <= bits <= 5:
-        raise ValueError("the keys find fingerprints at 5 or fewer differing bits")
+    if not 0 <= bits <= 5 - wide:
+        raise ValueError("the keys find fingerprints at 5 (wide keys: 4) or fewer differing bits")
+    of, kind = (wide_keys, np.int64) if wide else (fuzzy_keys, np.int32)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column(0).to_numpy(zero_copy_only=False)
             for at in range(0, len(fps), 2048):
                 part = np.ascontiguousarray(fps[at : at + 2048])
-                keys, owners = fuzzy_keys(part)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(part[owners])], ["key", "fp"])
+                keys, owners = of(part)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part[owners])], ["key", "fp"])
         trim()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +217,7 @@ def links(distinct: DataFrame, bits: int, partitions: int) -> DataFrame:
             a, b = np.concatenate(left).view(np.int64), np.concatenate(right).view(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
-        keys, fps = np.zeros(0, np.int32), np.zeros(0, np.uint64)
+        keys, fps = np.zeros(0, kind), np.zeros(0, np.uint64)
         waiting: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             if not batch.num_rows:
@@ -204,7 +234,7 @@ def links(distinct: DataFrame, bits: int, partitions: int) -> DataFrame:
         if waiting:
             yield solve(*(np.concatenate([w[i] for w in waiting]) for i in (0, 1)))
 
-    dealt = distinct.select("fp").mapInArrow(deal, "key int, fp long")
+    dealt = distinct.select("fp").mapInArrow(deal, f"key {'long' if wide else 'int'}, fp long")
     met = dealt.repartition(partitions, "key").sortWithinPartitions("key", "fp").mapInArrow(meet, "a long, b long")
     return met.distinct()
 
@@ -238,14 +268,15 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "stars") -> DataF
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable through links) of every row."""
+def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4, wide: bool | None = None) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable through links) of every row. ``wide``: longer keys (None: from WIDE fingerprints on)."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "simhash")
     fps = scratch.table(fingerprints(docs, shingle), "fingerprints")
     nodes = scratch.table(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), nodes.rdd.getNumPartitions())
-    edges = scratch.table(links(nodes, bits, partitions), "links")
+    wide = bits <= 4 and nodes.count() >= WIDE if wide is None else wide
+    edges = scratch.table(links(nodes, bits, partitions, wide), "links")
     stars = components(edges, scratch)
     rooted = nodes.join(stars, nodes["fp"] == stars["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
