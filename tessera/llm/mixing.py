@@ -17,8 +17,9 @@
    are cut. Counts before any word position are in closed form, so no block becomes a row.
 
 Defined cases: null text has 0 words and takes 0; a null source is one source, last in order; a source without
-words has target 0; repeated rows are separate documents; an empty table gives an empty result; other columns
-are ignored. Ties in quotients go to the earlier source or shard.
+words has target 0; repeated rows are separate documents; rows without doc_id are dealt by their text; texts of any length are counted whole; an empty table gives an empty
+result; other columns, of any name, are ignored by mix() and kept by apply_mix(). Ties in quotients go to the earlier source or shard, those in the order of a shard to the
+doc_id, the size and a hash of the text.
 """
 
 from __future__ import annotations
@@ -122,7 +123,8 @@ def _sized(docs: DataFrame, *carry: Column) -> DataFrame:
         F.col("source").cast("string").alias("source"),
         key_of("source").alias("key"),
         word_count(F.col("text").cast("string")).alias("size"),
-        seeded(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).alias("h"),
+        seeded(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.coalesce(F.md5(F.col("text").cast("string")), F.lit(""))))).alias("h"),
+        F.xxhash64(F.col("text").cast("string")).alias("tie"),
         *carry,
     )
 
@@ -153,7 +155,7 @@ def place(docs: DataFrame, share: float = 1.5, ceiling: int = 2, block: int | No
     )
     quotas = scratch.table(quotas, "quotas")
 
-    line = Window.partitionBy("key", "shard").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    line = Window.partitionBy("key", "shard").orderBy("h", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, 0)
     dealt = deal(_sized(docs, F.struct(*docs.columns).alias("row")) if carry else sized)
     placed = dealt.withColumn("end", F.sum("size").over(line)).join(quotas, ["key", "shard"])
     return placed.select(
@@ -186,7 +188,7 @@ ORACLE = r"""
 WITH sized AS (
   SELECT doc_id, source, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS key,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null')) AS h
+         md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null:' || coalesce(md5(text), ''))) AS h
   FROM documents),
 stats AS (SELECT key, any_value(source) AS source, sum(size)::BIGINT AS source_size, count(*) AS n_docs FROM sized GROUP BY key),
 ranked AS (
