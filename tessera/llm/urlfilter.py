@@ -10,7 +10,7 @@ Listed rules (host, path) win over keyword rules, the longest first (ties by nam
 fits is blocked if a keyword rule fits, else allowed.
 
 Defined cases: null URLs and URLs without ``://`` have empty host and path and are allowed; repeated rows are judged
-each; an empty table gives an empty result; other columns are ignored.
+each; URLs of any length are judged whole; an empty table gives an empty result; other columns, of any name, are ignored.
 """
 
 from __future__ import annotations
@@ -60,7 +60,16 @@ LISTED = (
     listed_rule("block", "net", "/es/"),
     listed_rule("block", "net", "/fr/"),
 )
-KEYWORDS = tuple(keyword_rule(w) for w in ("casino", "pills", "bets", "ads", "spam", "porn", "xxx", "viagra", "poker", "track", "gambling", "torrent"))
+#: Host parts that a URL is blocked for: gambling, adult, drugs without prescription, loans and fakes, advertising and tracking, malware and piracy.
+WORDS = (
+    "casino bets bet365 poker gambling roulette slots jackpot lottery sportsbook "
+    "porn xxx sex adult escort escorts camgirls hentai nude nsfw "
+    "pills viagra cialis levitra tramadol xanax pharmacy steroids "
+    "payday forex binaryoptions replica replicas fakeid cheapwatches "
+    "ads adserver adservice adclick doubleclick popads clickbait track tracker tracking telemetry pixel affiliate spam "
+    "malware phishing warez torrent torrents keygen crackz serials"
+).split()
+KEYWORDS = tuple(keyword_rule(w) for w in WORDS)
 
 
 def host_of(url: Column) -> Column:
@@ -140,7 +149,6 @@ hit AS (
   LEFT JOIN rules r ON (d.host = r.h OR ends_with(d.host, '.' || r.h)) AND starts_with(d.path, r.p)
   GROUP BY d.n, d.page_id, d.host, d.path)
 SELECT page_id, host, path, rule,
-  coalesce(action, CASE WHEN len(list_intersect(regexp_split_to_array(host, '[.:-]'),
-    ['casino', 'pills', 'bets', 'ads', 'spam', 'porn', 'xxx', 'viagra', 'poker', 'track', 'gambling', 'torrent'])) > 0 THEN 'block' ELSE 'allow' END) AS verdict
+  coalesce(action, CASE WHEN len(list_intersect(regexp_split_to_array(host, '[.:-]'), string_split('%s', ' '))) > 0 THEN 'block' ELSE 'allow' END) AS verdict
 FROM hit
-"""
+""" % " ".join(WORDS)
