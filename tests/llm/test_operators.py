@@ -74,6 +74,8 @@ def test_mix(spark, docs):
         assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 3
     assert sorted(map(str, got)) == sorted(map(str, rows(mixing.mix(docs.repartition(5)))))
     assert mixing.mix(empty(spark)).count() == 0
+    unnamed = rows(mixing.mix(docs.withColumn("doc_id", F.lit(None).cast("long"))))
+    assert len(unnamed) == len(got) and sum(r["size"] for r in unnamed) == sum(size.values())
     made = mixing.apply_mix(docs)
     assert made.columns == docs.columns
     assert sum(len((r["text"] or "").encode().split()) for r in rows(made)) == sum(r["taken"] for r in got)
@@ -171,6 +173,32 @@ def test_urls(spark):
     assert urlfilter.filter_urls(pages, (free,)).where("verdict = 'block'").count() == 3
 
 
+def test_thousands_of_rules(spark):
+    """Every rule that fits is found among thousands; each is filed under its rarest token; a rule whose token a URL lacks never runs its expression."""
+    rng = random.Random(7)
+    words = [f"{a}{b}" for a in "bcdfgh" for b in ("an", "el", "ix", "or")]
+    rules = [urlfilter.listed_rule(rng.choice(("allow", "block")), ".".join(rng.sample(words, rng.randint(1, 3))) + rng.choice((".com", ".net")), "/" + "".join(w + "/" for w in rng.sample(words, rng.randint(0, 2)))) for _ in range(3000)]
+    rules = list({r.name: r for r in rules}.values())
+    urls = [f"http://{'.'.join(rng.sample(words, rng.randint(1, 4)))}{rng.choice(('.com', '.net', '.org'))}/{'/'.join(rng.sample(words, rng.randint(0, 3)))}/" for _ in range(400)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    broken = urlfilter.UrlRule("broken", "block", "(", ("neverseen",))
+    got = {r["page_id"]: r for r in rows(urlfilter.filter_urls(pages, (*rules, broken)))}
+    hits = 0
+    for i, u in enumerate(urls):
+        host, _, path = u.removeprefix("http://").partition("/")
+        fit = [r for r in rules if (lambda h, p: (host == h or host.endswith("." + h)) and ("/" + path).startswith("/" + p))(*r.name.split("/", 1))]
+        best = max(fit, key=lambda r: (len(r.name), r.name), default=None)
+        hits += bool(fit)
+        assert (got[i]["rule"], got[i]["verdict"]) == ((best.name, best.action) if best else (None, "allow")), u
+    assert hits > 50
+    split = pages.select("page_id", urlfilter.host_of(F.col("url")).alias("host"), urlfilter.path_of(F.col("url")).alias("path"))
+    counts, seen = urlfilter.token_counts(split, tuple(rules)), Counter(t for u in urls for t in set(re.findall("[a-z0-9]+", u.removeprefix("http://"))))
+    assert all(counts[t] == seen[t] for r in rules for t in r.literals)
+    buckets, _, _ = urlfilter.rule_index(tuple(rules), counts)
+    filed = {e["name"]: e["token"] for b in spark.range(1).select(buckets.alias("b")).first()["b"] for e in b}
+    assert all(counts[filed[r.name]] == min(counts[t] for t in r.literals) for r in rules)
+
+
 def test_bpe(spark, docs, texts):
     import public_tokenizers as p
     import tiktoken
@@ -552,6 +580,20 @@ def test_scratch_is_refused_where_nothing_is_shared(spark):
     assert common.made() == mark
 
 
+def test_wide_keys_find_the_same_links(spark):
+    """Long keys are shared by all pairs at 4 or fewer bits, and give the components of the short ones."""
+    rng = random.Random(3)
+    for _ in range(300):
+        fp = rng.getrandbits(64)
+        other = fp
+        for b in rng.sample(range(64), rng.randint(0, 4)):
+            other ^= 1 << b
+        keys, owners = simhash.wide_keys(np.array([fp, other], np.uint64))
+        assert set(keys[owners == 0].tolist()) & set(keys[owners == 1].tolist())
+    near = docs_of(spark, [" ".join(rng.choice(WORDS[:9]) for _ in range(30)) for _ in range(60)] + ["".join(f"{a} " for a in WORDS) * 20 + f"end{i}" for i in range(40)])
+    assert sorted(map(str, rows(simhash.near_duplicates(near, wide=True)))) == sorted(map(str, rows(simhash.near_duplicates(near, wide=False))))
+
+
 def test_links_far_apart_are_not_lost():
     """A forest has the components of all links, also in a chain where each fingerprint is near its neighbours only."""
     fps = np.array([(1 << (4 * k)) - 1 for k in range(17)], np.uint64)
