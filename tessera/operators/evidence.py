@@ -278,3 +278,25 @@ def resumed(lines: DataFrame, schema: str) -> DataFrame:
 def sanitised(df: DataFrame, column: str, fields: list[str]) -> DataFrame:
     """A struct column without the fields that must not be published; fields that it does not have are left out."""
     return df.withColumn(column, F.col(column).dropFields(*fields))
+
+
+def append_line(path: str, record: dict) -> None:
+    """One JSON line at the end of a checkpoint file on the driver's disk, synced; a torn last line of a crash is ended first."""
+    import json
+    import os
+
+    with open(path, "ab+") as f:
+        size = f.seek(0, os.SEEK_END)
+        if size:
+            f.seek(-1, os.SEEK_END)
+            if f.read(1) != b"\n":
+                f.write(b"\n")
+        f.write(json.dumps(record, sort_keys=True).encode() + b"\n")
+        f.flush()
+        os.fsync(f.fileno())
+
+
+def sealed(files: DataFrame) -> DataFrame:
+    """One receipt of a folder: files, and the SHA-256 over their sorted names and hashes. files: path, sha256. The list of a folder's files is small, its contents need not be."""
+    lines = F.array_join(F.array_sort(F.collect_list(F.concat_ws("  ", "sha256", "path"))), "\n")
+    return files.agg(F.count(F.lit(1)).alias("files"), F.sha2(lines, 256).alias("seal"))

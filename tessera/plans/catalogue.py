@@ -20,7 +20,7 @@ from ..functions import exact
 from ..operators import columns as c
 from ..operators import evidence, timing
 from ..session import scratch_dir
-from ..sources import book, generate, parquet, store, trades
+from ..sources import book, codec, generate, parquet, store, trades
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -951,3 +951,28 @@ def interference_flags(spark, sf):
     k, m = F.col("o_orderkey"), F.col("o_custkey")
     found = evidence.flags(k % 13 == 0, m % 40, (k % 300).cast("double"), (m % 100) / 100.0, k % 200)
     return table(spark, sf, "orders").select(k.alias("id"), F.concat(F.lit("["), F.array_join(found, ", "), F.lit("]")).alias("flags"))
+
+
+@query(f"WITH {TICK} SELECT block, row_number() OVER (PARTITION BY block ORDER BY pos) - 1 AS i, t, price, user_id FROM tick")
+def packed_roundtrip(spark, sf):
+    """Three columns packed by their best predictors, compressed where smaller, and unpacked."""
+    return codec.unpack(codec.pack(tick(spark, sf), ["t", "price", "user_id"]), ["t", "price", "user_id"])
+
+
+@query(f"WITH {TICK} SELECT block, row_number() OVER (PARTITION BY block ORDER BY pos) - 1 AS i, t, ({_EXTREME})::BIGINT AS price FROM tick")
+def packed_extremes(spark, sf):
+    df = tick(spark, sf).withColumn("price", F.expr(_EXTREME.replace("-9223372036854775808", "-9223372036854775808L").replace("WHEN 2 THEN 0", "WHEN 2 THEN 0L")))
+    return codec.unpack(codec.pack(df, ["t", "price"]), ["t", "price"])
+
+
+@query(f"WITH {TICK} SELECT 'price' AS column, count(*) * 8 AS raw_bytes, true AS smaller FROM tick UNION ALL SELECT 't', count(*) * 8, true FROM tick")
+def packed_sizes(spark, sf):
+    """Raw bytes, and whether packing makes them fewer."""
+    sizes = codec.pack(tick(spark, sf), ["t", "price"]).groupBy("column").agg(F.sum("raw_bytes").alias("raw_bytes"), F.sum("bytes").alias("bytes"))
+    return sizes.select("column", "raw_bytes", (F.col("bytes") < F.col("raw_bytes")).alias("smaller"))
+
+
+@query("SELECT count(*) AS files, sha256(string_agg(sha256(props) || '  ' || event_id::VARCHAR, chr(10) ORDER BY sha256(props) || '  ' || event_id::VARCHAR)) AS seal FROM events")
+def receipt_seal(spark, sf):
+    _, actual, _ = _receipts(spark, sf)
+    return evidence.sealed(actual)

@@ -16,7 +16,7 @@ from tessera.functions import exact
 from tessera.operators import columns, evidence, timing
 from tessera.plans import catalogue
 from tessera.session import scratch_dir
-from tessera.sources import book, generate, parquet, store, trades
+from tessera.sources import book, codec, generate, parquet, store, trades
 from tessera.streaming.append import commit
 
 ROWS = "block long, pos long, t long, symbol string, price long"
@@ -303,3 +303,47 @@ def test_canonical_digest_query(spark):
             h.update(b"".join(struct.pack("<q" if kind == "i64" else "<d", r[i]) for r in rows))
     got = catalogue.QUERIES["canonical_digest"](spark, sf).first()
     assert (got["rows"], got["sha256"]) == (len(rows), h.hexdigest())
+
+
+@pytest.mark.parametrize("values", [[exact.MIN_LONG, exact.MAX_LONG, -1], [5], list(range(0, 9000, 9)), [7] * 400, [(-1) ** i * 2**40 * i for i in range(300)]])
+def test_packed_columns(values):
+    columns_ = [np.array(values, np.int64).view(np.uint64), np.array(values, np.int64).view(np.uint64) + np.uint64(3)]
+    before = []
+    for at, want in enumerate(columns_):
+        _, payload, _ = codec.pack_column(columns_, at)
+        got = codec.unpack_column(payload, before)
+        assert (got == want).all()
+        before.append(got)
+        for bad in (payload[:-5], payload + b"x", payload[:60] + bytes([payload[60] ^ 1]) + payload[61:] if len(payload) > 61 else payload[:-1]):
+            with pytest.raises(ValueError):
+                codec.unpack_column(bad, before)
+    assert codec.pack_column(columns_, 1)[0] in (0, 1, 2, 3)
+
+
+def test_segments_fixtures_and_reports(spark, tmp_path):
+    for family in ("tick", "book"):
+        df, meta = codec.fixture(spark, family)
+        longs = ["source_utc_ns", "received_utc_ns", "sequence", "price", "quantity"]
+        codec.write_segment(df, str(tmp_path / family), longs, meta)
+        got = codec.read_segment(spark, str(tmp_path / family), longs).orderBy("i").collect()
+        assert [tuple(r)[2:] for r in got] == [tuple(r) for r in df.orderBy("pos").select(*longs).collect()]
+        with pytest.raises(ValueError):
+            codec.write_segment(df, str(tmp_path / "bad"), longs, meta | {"schema_version": 2})
+    df, meta = codec.fixture(spark, "tick")
+    store.write(df.withColumn("t", F.col("available_utc_ns")), str(tmp_path / "s"))
+    r = codec.report(spark, str(tmp_path / "s"), meta)
+    assert (r["rows"], r["verified"], r["contract"]) == (3, True, "ok") and r["read_ns"] > 0
+    assert codec.report(spark, str(tmp_path / "s"), meta | {"family": "x"})["contract"] != "ok"
+    with pytest.raises(ValueError, match="eight"):
+        codec.valid_columns(df.schema, df.columns[:8])
+    assert codec.markdown(spark.createDataFrame([(1234, "a|b", None)], "n long, s string, x double")) == "| n | s | x |\n| --- | --- | --- |\n| 1,234 | a\\|b |  |"
+    assert codec.profiled(df)["run_ns"] > 0
+
+
+def test_checkpoint_lines(spark, tmp_path):
+    path = str(tmp_path / "c.jsonl")
+    evidence.append_line(path, {"round": 1, "dataset": "d"})
+    with open(path, "a") as f:
+        f.write('{"round": 2, "da')  # a crash
+    evidence.append_line(path, {"round": 3, "dataset": "d"})
+    assert [tuple(r) for r in evidence.resumed(spark.read.text(path), "round long, dataset string").orderBy("round").collect()] == [(1, "d"), (3, "d")]
