@@ -9,7 +9,7 @@ therefore cost O(log n) each, also in pre-tokens of a million bytes.
 Decoding joins the bytes of the ids. Results of pre-tokens are kept in each Python worker, up to a fixed number of bytes.
 
 Defined cases: null text is encoded as the empty text (no ids); empty text has no ids; repeated rows are encoded each;
-special tokens are never produced; an empty table gives an empty result; other columns are ignored.
+texts of any length are encoded whole; special tokens are never produced; an empty table gives an empty result; other columns, of any name, are ignored.
 """
 
 from __future__ import annotations

@@ -8,8 +8,8 @@ Training takes at most ``train_rows`` labelled rows, those with the smallest has
 share a doc_id one text (the smallest) is taken, so that the bound holds whatever is repeated.
 
 Defined cases: null text has no words, statistics 0 and fails the base rule; labels with null doc_id or quality teach nothing;
-without labels of both kinds the verdict is the base rule's alone; repeated rows are judged each; an empty table gives an empty result;
-other columns are ignored.
+without labels of both kinds the verdict is the base rule's alone; repeated rows are judged each; texts of any length are counted whole (one text's words are in memory); an empty table
+gives an empty result; other columns, of any name, are ignored.
 """
 
 from __future__ import annotations

@@ -437,6 +437,23 @@ def test_quality(spark, docs, texts):
     assert quality.train(d, labels.limit(0)) is None and quality.judge(empty(spark), model).count() == 0
 
 
+def test_quality_query_by_walking_trees(spark):
+    """The registered query's verdicts, text by text and node by node."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train(docs, labels)
+    got = {r["doc_id"]: r for r in rows(queries.QUERIES["op7_quality_rules"](spark, SF))}
+    assert len(got) == docs.count()
+    for r in rows(docs):
+        base, features = quality.statistics(r["text"])
+        score = model.start
+        for node in model.roots:
+            while model.left[node] != node:
+                node = model.left[node] if features[model.feature[node]] <= model.threshold[node] else model.right[node]
+            score += model.value[node]
+        failed = base[0] < 10 or 100 * base[4] > 20 * base[0]
+        assert (got[r["doc_id"]]["base_failed"], got[r["doc_id"]]["kept"]) == (failed, not failed and score >= 0), r["doc_id"]
+
+
 def test_trees_are_monotonic():
     rng = np.random.default_rng(1)
     x = rng.random((2000, 3))
