@@ -3,7 +3,7 @@
 A page becomes a sequence of tags and runs of words. Each word of a run scores the log-odds that text in its place is main text; each tag scores negative. One
 linear scan finds the contiguous region with the highest sum. The region is the text, less what is closed up in it, cut into blocks at block elements.
 
-All weights are learned from labelled pages (layouts.py: 240 whole pages made by a seeded generator, some 1,200,000 characters; other pages may be
+All weights are learned from labelled pages (layouts.py: 240 whole pages made by a seeded generator, some 1,100,000 characters; other pages may be
 given). The log-odds of a run come from a logistic regression over features of its place: the elements, class words, ids and roles that it lies in (apart for those
 inside an article or main element), whether it is a link, how long its block is, how much of that is links, how it ends, and for short blocks outside of such elements their words.
 There is no list of boilerplate names: a name counts as far as labelled pages use it on one side. The score of a tag is the log-odds of its

@@ -33,6 +33,7 @@ from ..session import ship
 from .common import spread, trim, worker_state
 
 _LETTERS = regex.compile(r"\p{L}+")
+_DRAWS = 1 << 48
 _ALONE = 12  # texts that are left when the rest of a batch is parsed one by one
 
 
@@ -175,8 +176,8 @@ def learn(docs: DataFrame, languages: int = 64, docs_per_language: int = 100, sa
         return {}
     budget = sample_bytes // len(most)
     share = F.element_at(F.create_map(*[F.lit(x) for r in most for x in (r["lang"], min(1.0, docs_per_language / r["n"]))]), F.col("lang"))
-    draw = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")), F.lit("language sample")), F.lit(1_000_000))
-    drawn = taught.where(F.col("lang").isin([r["lang"] for r in most])).select("lang", "text", draw.alias("draw"), F.octet_length("text").alias("size")).where(F.col("draw") < share * 1_000_000).distinct()
+    draw = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")), F.lit("language sample")), F.lit(_DRAWS))
+    drawn = taught.where(F.col("lang").isin([r["lang"] for r in most])).select("lang", "text", draw.alias("draw"), F.octet_length("text").alias("size")).where(F.col("draw") < share * _DRAWS).distinct()
     smallest = F.row_number().over(Window.partitionBy("lang").orderBy("size", "draw", "text"))
     rows = drawn.withColumn("place", smallest).where((F.col("size") <= budget) | (F.col("place") == 1)).collect()
     samples: dict[str, list[bytes]] = {}

@@ -74,6 +74,8 @@ class _Page:
 
     def main_block(self) -> str:
         kind, own = self.rng.randrange(14), f" class='{self.word()}-{self.word()}'" if self.rng.random() < 0.3 else ""
+        if kind <= 5 and self.rng.random() < 0.25:
+            return f"<p{own}>{self.words(1, 6)}{self.rng.choice(('', '', '.', '!', ':', ' ***', '%'))}</p>"
         if kind <= 5:
             return f"<p{own}>{' '.join(self.sentence() for _ in range(self.rng.randint(1, 6)))}</p>"
         if kind == 6:
