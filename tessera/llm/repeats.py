@@ -10,7 +10,7 @@ Rows that repeat in full (doc_id and text) more than ``COPIES`` times would all
 all in the exchange (each repeats the other, as all of them do), and one of these carries the number of rows that its result is for.
 
 Two kinds of hashes are used. ``Prefix`` works modulo 2**64; texts can be made that collide under it, so it only chooses candidates
-and orders comparisons that are verified on bytes. What decides without a look at the bytes is keyed: BLAKE2b with a key drawn for each
+and orders comparisons that are verified on bytes. What decides without a look at the bytes is keyed: BLAKE2b with a salt drawn for each
 run, or polynomials modulo 2**61 - 1 with a base drawn for each run over such hashes (``Prefix61``).
 """
 
@@ -109,14 +109,18 @@ class Prefix61:
 
 
 class Key:
-    """What a run hashes with: a key of BLAKE2b and two bases modulo 2**61 - 1, drawn on the driver and sent with the tasks."""
+    """What a run hashes with: salt and personalisation of BLAKE2b and two bases modulo 2**61 - 1, drawn on the driver and sent with the tasks."""
 
     def __init__(self):
-        self.key, self.bases = secrets.token_bytes(32), [secrets.randbelow(int(P61) - 2) + 2 for _ in range(2)]
+        self.salt, self.bases = secrets.token_bytes(32), [secrets.randbelow(int(P61) - 2) + 2 for _ in range(2)]
 
     def digests(self, strings: list[bytes], size: int = 16) -> bytes:
-        blake, key = hashlib.blake2b, self.key
-        return b"".join([blake(x, digest_size=size, key=key).digest() for x in strings])
+        begun, out = hashlib.blake2b(digest_size=size, salt=self.salt[:16], person=self.salt[16:]).copy, []
+        for x in strings:
+            h = begun()
+            h.update(x)
+            out.append(h.digest())
+        return b"".join(out)
 
 
 def chunk_of(chunks: int) -> Column:

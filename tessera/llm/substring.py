@@ -10,7 +10,7 @@ window (rounded up) are cut at fixed places from each document's start, so that
    of a repeated window hold an anchor: each holds a block of its own document, whose words the other copy holds too.
 3. Remove. Words under repeated windows go.
 
-Words are told apart by 128-bit BLAKE2b with a key drawn for each run, windows by 93 bits of two polynomials modulo 2**61 - 1 over the two halves
+Words are told apart by 128-bit BLAKE2b with a salt drawn for each run, windows by 93 bits of two polynomials modulo 2**61 - 1 over the two halves
 of these, with bases drawn for each run: no text can be made that collides. Nothing depends on how often a
 passage occurs: a chunk of documents sends and gets each key once.
 

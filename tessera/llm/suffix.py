@@ -13,7 +13,7 @@ share an anchor make one span (their union).
    The string that begins d bytes before an anchor occurs twice if two spans agree on length - d bytes from the anchor on and on d bytes before
    it: the two sorted lists give each span a class for either side, and equal pairs of classes are equal strings. The bucket answers with a
    bit for each d.
-3. Grams that occur ``HOT`` times or more would make large buckets. Their strings are compared one by one instead, by 96-bit BLAKE2b with a key
+3. Grams that occur ``HOT`` times or more would make large buckets. Their strings are compared one by one instead, by 96-bit BLAKE2b with a salt
    drawn for each run, over the exchange of repeats.py, where a string is one key of a chunk.
 4. Bytes under repeated strings go.
 
