@@ -402,15 +402,16 @@ def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "keep_one")
     found = near_copies(docs.select("doc_id", "text"), shingle).groupBy("component", "doc_id", "own").agg(F.count(F.lit(1)).alias("n"))
     found = scratch.table(found.select("component", F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "own").alias("row"), "n"), "rows")
-    first = found.groupBy("component").agg(F.min("row").alias("first"))
-    gone = found.join(first, "component").where(~F.col("row").eqNullSafe(F.col("first"))).select(F.col("row.doc_id").alias("id"), F.col("row.own").alias("own"))
+    first = found.groupBy("component").agg(F.min("row").alias("first")).select(F.col("first.doc_id").alias("id"), F.col("first.own").alias("own"))
+    listed = found.select(F.col("row.doc_id").alias("id"), F.col("row.own").alias("own"), "n")  # a row's component follows from its text, so that rows and not components are dealt
+    gone = listed.join(first, listed["id"].eqNullSafe(first["id"]) & listed["own"].eqNullSafe(first["own"]), "left_anti").select("id", "own")
     every = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("all"), F.col("doc_id").cast("long").alias("id"), F.md5(F.col("text").cast("string")).alias("own"))
 
     def same(side: DataFrame):
         return every["id"].eqNullSafe(side["id"]) & every["own"].eqNullSafe(side["own"])
 
     kept = every.join(gone, same(gone), "left_anti")
-    again = found.where("n > 1").select(F.col("row.doc_id").alias("id"), F.col("row.own").alias("own"))
+    again = listed.where("n > 1").select("id", "own")
     if not again.isEmpty():
         hashed = [F.col(f"all.`{f.name}`") for f in docs.schema.fields if not isinstance(f.dataType, MapType)]
         one = every.join(gone, same(gone), "left_anti").join(again, same(again), "left_semi").groupBy("id", "own").agg(F.min_by("all", F.xxhash64(*hashed)).alias("all"))
