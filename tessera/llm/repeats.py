@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import secrets
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -114,7 +114,7 @@ class Key:
     def __init__(self):
         self.salt, self.bases = secrets.token_bytes(32), [secrets.randbelow(int(P61) - 2) + 2 for _ in range(2)]
 
-    def digests(self, strings: list[bytes], size: int = 16) -> bytes:
+    def digests(self, strings: Iterable[bytes], size: int = 16) -> bytes:
         begun, out = hashlib.blake2b(digest_size=size, salt=self.salt[:16], person=self.salt[16:]).copy, []
         for x in strings:
             h = begun()

@@ -12,7 +12,7 @@ share an anchor make one span (their union).
    the order and gives the common lengths; where a hash collision has misled the sort, the bytes are sorted themselves.
    The string that begins d bytes before an anchor occurs twice if two spans agree on length - d bytes from the anchor on and on d bytes before
    it: the two sorted lists give each span a class for either side, and equal pairs of classes are equal strings. The bucket answers with a
-   bit for each d.
+   bit for each d. Buckets are as many as the found spans need (``BUCKET_BYTES`` each), and a bucket is sorted in parts of ``PART`` bytes, dealt by gram.
 3. Grams that occur ``HOT`` times or more would make large buckets. Their strings are compared one by one instead, by 96-bit BLAKE2b with a salt
    drawn for each run, over the exchange of repeats.py, where a string is one key of a chunk.
 4. Bytes under repeated strings go.
@@ -31,12 +31,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..session import ship
 from .common import Scratch
-from .repeats import MESSAGE, Chunks, Key, Prefix, answered, bucket_bits, exchange, frugal, in_order, member, messages, mix, short_key, texts_of, with_answers
+from .repeats import LEAST_BUCKET_BITS, MESSAGE, Chunks, Key, Prefix, answered, bucket_bits, exchange, frugal, in_order, member, messages, mix, short_key, texts_of, with_answers
 
 LENGTH, GRAM, HOT, PIECE = 200, 32, 4096, 1_000_000
+#: Bytes of spans in a bucket, and those that are sorted at once (a worker holds some 60 times as much).
+BUCKET_BYTES, PART = 16_000_000, 2_000_000
 SENT = "bucket int, chunk long, ids binary, left binary, right binary, twice binary, body binary"
 FOUND = "chunk long, ids binary, bits binary"
 _HIGH = np.uint64(0xFFFFFFFF00000000)
@@ -232,7 +235,7 @@ def _strings(spans: Spans, which: np.ndarray, key: Key) -> tuple[np.ndarray, np.
     """Starts and keyed hashes (64 and 32 bits) of all strings of the given spans."""
     first, n = spans.first[which], spans.last[which] - spans.first[which] + 1
     at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    made = key.digests([spans.buffer[i : i + spans.length] for i in at.tolist()], 12)
+    made = key.digests((spans.buffer[i : i + spans.length] for i in at.tolist()), 12)
     both = np.frombuffer(made, np.dtype([("k", "<u8"), ("m", "<u4")]))
     return at, both["k"].astype(np.uint64), both["m"].astype(np.uint64)
 
@@ -254,14 +257,35 @@ def _sent(chunk: int, bits: int, spans: Spans, base: int, lead: np.ndarray, weig
     return pa.table(columns, ["bucket", "chunk", "ids", "left", "right", "twice", "body"])
 
 
+def _parts(data: np.ndarray, anchor: np.ndarray, gram: int) -> list[np.ndarray]:
+    """The spans of a bucket in parts of about PART bytes; equal grams are in one part."""
+    parts = -(-len(data) // PART)
+    if parts < 2:
+        return [np.arange(len(anchor))]
+    part, weights = np.empty(len(anchor), np.int64), mix(np.arange(1, gram + 1, dtype=np.uint64)) | np.uint64(1)
+    for at in range(0, len(anchor), 16_384):
+        grams = data[anchor[at : at + 16_384, None] + np.arange(gram)].astype(np.uint64) + np.uint64(1)
+        part[at : at + 16_384] = mix((grams * weights).sum(1, dtype=np.uint64)) % np.uint64(parts)
+    order = np.argsort(part, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(part[order])) + 1)
+
+
 def _found(table: pa.Table, length: int, gram: int) -> pa.Table:
     """For one bucket: to each chunk the spans with repeated strings and a bit for each d."""
     parts = {c: [x.as_py() for x in table[c]] for c in ("ids", "left", "right", "twice", "body")}
     ids, left, right, twice = (np.frombuffer(b"".join(parts[c]), t) for c, t in (("ids", "<u8"), ("left", "<u2"), ("right", "<u2"), ("twice", np.uint8)))
     data = np.frombuffer(b"".join(parts["body"]), np.uint8)
-    bits = np.packbits(repeated(data, left.astype(np.int64), right.astype(np.int64), twice, length, gram), axis=1)
+    ends = np.cumsum([len(x) // 8 for x in parts.pop("ids")])
+    parts.clear()
+    left, right = left.astype(np.int64), right.astype(np.int64)
+    size = left + right
+    begin = np.cumsum(size) - size
+    bits = np.empty((len(ids), -(-(length - gram + 1) // 8)), np.uint8)
+    for own in _parts(data, begin + left, gram):
+        n = size[own]
+        some = data[np.repeat(begin[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        bits[own] = np.packbits(repeated(some, left[own], right[own], twice[own], length, gram), axis=1)
     some = bits.any(1)
-    ends = np.cumsum([len(x) // 8 for x in parts["ids"]])
     out = []
     for chunk, s, e in zip(table["chunk"].to_pylist(), np.append(0, ends[:-1]).tolist(), ends.tolist(), strict=True):
         mine = np.flatnonzero(some[s:e]) + s
@@ -282,6 +306,9 @@ def digest(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = H
         return pa.concat_tables([messages(table["chunk"][0].as_py(), bits, Spans(of, length, gram).keys, counted=True) for of in pieces(texts_of(table), length)])
 
     found = exchange(rows.groupBy("chunk").applyInArrow(frugal(anchors), MESSAGE), 6, scratch, "anchors", hot)
+    few, many = (int(x or 0) // 6 for x in found.agg(F.sum(F.octet_length("keys")), F.sum(F.octet_length("hot"))).first())
+    body_bits = max(LEAST_BUCKET_BITS, (few * (length + depth // 2) // BUCKET_BYTES).bit_length())  # a span has length to length + depth bytes
+    string_bits = bucket_bits(many * depth)
 
     def known(table: pa.Table, answers: pa.Table) -> Iterator[tuple[int, list[Piece], Spans, np.ndarray, np.ndarray]]:
         """Number of the first span, pieces, spans, found spans and hot spans of each list of pieces of a chunk."""
@@ -294,21 +321,21 @@ def digest(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = H
             base += len(spans.keys)
 
     def bodies(table: pa.Table, answers: pa.Table) -> pa.Table:
-        table, out = in_order(table), [_sent(0, bits, Spans([], length, gram), 0, np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        table, out = in_order(table), [_sent(0, body_bits, Spans([], length, gram), 0, np.zeros(0, np.int64), np.zeros(0, np.int64))]
         for base, _, spans, which, _ in known(table, answers) if table.num_rows and answers.num_rows else ():
             lead, count = np.unique(spans.classes(which), return_counts=True)
-            out.append(_sent(table["chunk"][0].as_py(), bits, spans, base, lead, count))
+            out.append(_sent(table["chunk"][0].as_py(), body_bits, spans, base, lead, count))
         return pa.concat_tables(out)
 
     met = with_answers(rows, [found], bodies, SENT).groupBy("bucket").applyInArrow(frugal(lambda t: _found(t, length, gram)), FOUND)
     met = scratch.table(met, "spans")
 
     def hot_strings(table: pa.Table, answers: pa.Table) -> pa.Table:
-        out = [messages(0, bits, np.zeros(0, np.uint64))]
+        out = [messages(0, string_bits, np.zeros(0, np.uint64))]
         for _, _, spans, _, which in known(table, answers) if table.num_rows and any(x.as_py() for x in answers["hot"]) else ():
             lead, count = np.unique(spans.classes(which), return_counts=True)
             _, a, b = _strings(spans, np.repeat(lead, np.minimum(count, 2)), key)
-            out.append(messages(table["chunk"][0].as_py(), bits, a, b))
+            out.append(messages(table["chunk"][0].as_py(), string_bits, a, b))
         return pa.concat_tables(out)
 
     strings = exchange(with_answers(rows, [found.where("length(hot) > 0")], hot_strings, MESSAGE), 12, scratch, "strings")

@@ -613,6 +613,28 @@ def test_wide_keys_find_the_same_links(spark):
     assert sorted(map(str, rows(simhash.near_duplicates(near, wide=True)))) == sorted(map(str, rows(simhash.near_duplicates(near, wide=False))))
 
 
+def test_large_buckets_of_spans_in_bounded_memory(monkeypatch):
+    """A bucket is sorted in parts: the answers are those of the whole, and the memory does not grow with some 60 times the bucket."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    once = rng.integers(97, 123, 2_600_000, np.uint8).tobytes()
+    sent = []
+    for chunk, text in enumerate((once, b"-" + once[:2_000_000], rng.integers(97, 123, 1_000_000, np.uint8).tobytes() + once[:5000])):
+        spans = suffix.Spans([suffix.Piece(0, 0, text)], 200, 32)
+        sent.append(suffix._sent(chunk, 8, spans, 0, np.arange(len(spans.keys)), np.ones(len(spans.keys), np.int64)))
+    bucket = pa.concat_tables(sent)
+    size = sum(len(x.as_py()) for x in bucket["body"])
+    tracemalloc.start()
+    got = suffix._found(bucket, 200, 32)
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert size > 15_000_000 and most < 10 * size
+    monkeypatch.setattr(suffix, "PART", 1 << 40)
+    whole = suffix._found(bucket, 200, 32)
+    assert got.num_rows > 256 and sorted(map(str, got.to_pylist())) == sorted(map(str, whole.to_pylist()))
+
+
 def test_links_far_apart_are_not_lost():
     """A forest has the components of all links, also in a chain where each fingerprint is near its neighbours only."""
     fps = np.array([(1 << (4 * k)) - 1 for k in range(17)], np.uint64)
