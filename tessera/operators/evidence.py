@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -98,39 +99,71 @@ class _Stream:
 
     def __init__(self, seed: int, n: int):
         state = random.Random(seed).getstate()[1]
-        self.raw = np.random.MT19937()
-        self.raw.state = {"bit_generator": "MT19937", "state": {"key": np.array(state[:-1], np.uint32), "pos": state[-1]}}
-        self.n, self.bits, self.rest = n, n.bit_length(), np.zeros(0, np.int64)
+        raw = np.random.MT19937()
+        raw.state = {"bit_generator": "MT19937", "state": {"key": np.array(state[:-1], np.uint32), "pos": state[-1]}}
         if n >= 2**32:
             raise ValueError("fewer than 2**32 rounds")
+        self.raw, self.n, self.shift, self.rest = np.random.RandomState(raw), n, np.uint32(32 - n.bit_length()), np.zeros(0, np.uint32)
 
     def take(self, count: int) -> np.ndarray:
         while len(self.rest) < count:
-            drawn = self.raw.random_raw(max(count, 4096)).astype(np.int64) >> (32 - self.bits)
-            self.rest = np.concatenate((self.rest, drawn[drawn < self.n]))
+            most = (1 << 32 - int(self.shift)) / self.n  # numbers from n on are drawn again
+            drawn = self.raw.randint(0, 2**32, int(1.01 * most * (count - len(self.rest))) + 64, np.uint32) >> self.shift
+            drawn = drawn.compress(drawn < self.n)
+            self.rest = np.concatenate((self.rest, drawn)) if len(self.rest) else drawn
         taken, self.rest = self.rest[:count], self.rest[count:]
         return taken
 
 
-def _resampled_medians(series: list[np.ndarray], block: int, draws: int, seed: int) -> np.ndarray:
-    """Medians of each series (rows) over the rounds of each draw; one draw in memory at a time, as counts of the rounds."""
+def _drawn_blocks(n: int, size: int, draws: int, seed: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """How many blocks of each draw (rows) begin at each round, and where the last one begins; as many draws at a time as have about 2**17 counts, or one."""
+    stream, blocks, step = _Stream(seed, n - size + 1), -(-n // size), max(1, (1 << 17) // n)
+    for at in range(0, draws, step):
+        rows = min(step, draws - at)
+        starts = stream.take(rows * blocks).reshape(rows, blocks)
+        yield np.array([np.bincount(x, minlength=n) for x in starts]), starts[:, -1].astype(np.int64)
+
+
+def _resampled_medians(series: list[np.ndarray], block: int, draws: int, seed: int, sigmas: int = 6) -> np.ndarray:
+    """Medians of each series (rows) over the rounds of each draw. A draw's median lies among the ranks about the middle: the rounds below these are counted by one
+    product for all series, only those among them by rank. Where it lies elsewhere the draw is counted by all ranks."""
     n = len(series[0])
     size = min(block, n)
-    stream, blocks = _Stream(seed, n - size + 1), -(-n // size)
     orders = [np.argsort(s, kind="stable") for s in series]
     values = [s[o] for s, o in zip(series, orders, strict=True)]
-    found = np.empty((len(series), draws))
-    for d in range(draws):
-        starts = stream.take(blocks)
-        begun = np.bincount(starts, minlength=n)
-        counts = begun.copy()
+    wanted = ((n - 1) // 2, n // 2)
+    reach = int(sigmas * math.sqrt(n) / 2) + 1
+    first, end = max(0, wanted[0] - reach), min(n, wanted[1] + reach + 1)
+    low = np.zeros((len(series), n + size - 1), bool)
+    for i, order in enumerate(orders):
+        low[i, order[:first]] = True
+    exact = np.float32 if n < 2**23 else np.float64  # sums of counts are whole numbers, n + size at the most
+    low_in_block = sum(low[:, k : k + n].astype(exact) for k in range(size))
+    cut = range(n - (-(-n // size) - 1) * size, size)  # rounds of the last block that are beyond the draw
+
+    def counted(begun: np.ndarray, last: np.ndarray, rounds: np.ndarray) -> np.ndarray:
+        """How often each of some rounds is in each draw."""
+        out = np.take(begun, rounds, axis=1)
         for k in range(1, size):
-            counts[k:] += begun[: n - k]
-        cut = starts[-1] + n - (blocks - 1) * size  # the last block may be cut short
-        counts[cut : starts[-1] + size] -= 1
+            out += np.take(begun, rounds - k, axis=1)  # no block begins at the last rounds, which are read for rounds before the first
+        for k in cut:
+            out -= rounds == last[:, None] + k
+        return out
+
+    found, at = np.empty((len(series), draws)), 0
+    for begun, last in _drawn_blocks(n, size, draws, seed):
+        before = np.array([low_in_block @ x for x in begun.astype(exact)]).astype(np.int64)
+        for k in cut:
+            before -= low[:, last + k].T
         for i, (order, value) in enumerate(zip(orders, values, strict=True)):
-            lower, upper = np.searchsorted(np.cumsum(counts[order]), [(n - 1) // 2, n // 2], side="right")
-            found[i, d] = (value[lower] + value[upper]) / 2
+            upto = np.cumsum(counted(begun, last, order[first:end]), axis=1)
+            upto += before[:, i, None]
+            lower, upper = (np.count_nonzero(upto <= w, axis=1) + first for w in wanted)
+            for d in np.flatnonzero((before[:, i] > wanted[0]) | (upto[:, -1] <= wanted[1])):
+                whole = np.cumsum(counted(begun[d : d + 1], last[d : d + 1], order)[0])
+                lower[d], upper[d] = np.searchsorted(whole, wanted, side="right")
+            found[i, at : at + len(last)] = (value[lower] + value[upper]) / 2
+        at += len(last)
     return found
 
 
@@ -160,6 +193,15 @@ def bootstrap_both(a: np.ndarray, b: np.ndarray, draws: int = DRAWS, seed: int =
     return [(_ratio(a, b), *_interval(x, y), *_interval(u, v)), (_ratio(b, a), *_interval(y, x), *_interval(v, u))]
 
 
+def bootstrap_against(base: np.ndarray, others: list[np.ndarray], block: int, draws: int = DRAWS, seed: int = SEED) -> list[tuple[float, ...]]:
+    """For each other series, cut to the length of ``base``: ratio and interval of base to it, then of it to base. All share the draws."""
+    n = len(base)
+    if n < 2 or any(len(x) < n for x in others):
+        raise ValueError("paired series of two or more rounds")
+    x, *rest = _resampled_medians([base, *[o[:n] for o in others]], block, draws, seed)
+    return [(_ratio(base, o[:n]), *_interval(x, y), _ratio(o[:n], base), *_interval(y, x)) for o, y in zip(others, rest, strict=True)]
+
+
 #: Measured rounds of a full cell, largest share of a cold file that may be resident.
 MEASURED_ROUNDS, COLD_LIMIT = 15, 0.10
 

@@ -198,6 +198,19 @@ def test_bootstrap_is_the_plain_one(n):
     assert evidence.bootstrap(np.array(a), np.array(b), draws=200) == ahead[:3]
 
 
+@pytest.mark.parametrize("n", [2, 5, 100, 1001])
+def test_bootstrap_of_many_series_shares_the_draws(n):
+    """Each pair has the figures that it has alone; also where the median must be looked for among all ranks."""
+    rng = random.Random(n)
+    base, *others = ([rng.randrange(0, 50) for _ in range(n + i)] for i in range(4))
+    for block in (3, 1):
+        found = evidence.bootstrap_against(np.array(base), [np.array(o) for o in others], block, draws=200)
+        for o, x in zip(others, found, strict=True):
+            assert x[1:3] == plain_bootstrap(base, o, min(block, n), 200) and x[4:] == plain_bootstrap(o[:n], base, min(block, n), 200)
+    series = [np.array(base), np.arange(n)]
+    assert (evidence._resampled_medians(series, 3, 200, 1) == evidence._resampled_medians(series, 3, 200, 1, sigmas=0)).all()
+
+
 def test_bootstrap_query_takes_all_rounds(spark):
     from itertools import permutations
 
