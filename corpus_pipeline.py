@@ -21,7 +21,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies (five-word shingles, Jaccard similarity of 0.8 or more) the document with the smallest doc_id stays."""
+    """Of each component of near copies the document with the smallest doc_id stays. Candidates come from SimHash fingerprints by Golay keys, and from min-hash bands beyond
+    their reach; links are verified (five-word shingles, Jaccard similarity of 0.8 or more)."""
     return simhash.keep_one(docs)
 
 

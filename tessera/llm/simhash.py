@@ -19,10 +19,11 @@ ball of near copies costs a few passes over it and no pair list. Memory: 8 bytes
 Components. Forest links are contracted by alternating large-star and small-star rounds until nothing changes; each round is
 a partial aggregation and a join, its result a table in the shared folder.
 
-The pipeline's stage (keep_one) links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. At 0.8 two
-fingerprints differ by about 10 of 64 bits, which no 4-bit link reaches, so its candidates are texts that share one of 27 bands of four min-hashes
-(a pair at 0.8 shares none with a probability of 7e-7, a closer pair with less); all links are verified by the sets themselves. Texts with
-equal sets are one node. Buckets with the same members are solved once; a bucket's task holds its members' sets.
+The pipeline's stage (keep_one) links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. Texts with equal sets are one
+node with one fingerprint. The nodes' fingerprints are linked by Golay keys and contracted as above; each component is a bucket of candidates, so every
+pair at 4 or fewer bits is one. At 0.8 two fingerprints differ by about 10 of 64 bits, which no such link reaches. So that no link is lost, texts that share
+one of 27 bands of four min-hashes are candidates besides (a pair at 0.8 shares none with a probability of 7e-7, a closer pair with less). All links are
+verified by the sets themselves. Buckets with the same members are solved once; a bucket's task holds its members' sets.
 
 Defined cases: null text has no words; rows without doc_id keep their fingerprint and take the component of their fingerprint, but name none (null
 if no other row is reachable); repeated rows are one node; texts of any length are hashed whole (one text's words are in memory); an empty table gives an empty result; other
@@ -68,7 +69,11 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
 
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
-    hashes = shingle_hashes(text, shingle)
+    return majority(shingle_hashes(text, shingle))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     votes = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 65536):  # bounded memory in very long texts
         votes += np.unpackbits(hashes[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -268,16 +273,20 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "stars") -> DataF
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def linked(nodes: DataFrame, bits: int, wide: bool | None, scratch: Scratch, name: str = "") -> DataFrame:
+    """node, root of the distinct fingerprints (column fp of a table) that have a link."""
+    spark = nodes.sparkSession
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), nodes.rdd.getNumPartitions())
+    wide = bits <= 4 and nodes.count() >= WIDE if wide is None else wide
+    return components(scratch.table(links(nodes, bits, partitions, wide), f"{name}links"), scratch, f"{name}stars")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, bits: int = 4, wide: bool | None = None) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable through links) of every row. ``wide``: longer keys (None: from WIDE fingerprints on)."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "simhash")
+    scratch = Scratch(docs.sparkSession, "simhash")
     fps = scratch.table(fingerprints(docs, shingle), "fingerprints")
     nodes = scratch.table(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
-    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), nodes.rdd.getNumPartitions())
-    wide = bits <= 4 and nodes.count() >= WIDE if wide is None else wide
-    edges = scratch.table(links(nodes, bits, partitions, wide), "links")
-    stars = components(edges, scratch)
+    stars = linked(nodes, bits, wide, scratch)
     rooted = nodes.join(stars, nodes["fp"] == stars["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = scratch.table(rooted.join(named, "root").select("fp", "component_id"), "classes")
@@ -324,9 +333,11 @@ def similar_forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return found
 
 
-def similar_links(docs: DataFrame, nodes: DataFrame, shingle: int, partitions: int, scratch: Scratch) -> DataFrame:
-    """Forest links (a, b) among nodes (node, own, keys) whose shingle sets are similar; own is the md5 of one of the node's texts in docs."""
-    banded = nodes.select("node", F.explode("keys").alias("key"))
+def similar_links(docs: DataFrame, nodes: DataFrame, classes: DataFrame, shingle: int, partitions: int, scratch: Scratch) -> DataFrame:
+    """Forest links (a, b) among nodes (node, own, fp, keys) whose shingle sets are similar; own is the md5 of one of the node's texts in docs.
+    Candidates share a class of fingerprints (node, root) or a band of min-hashes."""
+    classed = nodes.select("node", "fp").join(classes.select(F.col("node").alias("fp"), "root"), "fp", "left")
+    banded = nodes.select("node", F.explode("keys").alias("key")).unionByName(classed.select("node", F.xxhash64(F.lit("class"), F.coalesce("root", "fp")).alias("key")))
     bucket = Window.partitionBy("key")
     mark = [F.bit_xor(F.xxhash64("node", F.lit(i))).over(bucket).alias(f"mark{i}") for i in range(2)]
     shared = banded.select("key", "node", F.count(F.lit(1)).over(bucket).alias("n"), *mark).where("n > 1")
@@ -374,7 +385,7 @@ def node_of(hashes: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(np.ascontiguousarray(hashes).tobytes())
 
 
-def near_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
+def near_copies(docs: DataFrame, shingle: int = 5, bits: int = 4) -> DataFrame:
     """doc_id, own (md5 of the text) and component of every row; a component is connected by links at a similarity of 0.8 or more."""
     spark = docs.sparkSession
     ship(spark)
@@ -384,15 +395,18 @@ def near_copies(docs: DataFrame, shingle: int = 5) -> DataFrame:
         for batch in batches:
             sets = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in batch.column(1)]
             nodes, keys = pa.array([node_of(s) for s in sets], pa.binary()), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), nodes, keys], ["doc_id", "own", "node", "keys"])
+            fps = pa.array(np.array([majority(s) for s in sets], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), nodes, fps, keys], ["doc_id", "own", "node", "fp", "keys"])
         trim()
 
     text = F.col("text").cast("string")
     plain = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.md5(text).alias("own")))
-    found = scratch.table(plain.mapInArrow(run, "doc_id long, own string, node binary, keys array<long>"), "rows")
-    nodes = scratch.table(found.groupBy("node").agg(F.min("own").alias("own"), F.first("keys").alias("keys")), "nodes")
+    found = scratch.table(plain.mapInArrow(run, "doc_id long, own string, node binary, fp long, keys array<long>"), "rows")
+    nodes = scratch.table(found.groupBy("node").agg(F.min("own").alias("own"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "nodes")
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), nodes.rdd.getNumPartitions())
-    stars = components(scratch.table(similar_links(docs, nodes, shingle, partitions, scratch), "links"), scratch)
+    classes = linked(scratch.table(nodes.select("fp").distinct(), "fps"), bits, None, scratch, "fp_")
+    stars = components(scratch.table(similar_links(docs, nodes, classes, shingle, partitions, scratch), "links"), scratch)
+    scratch.drop("fps", "fp_links")
     return found.select("doc_id", "own", "node").join(stars, "node", "left").select("doc_id", "own", F.coalesce("root", "node").alias("component"))
 
 

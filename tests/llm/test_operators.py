@@ -671,3 +671,14 @@ def test_near_copies_at_similarity(spark):
             root[y] = x
     kept = sorted(r["doc_id"] for r in rows(simhash.keep_one(docs_of(spark, texts))))
     assert far > 10 and kept == [i for i in range(len(texts)) if find(i) == i]
+
+
+def test_near_copies_by_fingerprints(spark, monkeypatch):
+    """The SimHash step alone, without bands of min-hashes, finds all similar pairs at 4 or fewer bits; the sets decide on them."""
+    monkeypatch.setattr(simhash, "similar_links", lambda docs, nodes, *rest, of=simhash.similar_links: of(docs, nodes.withColumn("keys", F.array().cast("array<long>")), *rest))
+    rng = random.Random(6)
+    texts = [" ".join(f"v{rng.randrange(5000)}" for _ in range(400)) for _ in range(12)]
+    texts += [f"{t} end" for t in texts] + ["a b c d e f", "a b c d e f g h"]
+    near = {i: (simhash.majority(np.unique(simhash.shingle_hashes(texts[i], 5))) ^ simhash.majority(np.unique(simhash.shingle_hashes(texts[i + 12], 5)))).bit_count() <= 4 for i in range(12)}
+    kept = {r["doc_id"] for r in rows(simhash.keep_one(docs_of(spark, texts)))}
+    assert sum(near.values()) > 8 and all(i in kept and (i + 12 in kept) != near[i] for i in range(12)) and {24, 25} <= kept
